@@ -6,14 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from .chat import format_conversations, read_back
 from .common import table
+from .line_dedup import remove_boilerplate
+from .mixing import take
+from .neardup import similar_vectors
 from .ngram_join import similar_documents
+from .packing import pack
+from .pii import personal_data, summary
+from .quality import judge
+from .tokens import token_counts
+from .toxicity import score_documents
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return read_back(format_conversations(turns.unionByName(more)))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(personal_data(table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = take(table(spark, sf_dir, "documents"), most=3.0)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), limit=2048).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), n=4, threshold=0.85)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), sites=10).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op9_ngram_jaccard_join]
+    found = [op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_pii, op5_toxicity, op6_source_mixing, op7_quality_rules, op8_token_counts, op9_ngram_jaccard_join, op10_line_dedup]
     return {f.__name__: f for f in found}
