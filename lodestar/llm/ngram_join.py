@@ -27,6 +27,8 @@ FEW = 24
 BLOCK = 256
 #: Fragments in which overlaps are counted apart, a range of the global order each.
 PARTS = 4
+#: Distinct n-grams of a fragment in blocks.
+SPAN = 4096
 
 
 def _sketch(n: int, threshold: float):
@@ -49,29 +51,31 @@ def _sets(n: int):
         hashes = WordHashes()
         for frame in batches(frames, "text"):
             s, start = shingle_sets(frame["text"], n, hashes)
-            rows = []
-            for i, doc in enumerate(frame["doc_id"]):
-                own = s[start[i] : start[i + 1]]
-                ends = np.searchsorted(own, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62))
-                rows += [(doc, part, len(own), x.view(np.int64)) for part, x in enumerate(np.split(own, ends)) if len(x)]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "n", "members"])
+            members = [s[i:j].view(np.int64) for i, j in zip(start[:-1], start[1:], strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n": np.diff(start), "members": members})
 
     return run
 
 
 def _overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        yield pd.DataFrame({"a": f["a"], "b": f["b"], "n_a": f["n_a"], "n_b": f["n_b"], "shared": [overlap(np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)) for x, y in zip(f["x"], f["y"], strict=True)]})
+        shared = [sum(map(overlap, fragments(x), fragments(y))) for x, y in zip(f["x"], f["y"], strict=True)]
+        yield pd.DataFrame({"a": f["a"], "b": f["b"], "n_a": f["n_a"], "n_b": f["n_b"], "shared": shared})
+
+
+def fragments(members) -> list[np.ndarray]:
+    """A sorted set cut where the global order is cut: ranges in which overlaps are counted apart."""
+    s = np.asarray(members).view(np.uint64)
+    return np.split(s, np.searchsorted(s, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62)))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose overlaps, counted in each fragment and summed, reach the threshold."""
-    a = sets.select(F.col("doc_id").alias("a"), "part", F.col("n").alias("n_a"), F.col("members").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), "part", F.col("n").alias("n_b"), F.col("members").alias("y"))
-    met = pairs.join(a, "a").join(b, ["b", "part"]).where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-6)
-    counted = met.select("a", "b", "n_a", "n_b", "x", "y").mapInPandas(_overlaps, "a long, b long, n_a long, n_b long, shared long")
-    total = counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    return total.where(_similar(threshold)).select("a", "b")
+    a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("x"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("y"))
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    counted = met.mapInPandas(_overlaps, "a long, b long, n_a long, n_b long, shared long")
+    return counted.where(_similar(threshold)).select("a", "b").distinct()
 
 
 def _similar(threshold: float):
@@ -84,23 +88,19 @@ def _block_links(threshold: float):  # applied to the rows of one pair of blocks
     percent = round(threshold * 10_000)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        docs = frame.drop_duplicates(["doc_id", "part"]).sort_values(["doc_id", "part"])
-        ids, rank = np.unique(docs["doc_id"].to_numpy(), return_inverse=True)
+        ids, size, group = (frame[c].to_numpy() for c in ("doc_id", "n", "component"))
         m = len(ids)
-        size, group = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        size[rank], group[rank] = docs["n"].to_numpy(), docs["component"].to_numpy()
+        values = np.concatenate([np.asarray(x) for x in frame["members"]]).view(np.uint64)
+        owner = np.repeat(np.arange(m), size)
+        order = np.argsort(values, kind="stable")
+        owner, values = owner[order], values[order]
+        at = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
         shared = np.zeros((m, m), np.float32)
-        for _, part in docs.assign(rank=rank).groupby("part"):
-            values = np.concatenate([np.asarray(x) for x in part["members"]])
-            owner = np.repeat(part["rank"].to_numpy(), [len(x) for x in part["members"]])
-            _, at = np.unique(values, return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            at, owner = at[order], owner[order]
-            for low in range(0, int(at[-1]) + 1, 4096):  # so many n-grams at a time
-                i, j = np.searchsorted(at, [low, low + 4096])
-                has = np.zeros((m, 4096), np.float32)
-                has[owner[i:j], at[i:j] - low] = 1
-                shared += has @ has.T
+        for low in range(0, int(at[-1]) + 1, SPAN):  # a fragment of the global order at a time
+            i, j = np.searchsorted(at, [low, low + SPAN])
+            has = np.zeros((m, SPAN), np.float32)
+            has[owner[i:j], at[i:j] - low] = 1
+            shared += has @ has.T
         whole = shared.astype(np.int64)
         linked = (10_000 * whole >= percent * (size[:, None] + size[None, :] - whole)) & (group[:, None] != group[None, :])
         root = list(range(m))
@@ -141,15 +141,15 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
 
     rare = _rarest(sketch, copies, stage)
     wanted = rare.select("doc_id").distinct()
-    sets = stage(docs.join(small(stage(wanted)), "doc_id", "left_semi").mapInPandas(_sets(n), "doc_id long, part int, n long, members array<long>").distinct())
+    sets = stage(docs.join(small(stage(wanted)), "doc_id", "left_semi").mapInPandas(_sets(n), "doc_id long, n long, members array<long>"))
 
     own = Window.partitionBy("signature")
-    met = rare.withColumn("pivot", F.min("doc_id").over(own))
-    pairs = stage(met.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
+    met = rare.withColumn("pivot", F.min(F.struct("doc_id", "n")).over(own)).where(f"doc_id <> pivot.doc_id and least(n, pivot.n) >= {threshold} * greatest(n, pivot.n) - 1e-6")
+    pairs = stage(met.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
     links = stage(_links(pairs, sets, threshold))
     found = components(links, stage)
     rest = stage(_unresolved(rare, found))
-    pairs = _few(rest)
+    pairs = _few(rest, threshold)
     more = _links(pairs, sets, threshold).union(_many(rest, sets, threshold))
     edges = links.union(more).union(copies.select("doc_id", "first"))
     found = components(stage(edges), stage).withColumnRenamed("node", "doc_id")
@@ -158,33 +158,33 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
 
 
 def _rarest(sketch: DataFrame, copies: DataFrame, stage: Stage) -> DataFrame:
-    """(signature, doc_id): signatures that several sets have, for each document as many of the rarest as it needs."""
+    """(signature, doc_id, n): signatures that several sets have, for each document as many of the rarest as it needs."""
     rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id")), "doc_id", "left_anti")
-    rows = rows.select("doc_id", "class", "least", F.explode("signatures").alias("signature"))
+    rows = rows.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "class", "least", F.explode("signatures").alias("signature"))
     met = stage(rows.withColumn("spread", F.count("*").over(Window.partitionBy("signature"))).where("spread > 1"))
     own = Window.partitionBy("doc_id", "class")
-    ranked = met.withColumn("n", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
-    return stage(ranked.where("rank <= n - least + 1").select("signature", "doc_id").distinct())
+    ranked = met.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
+    return stage(ranked.where("rank <= `all` - least + 1").select("signature", "doc_id", "n").distinct())
 
 
 def _unresolved(rare: DataFrame, found: DataFrame) -> DataFrame:
     """Documents under a signature whose documents aren't in one component yet."""
     own = Window.partitionBy("signature")
     rows = rare.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = rows.withColumn("n", F.count("*").over(own)).withColumn("least", F.min("component").over(own)).withColumn("most", F.max("component").over(own))
-    return rows.where("n > 2 and least < most").select("signature", "doc_id", "component", "n")
+    rows = rows.withColumn("met", F.count("*").over(own)).withColumn("least", F.min("component").over(own)).withColumn("most", F.max("component").over(own))
+    return rows.where("met > 2 and least < most").select("signature", "doc_id", "component", "n", "met")
 
 
-def _few(rest: DataFrame) -> DataFrame:
-    rest = rest.where(f"n <= {FEW}")
-    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return a.join(b, "signature").where("a < b and ca <> cb").select("a", "b").distinct()
+def _few(rest: DataFrame, threshold: float) -> DataFrame:
+    rest = rest.where(f"met <= {FEW}")
+    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    return a.join(b, "signature").where(f"a < b and ca <> cb and least(na, nb) >= {threshold} * greatest(na, nb) - 1e-6").select("a", "b").distinct()
 
 
 def _many(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between components, from blocks of bounded size that meet each other under a signature."""
-    rows = rest.where(f"n > {FEW}").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)"))
+    rows = rest.where(f"met > {FEW}").withColumn("blocks", F.expr(f"cast(ceil(met / {BLOCK}) as int)"))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component")
-    met = rows.join(sets, "doc_id").select("signature", "low", "high", "doc_id", "component", "part", "n", "members")
+    met = rows.join(sets, "doc_id").select("signature", "low", "high", "doc_id", "component", "n", "members")
     return met.groupBy("signature", "low", "high").applyInPandas(_block_links(threshold), "a long, b long")

@@ -12,7 +12,7 @@ import xxhash
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 500_000
+_CACHE = 300_000
 _LONG = 64
 
 
@@ -79,7 +79,7 @@ def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return shingle_sets([text], n, hashes)[0]
 
 
-def batches(frames, column: str, words: int = 300_000):
+def batches(frames, column: str, words: int = 150_000):
     """Cuts the frames of a mapInPandas iterator so that none holds many more bytes than so many words."""
     for frame in frames:
         size = np.cumsum([len(x) if x else 0 for x in frame[column]]) // (6 * words)
