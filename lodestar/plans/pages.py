@@ -1 +1,99 @@
-"""Queries."""
+"""Queries over crawled pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import text as X
+from ..operators import pages as E
+from ..operators.windows import rank_urls
+from ..sources import feeds as S
+from ..sources.fixtures import table
+from .registry import query
+
+
+def _facts(spark, sf_dir):
+    return E.parse(table(spark, sf_dir, "pages"))
+
+
+@query(r"""WITH a AS (SELECT page_id, url AS page_url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))) AS n FROM pages)
+SELECT page_id, n AS at, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(page_url, '^([a-z]+://[^/?#]*)', 1) || href END AS url FROM a""")
+def page_links(spark, sf_dir):
+    return E.extract_links(_facts(spark, sf_dir)).select("page_id", F.col("at").cast("long").alias("at"), "url")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html_title, '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS title FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS html_title FROM pages)")
+def page_titles(spark, sf_dir):
+    return _facts(spark, sf_dir).select("page_id", "title")
+
+
+@query()
+def page_type(spark, sf_dir):
+    facts = _facts(spark, sf_dir)
+    words = {"teacher_list": "the of|der die", "lab": "la |les ", "members": "que", "notice": "license", "plan": "de las"}
+    names = E.person_links(E.extract_links(facts)).groupBy("page_id").agg(F.count("*").alias("n_name_links"))
+    return E.classify_page(facts, names, words)
+
+
+@query()
+def person_links(spark, sf_dir):
+    return E.person_links(E.extract_links(_facts(spark, sf_dir)))
+
+
+@query()
+def repeated_records(spark, sf_dir):
+    return E.repeated_records(_facts(spark, sf_dir)).select("page_id", "fp", "at", "href", "name")
+
+
+@query()
+def page_profiles(spark, sf_dir):
+    return E.extract_profile(_facts(spark, sf_dir))
+
+
+@query()
+def page_notices(spark, sf_dir):
+    return E.extract_notice(_facts(spark, sf_dir))
+
+
+@query()
+def frontier(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return E.crawl_frontier(E.followable(E.extract_links(_facts(spark, sf_dir))), pages.select("url"))
+
+
+@query()
+def college_links(spark, sf_dir):
+    links = E.extract_links(_facts(spark, sf_dir))
+    return E.discover_colleges(links, "http://www.example.com/", words="the|la|der", first=12)
+
+
+@query(r"""WITH s AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
+d AS (SELECT *, len(list_filter(string_split(path, '/'), lambda p: p <> '')) AS depth FROM s)
+SELECT page_id, least(100, CASE WHEN regexp_matches(path, 'szdw|jsdw|faculty|teacher|people|staff') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(path, '(^|/)(qbjs|all|list)([/._]|$)') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(path, '(^|/)(js|fjs|jiaoshou)([/._]|$)') THEN 15 ELSE 0 END
++ CASE WHEN regexp_matches(path, 'api|ajax|json') THEN 25 ELSE 0 END + CASE WHEN depth BETWEEN 2 AND 4 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(path, '\.html?$') THEN 5 ELSE 0 END) AS score FROM d""")
+def url_scores(spark, sf_dir):
+    return rank_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "score")
+
+
+@query(r"SELECT page_id, array_to_string(list_slice(list_reverse(list_slice(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '.')), 1, 3)), 1, 3), '.') AS site FROM pages")
+def page_sites(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", P.site_of(F.col("url")).alias("site"))
+
+
+@query(r"SELECT page_id, n, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'pageNo=' || n AS variant FROM (SELECT page_id, url, unnest([2, 3, 4]) AS n FROM pages WHERE NOT regexp_matches(url, '(?i)[?&](pageNo|page|pageIndex|curPage|p)=\d+') AND NOT regexp_matches(url, '\.html?$'))")
+def paging_variants(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").where(~F.col("url").rlike(r"(?i)[?&](?:pageNo|page|pageIndex|curPage|p)=\d+") & ~F.col("url").rlike(r"\.html?$"))
+    return rows.select("page_id", F.posexplode(E.page_variants(F.col("url"), 4)).alias("n", "variant")).select("page_id", (F.col("n") + 2).alias("n"), "variant")
+
+
+@query(r"""SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})', 1), '') AS email,
+trim(regexp_replace(left(text, 400), '\s+', ' ', 'g')) AS flat FROM documents WHERE contains(text, '@')""")
+def contacts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("contains(text, '@')")
+    return docs.select("doc_id", X.extract_email(F.col("text")).alias("email"), F.trim(F.regexp_replace(F.left("text", F.lit(400)), r"\s+", " ")).alias("flat"))
+
+
+@query()
+def mined_paths(spark, sf_dir):
+    return S.mine_paths(table(spark, sf_dir, "pages").select(F.col("html").alias("text")), "js", keep="/")

@@ -1 +1,84 @@
-"""Queries."""
+"""Queries of text functions, tokens, keywords and cleaning rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import predicates as P
+from ..functions import text as X
+from ..operators.joins import contained_terms
+from ..operators.retrieval import identify_directions, top_keywords as best_keywords
+from ..sources.fixtures import cte, view
+from .registry import query
+from .sqltext import windows, words
+
+
+@query(f"WITH {cte('docs')} SELECT id, array_to_string(list_sort({windows('research_areas')}), '|') AS tokens FROM docs")
+def window_tokens(spark, sf_dir):
+    return view(spark, sf_dir, "docs").select("id", F.array_join(F.array_sort(X.tokenize_windows(F.col("research_areas"))), "|").alias("tokens"))
+
+
+@query(f"WITH {cte('docs')} SELECT id, array_to_string({words('research_areas')}, ' ') AS tokens FROM docs")
+def word_tokens(spark, sf_dir):
+    return view(spark, sf_dir, "docs").select("id", F.array_join(X.tokenize_words(F.col("research_areas")), " ").alias("tokens"))
+
+
+_BIGRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+
+
+@query(f"""WITH {cte("docs")}, p AS (SELECT a.id, {_BIGRAMS.format("a.research_areas")} AS x, {_BIGRAMS.format("b.research_areas")} AS y FROM docs a JOIN docs b ON b.id = a.id + 1)
+SELECT id, round(CASE WHEN len(x) + len(y) = 0 THEN 1 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 6) AS jaccard FROM p""")
+def char_jaccard(spark, sf_dir):
+    docs = view(spark, sf_dir, "docs").select("id", "research_areas")
+    other = docs.select((F.col("id") - 1).alias("id"), F.col("research_areas").alias("next"))
+    return docs.join(other, "id").select("id", F.round(X.jaccard(F.col("research_areas"), F.col("next")), 6).alias("jaccard"))
+
+
+_BONUS = [("the", 1.2), ("der", 1.5), ("les", 1.5)]
+
+
+@query(f"""WITH {cte("docs")}, b(term, bonus) AS (VALUES ('the', 1.2), ('der', 1.5), ('les', 1.5)), t AS (SELECT id, unnest(list_transform(regexp_extract_all(coalesce(research_areas, ''), '([a-zA-Z][a-zA-Z0-9-]*)'), lambda w: lower(w))) AS term FROM docs),
+c AS (SELECT id, term, count(*) AS tf FROM t WHERE length(term) >= 2 AND term NOT IN ('of', 'la') GROUP BY id, term)
+SELECT id, c.term, round(tf * coalesce(CAST(bonus AS DOUBLE), 1.0), 6) AS score FROM c LEFT JOIN b ON b.term = c.term QUALIFY row_number() OVER (PARTITION BY id ORDER BY tf * coalesce(CAST(bonus AS DOUBLE), 1.0) DESC, c.term) <= 5""")
+def top_keywords(spark, sf_dir):
+    docs = view(spark, sf_dir, "docs").select("id", X.tokenize_mixed(F.col("research_areas")).alias("terms"))
+    made = best_keywords(docs, "terms", spark.createDataFrame(_BONUS, "term string, bonus double"), ["of", "la"], 5)
+    return made.select("id", "term", F.round("score", 6).alias("score"))
+
+
+_TREE = [("T1", "m1", "the"), ("T1", "m2", "ther"), ("T1", "m1", "ther"), ("T2", "m3", "eaux"), ("T2", "m3", "la"), ("T3", "m4", "sch")]
+
+
+@query(f"""WITH {cte("docs")}, t("top", mid, term) AS (VALUES {", ".join(map(str, _TREE))}), h AS (SELECT id, "top", sum(CASE WHEN length(term) >= 4 THEN 2 ELSE 1 END) AS points FROM docs JOIN t ON contains(lower(coalesce(research_areas, '')), term) GROUP BY id, "top")
+SELECT id, "top", round(points / sum(points) OVER (PARTITION BY id), 6) AS score FROM h""")
+def directions(spark, sf_dir):
+    texts = view(spark, sf_dir, "docs").select("id", F.col("research_areas").alias("text"))
+    return identify_directions(texts, spark.createDataFrame(_TREE, "top string, mid string, term string")).select("id", "top", F.round("score", 6).alias("score"))
+
+
+@query(rf"""WITH {cte("docs")} SELECT id, CASE WHEN length(research_areas) > 80 AND NOT regexp_matches(research_areas, '[,、]') THEN NULL ELSE research_areas END AS areas FROM docs WHERE NOT regexp_matches(name, '99') AND NOT regexp_matches(research_areas, '\d{{1,2}}:\d{{2}}')""")
+def clean_rules(spark, sf_dir):
+    docs = view(spark, sf_dir, "docs").where(P.clean_people(F.col("name"), F.col("research_areas"), roots=("99",)))
+    return docs.select("id", P.long_areas_to_null(F.col("research_areas")).alias("areas"))
+
+
+@query(rf"""WITH {cte("docs")} SELECT id, array_to_string(list_slice(list_filter(list_transform(string_split_regex(coalesce(research_areas, ''), '[,，;；、/\s]+'), lambda t: trim(t)), lambda t: length(t) BETWEEN 1 AND 15 AND NOT regexp_matches(t, '[。！？年]')), 1, 4), '|') AS tags,
+CASE WHEN length(trim(regexp_replace(research_areas, '\s+', ' ', 'g'))) > 40 THEN left(trim(regexp_replace(research_areas, '\s+', ' ', 'g')), 40) || '…' ELSE trim(regexp_replace(research_areas, '\s+', ' ', 'g')) END AS snippet FROM docs""")
+def area_tags(spark, sf_dir):
+    return view(spark, sf_dir, "docs").select("id", F.array_join(X.area_tags(F.col("research_areas")), "|").alias("tags"), X.snippet(F.col("research_areas"), 40).alias("snippet"))
+
+
+@query(f"""WITH {cte("docs")}, q AS (SELECT DISTINCT t AS q FROM (SELECT unnest({windows("'the of and thering leaux elle que'")}) AS t)), v AS (SELECT DISTINCT t AS term FROM (SELECT unnest({windows("research_areas")}) AS t FROM docs))
+SELECT q, count(*) AS n FROM q JOIN v ON contains(term, q) OR contains(q, term) GROUP BY q""")
+def containment(spark, sf_dir):
+    asked = spark.createDataFrame([("the of and thering leaux elle que",)], "text string").select(F.explode(X.tokenize_windows(F.col("text"))).alias("q"))
+    terms = view(spark, sf_dir, "docs").select(F.explode(X.tokenize_windows(F.col("research_areas"))).alias("term"))
+    return contained_terms(asked, terms).groupBy("q").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {cte("docs")}, t AS (SELECT id, list_distinct({words("research_areas")}) AS terms FROM docs WHERE length(research_areas) < 120),
+u AS (SELECT id, list_filter(terms, lambda t: length(t) >= 3) AS k FROM t)
+SELECT id, array_to_string(list_sort(list_filter(k, lambda t: len(list_filter(k, lambda u: length(u) > length(t) AND contains(u, t))) = 0)), '|') AS kept FROM u""")
+def term_antichain(spark, sf_dir):
+    docs = view(spark, sf_dir, "docs").where("length(research_areas) < 120")
+    return docs.select("id", F.array_join(F.array_sort(X.drop_substrings(X.tokenize_words(F.col("research_areas")))), "|").alias("kept"))
