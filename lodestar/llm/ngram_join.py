@@ -160,8 +160,11 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
 def _rarest(sketch: DataFrame, copies: DataFrame, stage: Stage) -> DataFrame:
     """(signature, doc_id, n): signatures that several sets have, for each document as many of the rarest as it needs."""
     rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id")), "doc_id", "left_anti")
-    rows = rows.select("doc_id", F.col("n_shingles").cast("int").alias("n"), "class", "least", F.explode("signatures").alias("signature"))
+    # One number for the set's size (up to 2^27 shingles), its least share and its class keeps the rows of the large shuffle short.
+    packed = F.expr("shiftleft(n_shingles, 36) + shiftleft(cast(least as bigint), 8) + class")
+    rows = rows.select("doc_id", packed.alias("set"), F.explode("signatures").alias("signature"))
     met = stage(rows.withColumn("spread", F.count("*").over(Window.partitionBy("signature"))).where("spread > 1"))
+    met = met.select("doc_id", "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
     own = Window.partitionBy("doc_id", "class")
     ranked = met.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
     return stage(ranked.where("rank <= `all` - least + 1").select("signature", "doc_id", "n").distinct())
