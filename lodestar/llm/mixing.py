@@ -46,7 +46,8 @@ def share(sources: DataFrame, most: float = 3.0) -> DataFrame:
     rows = rows.withColumn("lighter", F.coalesce(F.sum("weight").over(upto), F.lit(0)))
     rows = rows.withColumn("level", F.try_divide(F.sum("source_size").over(everything) - F.col("limited"), F.sum("weight").over(everything) - F.col("lighter")))
     # The level of the first source, in that order, that stays below its limit.
-    rows = rows.withColumn("level", F.coalesce(F.min(F.when(F.col("level") <= most * ratio, F.struct(ratio.alias("at"), F.col("level").alias("level")))).over(everything)["level"], F.lit(0.0)))
+    rows = rows.withColumn("place", F.row_number().over(order))
+    rows = rows.withColumn("level", F.coalesce(F.min(F.when(F.col("level") <= most * ratio, F.struct("place", "level"))).over(everything)["level"], F.lit(0.0)))
     return rows.withColumn("target", F.least(most * F.col("source_size"), F.col("level") * F.col("weight")).cast("double")).select(*sources.columns, "target")
 
 

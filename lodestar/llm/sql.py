@@ -41,10 +41,10 @@ WITH d AS (
 ), s AS (
     SELECT source, sum(size) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
 ), l AS (
-    SELECT *, 3.0 * source_size / weight AS ratio, coalesce(sum(3.0 * source_size) OVER w, 0) AS limited, coalesce(sum(weight) OVER w, 0) AS lighter, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+    SELECT *, 3.0 * source_size / weight AS ratio, coalesce(sum(3.0 * source_size) OVER w, 0) AS limited, coalesce(sum(weight) OVER w, 0) AS lighter, row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST) AS place, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
     FROM s WINDOW w AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), v AS (
-    SELECT source, source_size, CAST(least(3.0 * source_size, weight * (SELECT arg_min((total - limited) / (weights - lighter), ratio) FROM l WHERE (total - limited) / (weights - lighter) <= ratio)) AS DOUBLE) AS target FROM l
+    SELECT source, source_size, CAST(least(3.0 * source_size, weight * (SELECT arg_min((total - limited) / (weights - lighter), place) FROM l WHERE (total - limited) / (weights - lighter) <= ratio)) AS DOUBLE) AS target FROM l
 ), p AS (
     SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM v
 ), x AS (
