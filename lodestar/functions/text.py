@@ -141,7 +141,7 @@ def extract_gpa(c: Column) -> Column:
 
 def extract_rank(c: Column) -> Column:
     """The share of a year's best that may apply, in percent."""
-    return F.nullif(F.regexp_extract(c, r"(?:前|top\s*)([0-9]{1,2})\s*%", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(c, r"(?:前|top)\s*([0-9]{1,2})\s*%", 1), F.lit("")).cast("int")
 
 
 def is_recruiting(c: Column, words: str = "招收|招生|欢迎报考|欢迎加入|recruiting|openings?|looking for (?:students|postdocs)") -> Column:
