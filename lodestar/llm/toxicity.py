@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most labelled rows that a model is fitted on, and the most words of one of them that training looks at.
+#: The most labelled rows that a model is fitted on; of these, texts of more characters are left out of training, though scored like all.
 SAMPLE_ROWS = 5000
 SAMPLE_CHARS = 20_000
 
@@ -143,10 +143,10 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """At most ``rows`` distinct labelled texts from rows whose crc32(doc_id as text) mod 4 is not 2, chosen by hash."""
+    """Distinct texts of at most ``rows`` labelled rows, chosen by hash of those whose crc32(doc_id as text) mod 4 is not 2."""
     marks = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    found = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
     once = {}
     for r in sorted(found.collect(), key=lambda r: r["doc_id"]):
         once.setdefault(r["text"] or "", int(r["toxic"]))
