@@ -24,6 +24,7 @@ FACTS = (
 )
 _VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "source", "wbr"}
 _BOXES = {"tr", "li", "div", "article", "section", "dl", "td"}
+_BLOCKS = _BOXES | {"p", "h1", "h2", "h3", "dt", "dd", "th", "ul", "table"}
 _RECORDS = {"li", "div", "tr", "article", "dl", "p"}
 
 
@@ -116,11 +117,12 @@ class _Page(HTMLParser):
                 self.strong = None
             if tag in ("strong", "b") and text.endswith((":", "：")) or tag == "span" and "label" in (attrs.get("class") or ""):
                 self.strong = text
+            shown = f"\n{raw}\n" if tag in _BLOCKS else raw
             if parent is not None:
-                parent[2].append(raw if tag not in _BOXES | {"p", "h1", "h2", "h3", "dt", "dd", "th", "ul", "table"} else f"\n{raw}\n")
+                parent[2].append(shown)
                 parent[4] = parent[4] or href
             else:
-                self.text.append(raw)
+                self.text.append(shown)
 
     def facts(self, page_id) -> tuple:
         self._close(len(self.stack))
@@ -185,15 +187,20 @@ def person_links(links: DataFrame) -> DataFrame:
     return tagged.withColumn("n", F.row_number().over(w)).where("n = 1").select("page_id", "page_url", "url", shown.alias("name"), "strategy")
 
 
+#: A name at the start of a record, before a space, bracket, title or the end.
+_LEADING_NAME = rf"^([一-鿿]{{2,4}}?|[A-Z][a-z]+(?:\s[A-Z][a-z]+){{1,3}})(?=$|[\s（(,，:：]|{TITLES})"
+
+
 def repeated_records(facts: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     """Of each page the most frequent kind of node (tag and first class) of 3 to 200 that hold links, at least half of them and
     three naming a person; one row per node."""
     nodes = facts.select("page_id", F.col("url").alias("page_url"), F.posexplode("nodes").alias("at", "n")).select("page_id", "page_url", "at", "n.*").where("href is not null")
-    named = (X.clean_name(F.regexp_extract("text", "^([一-鿿]{2,5})", 1)) != "") | F.col("text").rlike(r"^[A-Z][a-z]+(?:\s[A-Z][a-z]+){1,3}\b")
+    name = F.regexp_extract("text", _LEADING_NAME, 1)
+    named = name != ""
     groups = nodes.groupBy("page_id", "fp").agg(F.count("*").alias("n"), F.count_if(named).alias("names"))
     best = groups.where(F.col("n").between(least, most) & (F.col("names") >= 3) & (F.col("names") * 2 >= F.col("n")))
     best = best.groupBy("page_id").agg(F.max_by("fp", F.struct("n", "fp")).alias("fp"))
-    return nodes.join(best, ["page_id", "fp"]).withColumn("name", F.regexp_extract("text", r"^([一-鿿]{2,5}|[A-Z][a-z]+(?:\s[A-Z][a-z]+){1,3})", 1)).withColumn("title", X.extract_title(F.col("text")))
+    return nodes.join(best, ["page_id", "fp"]).withColumn("name", name).withColumn("title", X.extract_title(F.col("text")))
 
 
 def person_objects(text: Column, least: int = 20, most: int = 800) -> Column:
