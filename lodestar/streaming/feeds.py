@@ -44,10 +44,17 @@ def replay(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
 
 
 
-def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, timeout_ms: int = 86_400_000) -> DataFrame:
+def _keep(state, times: pd.Series, keep_ms: int) -> None:
+    """Lets a state go when the watermark is ``keep_ms`` past its newest event."""
+    newest = int(times.max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
+
+
+def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, delay: str = "1 hour", keep_ms: int = 86_400_000) -> DataFrame:
     """(session_id, terms, n_events) after each batch: decayed weights of the terms of a session's last n events, as JSON.
 
-    ``stream`` is (session_id, ts, event_id, areas). State holds the n newest events of a session and goes after a day without any.
+    ``stream`` is (session_id, ts, event_id, areas). State holds the n newest events of a session and goes after a day without any;
+    events that come later than ``delay`` are dropped.
     """
     import json
     import re
@@ -62,9 +69,9 @@ def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, timeout
         events = json.loads(kept)
         for f in frames:
             events += [[t.isoformat(), int(e), a or ""] for t, e, a in zip(f["ts"], f["event_id"], f["areas"], strict=True)]
-        events = sorted(events, key=lambda x: (x[0], x[1]), reverse=True)[:n]
+        events = sorted(events, key=lambda x: (pd.Timestamp(x[0]), x[1]), reverse=True)[:n]
         state.update((json.dumps(events),))
-        state.setTimeoutDuration(timeout_ms)
+        _keep(state, pd.Series([pd.Timestamp(events[0][0])]), keep_ms)
         weights: dict[str, float] = {}
         for age, (_, _, areas) in enumerate(events):
             for term in re.split(SESSION_SEPARATORS, areas):
@@ -73,8 +80,8 @@ def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, timeout
                     weights[term] = weights.get(term, 0.0) + decay**age
         yield pd.DataFrame({"session_id": [key[0]], "terms": [json.dumps(weights, sort_keys=True, ensure_ascii=False)], "n_events": [len(events)]})
 
-    grouped = stream.select("session_id", "ts", "event_id", "areas").groupBy("session_id")
-    return grouped.applyInPandasWithState(update, "session_id long, terms string, n_events long", "events string", "update", "ProcessingTimeTimeout")
+    grouped = timed(stream.select("session_id", "ts", "event_id", "areas"), "ts", delay).groupBy("session_id")
+    return grouped.applyInPandasWithState(update, "session_id long, terms string, n_events long", "events string", "update", "EventTimeTimeout")
 
 
 def maintain_index(path: str, columns: list[str]) -> Callable[[DataFrame, int], None]:
@@ -107,15 +114,15 @@ def crawl_progress(events: DataFrame) -> DataFrame:
     return per.select("university", "most", "last_type", F.col("last_type").isin("scrape-start", "scrape-progress").alias("active"), (F.unix_timestamp("latest") - F.unix_timestamp("started")).alias("elapsed"))
 
 
-def dedupe_jobs(stream: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Triggers (job, event_id, type) that start a job while it isn't active; done or error frees it, as does the timeout."""
+def dedupe_jobs(stream: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000) -> DataFrame:
+    """Triggers (job, ts, event_id, type) that start a job while it isn't active; done or error frees it, as does an hour without events."""
 
     def update(key, frames: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
             state.remove()
             return
         active = state.get[0] if state.exists else False
-        rows = pd.concat(list(frames)).sort_values("event_id")
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         started = []
         for event, kind in zip(rows["event_id"], rows["type"], strict=True):
             if kind in ("scrape-done", "scrape-error"):
@@ -124,10 +131,11 @@ def dedupe_jobs(stream: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
                 active = True
                 started.append(event)
         state.update((active,))
-        state.setTimeoutDuration(timeout_ms)
+        _keep(state, rows["ts"], keep_ms)
         yield pd.DataFrame({"job": [key[0]] * len(started), "event_id": started}).astype({"event_id": "int64"})
 
-    return stream.select("job", "event_id", "type").groupBy("job").applyInPandasWithState(update, "job string, event_id long", "active boolean", "append", "ProcessingTimeTimeout")
+    grouped = timed(stream.select("job", "ts", "event_id", "type"), "ts", delay).groupBy("job")
+    return grouped.applyInPandasWithState(update, "job string, event_id long", "active boolean", "append", "EventTimeTimeout")
 
 
 def upsert_stream(path: str, kind: str = "people") -> Callable[[DataFrame, int], None]:
