@@ -8,10 +8,12 @@ the count of that cut piece. Truncation and budget questions are answered from t
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -20,7 +22,13 @@ from pyspark.sql import functions as F
 #: How the tokenizer file word_bpe_49k.json cuts normalised text, and its special strings.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+#: Texts of these characters only (ASCII and Latin letters, no other spaces or marks) are in normal form, and ranges say what is a letter or number.
+_ODD = re.compile("[^\t\n\r -~¡-ɏ]")
+_LETTERS, _NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _CACHE = 400_000
+#: Texts whose pieces are counted together.
+TEXTS = 100
 
 
 class PrefixCounter:
@@ -34,7 +42,7 @@ class PrefixCounter:
         self.tokenizer.no_padding()
         self.pieces = regex.compile(PIECES)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, SPECIALS)) + ")")
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = dict.fromkeys(SPECIALS, 1)
 
     def cut(self, text: str) -> list[tuple[str, list[tuple[int, int]]]]:
         """Parts of the text between special strings, normalised, each with the bounds of its pieces; a special string is one piece."""
@@ -51,17 +59,32 @@ class PrefixCounter:
         """The pieces themselves."""
         if "<|" in text and self.specials.search(text):
             return [part[a:b] for part, spans in self.cut(text) for a, b in spans]
+        if _ODD.search(text) is None:
+            return _LATIN.findall(text.lower())
         return self.pieces.findall(self.tokenizer.normalizer.normalize_str(text))
 
-    def learn(self, pieces) -> None:
-        """Counts the tokens of pieces that aren't known yet, by the library itself."""
-        new = [x for x in pieces if x not in self.known]
+    def learn(self, pieces: set[str]) -> None:
+        """Counts the tokens of pieces that aren't known yet, by the library itself: many at a time, with spaces between."""
+        new = list(pieces - self.known.keys())
         if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            self.known.update(zip(some, map(len, self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
+            self.known = dict.fromkeys(SPECIALS, 1)
+            new = list(pieces - self.known.keys())
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False).word_ids
+            counts = np.bincount(np.array(found, np.int64)).tolist() if None not in found else []
+            if len(counts) != len(some):
+                counts = [len(x) for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+            self.known.update(zip(some, counts, strict=True))
+
+    def tables(self, texts) -> Iterator[list[int]]:
+        """The prefix table of each text."""
+        texts = list(texts)
+        for at in range(0, len(texts), TEXTS):
+            cut = [self.words(x) if x else [] for x in texts[at : at + TEXTS]]
+            self.learn(set().union(*cut))
+            for pieces in cut:
+                yield list(accumulate(map(self.known.__getitem__, pieces)))
 
     def prefix(self, pieces: list[str]) -> list[int]:
         """Token count at the end of each piece."""
@@ -84,9 +107,9 @@ def _table(path: str):
         counter = PrefixCounter(path)
         for frame in frames:
             ids, tables = [], []
-            for i, text in zip(frame["id"], frame["text"], strict=True):
+            for i, table in zip(frame["id"], counter.tables(frame["text"]), strict=True):
                 ids.append(i)
-                tables.append(counter.prefix(counter.words(text)) if text else [])
+                tables.append(table)
                 if sum(map(len, tables)) > 500_000:
                     yield pd.DataFrame({"id": ids, "prefix_tokens": tables})
                     ids, tables = [], []
@@ -100,8 +123,7 @@ def _totals(path: str, limit: int):
         counter = PrefixCounter(path)
         for frame in frames:
             rows = []
-            for i, text in zip(frame["id"], frame["text"], strict=True):
-                table = counter.prefix(counter.words(text)) if text else []
+            for i, text, table in zip(frame["id"], frame["text"], counter.tables(frame["text"]), strict=True):
                 rows.append((i, len(text.encode("utf-8", "surrogatepass")) if text else 0, table[-1] if table else 0, len(table), bisect_right(table, limit)))
             yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_tokens", "n_pieces", "pieces_within"])
 
