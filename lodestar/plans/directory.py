@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.predicates import boolean_filter, has, all_of
+from ..functions.predicates import boolean_filter, has
 from ..functions.text import cross_domain
 from ..operators import aggregates as A
 from ..operators import joins as J
+from ..operators import searches as Q
 from ..operators import windows as W
+from ..sources import feeds as S
 from ..sources.fixtures import DIRECTION_TERMS, cte, direction_terms, table, view
 from .registry import query
 from .sqltext import keyword
@@ -62,15 +64,9 @@ def nest_departments(spark, sf_dir):
     return nested.join(flags, "name", "left").select("name", F.array_join(F.transform("departments", lambda d: F.concat(d["n"], F.lit(":"), d["c"])), ",").alias("nested"), "has_strong", "all_weak")
 
 
-def search_people_rows(people, university=None, department=None, name=None, limit=500):
-    """Substring filters that are given, by university, name and id."""
-    wanted = {"university": university, "department": department, "name": name}
-    return people.where(all_of(*[has(c, v) for c, v in wanted.items() if v])).orderBy("university", "name", "id").limit(limit)
-
-
-@query(f"WITH {cte('people')} SELECT id, name, university, department FROM people WHERE university ILIKE '%an%' AND department ILIKE '%build%' ORDER BY university, name, id LIMIT 500")
+@query(f"WITH {cte('people')} SELECT id, name, university, department FROM people WHERE contains(lower(university), 'n_1') AND department ILIKE '%mach%' ORDER BY university, name, id LIMIT 500")
 def search_people(spark, sf_dir):
-    return search_people_rows(view(spark, sf_dir, "people"), university="an", department="build").select("id", "name", "university", "department")
+    return Q.search_people(view(spark, sf_dir, "people"), university="n_1", department="mach").select("id", "name", "university", "department")
 
 
 @query(f"""WITH {cte("docs")} SELECT id FROM docs WHERE (contains(lower(research_areas), 'the') AND NOT contains(lower(university), 'src1')) OR contains(lower(research_areas), 'eaux') OR (contains(lower(name), '77') AND contains(lower(research_areas), 'der'))""")
@@ -90,9 +86,9 @@ def count_by_university(spark, sf_dir):
     return A.count_by(view(spark, sf_dir, "people"), "university")
 
 
-@query(f"WITH {cte('people')} SELECT count(*) AS n FROM people WHERE university ILIKE '%an%'")
+@query(f"WITH {cte('people')} SELECT count(*) AS n FROM people WHERE contains(lower(university), 'n_1')")
 def count_matching(spark, sf_dir):
-    return A.count_matching(view(spark, sf_dir, "people"), has("university", "an"))
+    return A.count_matching(view(spark, sf_dir, "people"), has("university", "n_1"))
 
 
 @query(f"WITH {cte('people')} SELECT DISTINCT department FROM people WHERE department IS NOT NULL")
@@ -163,3 +159,56 @@ def linked_names(spark, sf_dir):
     people = table(spark, sf_dir, "supplier").join(nation, F.expr("s_nationkey = n_nationkey")).select(F.col("s_suppkey").alias("id"), org.alias("org"))
     dim = nation.select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("tier"))
     return J.link_name(people, dim, "org").select("id", "org", "linked", "tier")
+
+
+_NOTICES = """notices AS (SELECT event_id AS id, 'http://n/' || event_id AS url, n_name AS university, CASE event_type WHEN 'view' THEN 'admission' WHEN 'click' THEN 'experience' WHEN 'error' THEN 'teacher' ELSE 'camp' END AS category,
+props AS title, event_type AS snippet, CAST(user_id AS VARCHAR) AS source, ts AS published_at FROM events JOIN nation ON n_nationkey = user_id % 25)"""
+
+
+@query(f"""WITH {_NOTICES} SELECT id, category FROM notices WHERE contains(lower(university), 'n_1') AND (title ILIKE '%1%' OR snippet ILIKE '%1%' OR source ILIKE '%1%')
+ORDER BY CASE category WHEN 'admission' THEN 0 WHEN 'experience' THEN 1 WHEN 'teacher' THEN 2 ELSE 3 END, published_at DESC, url LIMIT 1000""")
+def search_notices(spark, sf_dir):
+    category = F.expr("case event_type when 'view' then 'admission' when 'click' then 'experience' when 'error' then 'teacher' else 'camp' end")
+    events = table(spark, sf_dir, "events").join(table(spark, sf_dir, "nation"), F.expr("n_nationkey = user_id % 25"))
+    notices = events.select(F.col("event_id").alias("id"), F.concat(F.lit("http://n/"), F.col("event_id").cast("string")).alias("url"), F.col("n_name").alias("university"), category.alias("category"), F.col("props").alias("title"), F.col("event_type").alias("snippet"), F.col("user_id").cast("string").alias("source"), F.col("ts").alias("published_at"))
+    return Q.search_notices(notices, university="n_1", q="1").select("id", "category")
+
+
+@query(f"""WITH {cte("universities", "departments")} SELECT name, rank FROM universities u WHERE EXISTS (SELECT 1 FROM departments d WHERE d.univ_name = u.name AND com_status IN ('strong', 'mix_ds', 'cas_mix')) AND (name ILIKE '%i%' OR note ILIKE '%i%' OR EXISTS (SELECT 1 FROM departments d WHERE d.univ_name = u.name AND dept_name ILIKE '%i%'))""")
+def filter_universities(spark, sf_dir):
+    universities = view(spark, sf_dir, "universities").withColumn("province", F.lit(None).cast("string"))
+    return Q.filter_universities(universities, view(spark, sf_dir, "departments"), com="hasStrong", q="i").select("name", "rank")
+
+
+@query(f"""WITH {cte("universities", "departments")} SELECT name, 'with' AS panel FROM universities WHERE name IN (SELECT univ_name FROM departments WHERE dept_name <> 'BUILDING' AND com_status = 'strong') UNION ALL
+SELECT name, 'without' FROM universities WHERE name NOT IN (SELECT univ_name FROM departments WHERE dept_name <> 'BUILDING' AND com_status = 'strong')""")
+def directory_panels(spark, sf_dir):
+    departments = view(spark, sf_dir, "departments").where("dept_name <> 'BUILDING' and com_status = 'strong'")
+    having, lacking = Q.directory_panels(view(spark, sf_dir, "universities"), departments)
+    return having.select("name", F.lit("with").alias("panel")).union(lacking.select("name", F.lit("without")))
+
+
+@query(f"""WITH {cte("people")}, labs AS (SELECT s_suppkey AS lab_id, s_name AS lab_name, n_name AS university, s_suppkey * 7 % 1500 AS member FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+f AS (SELECT member, university, arg_min(lab_name, lab_id) AS lab FROM labs GROUP BY member, university)
+SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN department END, lab) AS lab_name FROM people LEFT JOIN f ON f.member = id AND f.university = people.university""")
+def backfilled_labs(spark, sf_dir):
+    people = view(spark, sf_dir, "people").select("id", F.col("id").cast("string").alias("name"), "university", F.expr("case when id % 3 = 0 then department when id % 3 = 1 then '' end").alias("lab_name"))
+    labs = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey")).select(F.col("s_suppkey").alias("lab_id"), F.col("s_name").alias("lab_name"), F.col("n_name").alias("university"), F.array(F.expr("cast(s_suppkey * 7 % 1500 as string)")).alias("members"))
+    return J.backfill_lab(people, labs).select("id", "lab_name")
+
+
+@query("""WITH y AS (SELECT o_custkey AS id, year(o_orderdate) + 20 AS y, count(*) AS w FROM orders GROUP BY ALL), p AS (SELECT id, sum(w) AS works, sum(w) * 100 AS cited, max(y) FILTER (w > 0 AND y BETWEEN 2015 AND 2030) AS active_year FROM y GROUP BY id)
+SELECT c_name AS name, works::INTEGER AS works_count, CASE WHEN cited >= 5000 THEN '教授' WHEN cited >= 800 THEN '副教授' ELSE '讲师/研究员' END AS title, active_year, c_mktsegment || '；' || c_name AS research_areas FROM p JOIN customer ON c_custkey = id WHERE works >= 2""")
+def author_dump(spark, sf_dir):
+    years = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), (F.year("o_orderdate") + 20).alias("year")).agg(F.count("*").alias("works_count"))
+    per = years.groupBy("c_custkey").agg(F.sum("works_count").alias("works_count"), (F.sum("works_count") * 100).alias("cited_by_count"), F.collect_list(F.struct("year", "works_count")).alias("counts_by_year"))
+    topic = F.array(F.struct(F.col("c_name").alias("display_name"), F.struct(F.col("c_mktsegment").alias("display_name")).alias("subfield")))
+    dump = per.join(table(spark, sf_dir, "customer"), "c_custkey").select(F.to_json(F.struct(F.col("c_name").alias("display_name"), "works_count", "cited_by_count", "counts_by_year", topic.alias("topics"))).alias("json"))
+    return S.read_author_dump(dump).select("name", "works_count", "title", "active_year", "research_areas")
+
+
+@query("""SELECT c_name AS name, '教授' AS title, c_mktsegment || '；' || CAST(c_nationkey AS VARCHAR) AS research_areas FROM customer""")
+def person_search(spark, sf_dir):
+    person = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name_zh"), F.lit("").alias("position"), F.array("c_mktsegment", F.col("c_nationkey").cast("string")).alias("tags"))
+    dump = table(spark, sf_dir, "customer").select("c_custkey", person.alias("p")).groupBy((F.col("c_custkey") % 40).alias("page")).agg(F.to_json(F.struct(F.collect_list("p").alias("data"))).alias("json"))
+    return S.read_person_search(dump, "u").select("name", "title", "research_areas")
