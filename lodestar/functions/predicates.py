@@ -151,7 +151,7 @@ def likely_faculty(snippet: Column, words=("教授", "副教授", "讲师", "研
     return F.coalesce(snippet.rlike("(?i)" + "|".join(map(re.escape, words))), F.lit(False))
 
 
-def notice_relevant(title: Column, words=("夏令营", "推免", "招生", "保研", "预推免", "admission", "summer")) -> Column:
+def notice_relevant(title: Column, words=("夏令营", "推免", "招生", "admission", "summer")) -> Column:
     return F.coalesce(title.rlike("(?i)" + "|".join(map(re.escape, words))), F.lit(False))
 
 

@@ -68,23 +68,26 @@ def like_recall(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def link_name(df: DataFrame, dim: DataFrame, column: str = "name", default_tier: str = "双非", guess: Column | None = None) -> DataFrame:
-    """Links a name to the first dimension row (id order) that equals it, else that holds it or is held by it.
+    """Links a name to the first dimension row (position, name, tier) that equals it, else that holds it or is held by it.
 
-    ``dim`` is (position, name, tier) and small: it is broadcast, as it has a row for each institution. Unlinked rows get the
+    Distinct names meet the dimension by 2-gram blocks, so names of one character link only if equal. Unlinked rows get the
     default tier and, if ``guess`` is given, a guessed province.
     """
-    d = dim.select(F.col("position"), F.col("name").alias("linked"), F.col("tier").alias("linked_tier"))
-    names = df.select(column).where(F.col(column).isNotNull()).distinct()
-    met = names.join(F.broadcast(d), F.contains(F.col("linked"), F.col(column)) | F.contains(F.col(column), F.col("linked")))
-    best = met.groupBy(column).agg(F.min(F.struct((F.col("linked") != F.col(column)).alias("inexact"), "position", "linked", "linked_tier")).alias("best"))
+    d = dim.select("position", F.col("name").alias("linked"), F.col("tier").alias("linked_tier"))
+    pairs = contained_terms(df.select(F.col(column).alias("q")), dim.select(F.col("name").alias("term")))
+    met = pairs.join(d, F.col("term") == F.col("linked"))
+    best = met.groupBy(F.col("q").alias(column)).agg(F.min(F.struct((F.col("linked") != F.col("q")).alias("inexact"), "position", "linked", "linked_tier")).alias("best"))
     out = df.join(best, column, "left").withColumn("linked", F.col("best.linked")).withColumn("tier", F.coalesce("best.linked_tier", F.lit(default_tier))).drop("best")
     return out.withColumn("province", F.when(F.col("linked").isNull(), guess)) if guess is not None else out
 
 
 def affiliation_join(df: DataFrame, universities: DataFrame, org: str = "org") -> DataFrame:
-    """Rows with universities (name, en_name) whose first two characters, or whose first English word, the organisation holds."""
-    dim = universities.select(F.col("name").alias("university"), F.left("name", F.lit(2)).alias("han"), F.lower(F.element_at(F.split(F.coalesce("en_name", F.lit("")), " "), 1)).alias("word"))
-    return df.join(F.broadcast(dim), F.contains(F.col(org), F.col("han")) | ((F.col("word") != "") & F.contains(F.lower(org), F.col("word")))).drop("han", "word")
+    """Rows with universities (name, en_name) whose first two characters, or whose first English word of two letters or more, the organisation holds."""
+    first_word = F.lower(F.element_at(F.split(F.coalesce("en_name", F.lit("")), " "), 1))
+    keys = universities.select(F.col("name").alias("university"), F.left("name", F.lit(2)).alias("q")).union(universities.select("name", first_word.alias("q"))).where("char_length(q) >= 2")
+    orgs = df.select(F.col(org).alias("__org"), F.lower(org).alias("term")).distinct()
+    met = contained_terms(keys, orgs, both_ways=False).join(keys, "q").join(orgs, "term").select(F.col("__org").alias(org), "university").distinct()
+    return df.join(met, org)
 
 
 def lookup(df: DataFrame, dictionary: DataFrame, key: str, out: str, fallback: bool = True) -> DataFrame:

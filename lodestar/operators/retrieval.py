@@ -142,20 +142,24 @@ def collaborative_boost(results: DataFrame, signal: DataFrame) -> DataFrame:
 
 
 def similar_users(requests: DataFrame, users: DataFrame, k: int) -> DataFrame:
-    """0.3 for the same grade bucket + 0.7 * cosine of 0/1 direction vectors over their common length; k best of each request.
+    """0.3 for the same grade bucket + 0.7 * cosine of 0/1 direction vectors over their common length; k best of each request, ties by user.
 
-    Pairs come from the bucket and from shared directions, as a pair with neither scores 0.
+    Users with the same bucket and vector score alike, so patterns meet instead of users, each with its k first users.
+    Patterns meet by bucket and by shared directions, as a pair with neither scores 0.
     """
-    hot = lambda df, i: df.select(i, F.posexplode("vector").alias("at", "v")).where("v > 0")
-    by_dir = hot(requests, "query_id").join(hot(users, "user_id").withColumnRenamed("v", "u"), "at").select("query_id", "user_id")
-    by_bucket = requests.select("query_id", "bucket").join(users.select("user_id", "bucket"), "bucket").select("query_id", "user_id")
-    pairs = by_dir.union(by_bucket).distinct().join(requests, "query_id").join(users.select("user_id", F.col("bucket").alias("ub"), F.col("vector").alias("uv")), "user_id")
-    n = F.least(F.size("vector"), F.size("uv"))
+    firsts = top_k_per_group(users.select("user_id", "bucket", "vector"), ["bucket", "vector"], ["user_id"], k)
+    theirs = firsts.groupBy(F.col("bucket").alias("ub"), F.col("vector").alias("uv")).agg(F.collect_list("user_id").alias("users"))
+    ours = requests.select("bucket", "vector").distinct()
+    hot = lambda df, b, v: df.select(b, v, F.posexplode(v).alias("at", "x")).where("x > 0").drop("x")
+    by_dir = hot(ours, "bucket", "vector").join(hot(theirs, "ub", "uv"), "at").select("bucket", "vector", "ub", "uv")
+    by_bucket = ours.join(theirs.select("ub", "uv"), F.col("bucket") == F.col("ub")).select("bucket", "vector", "ub", "uv")
+    pairs = by_dir.union(by_bucket).distinct().withColumn("n", F.least(F.size("vector"), F.size("uv")))
     dot = F.expr("aggregate(zip_with(slice(vector, 1, n), slice(uv, 1, n), (a, b) -> a * b), 0D, (s, x) -> s + x)")
     norm = lambda c: F.expr(f"sqrt(aggregate(slice({c}, 1, n), 0D, (s, x) -> s + x * x))")
     cos = F.coalesce(F.try_divide(dot, norm("vector") * norm("uv")), F.lit(0.0))
-    scored = pairs.withColumn("n", n).withColumn("score", F.round(0.3 * (F.col("bucket") == F.col("ub")).cast("int") + 0.7 * cos, 6))
-    return top_k_per_group(scored.select("query_id", "user_id", "score"), ["query_id"], [F.desc("score"), "user_id"], k)
+    scored = pairs.withColumn("score", F.round(0.3 * (F.col("bucket") == F.col("ub")).cast("int") + 0.7 * cos, 6)).join(theirs, ["ub", "uv"]).select("bucket", "vector", "score", F.explode("users").alias("user_id"))
+    best = top_k_per_group(scored, ["bucket", "vector"], [F.desc("score"), "user_id"], k)
+    return requests.select("query_id", "bucket", "vector").join(best, ["bucket", "vector"]).select("query_id", "user_id", "score")
 
 
 def content_recommend(requests: DataFrame, people: DataFrame, k: int, floor: float = 0.01) -> DataFrame:
@@ -207,7 +211,11 @@ def direction_match(wanted: DataFrame, texts: DataFrame, tree: DataFrame) -> Dat
     holds = tree.select("top", F.lower("top").alias("word")).union(tree.select("top", F.lower("mid"))).union(tree.select("top", F.lower("term"))).distinct()
     asked = wanted.select("query_id", F.explode("dirs").alias("dir")).distinct()
     by_top = asked.withColumn("word", F.lower("dir")).join(holds, "word").join(scores, "top").groupBy("query_id", "id", "dir").agg((0.7 * F.sum("score")).alias("part"))
-    named = asked.join(texts, F.contains(F.lower("text"), F.lower("dir"))).select("query_id", "id", "dir", F.lit(0.3).alias("part"))
+    # Wanted names come from the direction dictionary, so they are few: they fold into one predicate each over a text.
+    names = [r["dir"] for r in asked.select("dir").distinct().orderBy("dir").collect()]
+    text = F.lower(F.coalesce("text", F.lit("")))
+    said = texts.select("id", F.explode(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(n.lower())), F.lit(n)) for n in names]))).alias("dir")) if names else texts.select("id", F.lit(None).cast("string").alias("dir")).limit(0)
+    named = asked.join(said, "dir").select("query_id", "id", "dir", F.lit(0.3).alias("part"))
     n = wanted.select("query_id", F.size(F.array_distinct("dirs")).alias("n"))
     total = by_top.unionByName(named).groupBy("query_id", "id").agg(F.sum("part").alias("sum")).join(n, "query_id")
     return total.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("sum") / F.col("n")), 6).alias("direction"))
