@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SESSION_SEPARATORS, area_tags, match_reason, tier_boost, tokenize_windows, tokenize_words
-from .aggregates import idf
+from .aggregates import doc_freq, idf
 from .joins import contained_terms, like_recall, recall_join, restrict_to_tiers
 from .windows import decayed_terms, last_n, top_k_per_group
 
@@ -43,19 +43,20 @@ def recall_or_fallback(queries: DataFrame, index: dict[str, DataFrame], k: int)
     return hits.withColumn("route", F.lit("words")).unionByName(loose.select("query_id", "doc_id", F.col("hits").cast("double").alias("bm25"), F.lit("contains").alias("route")))
 
 
-def tfidf_score(candidates: DataFrame, queries: DataFrame, docs: DataFrame, idf_table: DataFrame, text_col: str = "research_areas") -> DataFrame:
-    """(query_id, doc_id, raw): over the query's terms q, the share of the document's distinct terms that hold q or are held by
-    it, times idf(q), 1 without one. Candidates without such a term score 0."""
-    wanted = candidates.select("doc_id").distinct()
-    terms = docs.select(F.col("id").alias("doc_id"), tokenize_windows(F.col(text_col)).alias("terms")).join(wanted, "doc_id", "left_semi").withColumn("n", F.greatest(F.size("terms"), F.lit(1)))
-    doc_terms = terms.select("doc_id", "n", F.explode("terms").alias("term"))
-    asked = query_terms(queries)
-    pairs = contained_terms(asked.select(F.col("term").alias("q")), doc_terms.select("term"))
-    met = candidates.select("query_id", "doc_id").join(doc_terms, "doc_id").join(pairs, "term").join(asked.withColumnRenamed("term", "q"), ["query_id", "q"])
-    counted = met.groupBy("query_id", "doc_id", "q").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+def tfidf_score(candidates: DataFrame, queries: DataFrame, docs: DataFrame, idf_table: DataFrame, vocabulary: DataFrame, text_col: str = "research_areas") -> DataFrame:
+    """(query_id, doc_id, raw, matched_terms): over the query's terms q, the share of the document's distinct terms that hold q or
+    are held by it, times idf(q), 1 without one. Candidates without such a term score 0.
+
+    Containment is found once between query terms and ``vocabulary`` (term), the distinct terms of the documents.
+    """
+    terms = docs.select(F.col("id").alias("doc_id"), tokenize_windows(F.col(text_col)).alias("terms"))
+    spread = candidates.select("query_id", "doc_id").join(terms, "doc_id").select("query_id", "doc_id", F.greatest(F.size("terms"), F.lit(1)).alias("n"), F.explode_outer("terms").alias("term"))
+    asked = query_terms(queries).withColumnRenamed("term", "q")
+    pairs = contained_terms(asked, vocabulary).join(asked, "q")
+    counted = spread.join(pairs, ["query_id", "term"], "left").groupBy("query_id", "doc_id", "q").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
     weight = counted.join(idf_table.select(F.col("term").alias("q"), "idf"), "q", "left")
-    scored = weight.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("hits") / F.col("n") * F.coalesce("idf", F.lit(1.0))), 6).alias("raw"), F.array_sort(F.collect_set("q")).alias("matched_terms"))
-    return candidates.select("query_id", "doc_id").join(scored, ["query_id", "doc_id"], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0))).withColumn("matched_terms", F.coalesce("matched_terms", F.array().cast("array<string>")))
+    part = F.when(F.col("q").isNotNull(), F.col("hits") / F.col("n") * F.coalesce("idf", F.lit(1.0))).otherwise(0.0)
+    return weight.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("raw"), F.array_sort(F.collect_set("q")).alias("matched_terms"))
 
 
 def match(queries: DataFrame, docs: DataFrame, limit: int, universities: DataFrame | None = None, tiers: list[str] | None = None, columns=("name", "research_areas", "university"), recall_k: int | None = None) -> DataFrame:
@@ -64,8 +65,8 @@ def match(queries: DataFrame, docs: DataFrame, limit: int, universities: DataFra
     pool = docs if universities is None or tiers is None else restrict_to_tiers(docs, universities, tiers)
     index = build_index(pool, list(columns))
     found = recall_or_fallback(queries, index, recall_k or min(3 * limit, 150))
-    weights = idf(docs.withColumn("terms", tokenize_windows(F.col("research_areas"))).select("terms"))
-    scored = tfidf_score(found, queries, pool, weights).join(pool.withColumnRenamed("id", "doc_id"), "doc_id")
+    tokens = docs.select(tokenize_windows(F.col("research_areas")).alias("terms"))
+    scored = tfidf_score(found, queries, pool, idf(tokens), doc_freq(tokens).select("term")).join(pool.withColumnRenamed("id", "doc_id"), "doc_id")
     full = F.col("raw") * tier_boost(F.col("university")) * F.when(F.col("recruiting"), 1.1).otherwise(1.0)
     out = scored.withColumn("raw_score", F.round(full, 6)).withColumn("score", F.least(F.lit(1.0), "raw_score"))
     return top_k_per_group(out, ["query_id"], [F.desc("score"), F.desc("raw_score"), "doc_id"], limit)
