@@ -51,9 +51,8 @@ def _keyed(hashing: Hashing):
             sizes = frame["embedding"].map(len)
             for _, part in frame.groupby(sizes, sort=False):
                 x = np.array(part["embedding"].tolist(), dtype=np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                good = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
-                part, unit = part[good], x[good] / norm[good, None]
+                x /= np.abs(x).max(axis=1, keepdims=True)  # neither very large nor very small vectors leave the range of doubles
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for at in range(0, len(part), 512):
                     rows = part.iloc[at : at + 512]
                     yield pd.DataFrame({"vec_id": rows["vec_id"].to_numpy(), "label": rows["label"].to_numpy(), "copies": rows["copies"].to_numpy(), "unit": list(unit[at : at + 512]), "keys": list(hashing.keys(unit[at : at + 512]))})
@@ -127,7 +126,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, hashing: Hashin
     stage = Stage(vectors.sparkSession, "neardup")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
     one = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.*")
-    usable = one.where("label is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x)) and exists(embedding, x -> x <> 0)")
+    usable = one.where("label is not null and size(embedding) > 0 and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(embedding, x -> x <> 0)")
     groups = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     firsts = groups.select(F.col("first").alias("vec_id"), "label", "copies", "embedding")
     keyed = stage(firsts.mapInPandas(_keyed(hashing), "vec_id long, label string, copies long, unit array<double>, keys array<int>"))

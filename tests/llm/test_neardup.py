@@ -42,5 +42,18 @@ def test_large_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in found} == {(59, 0)}
 
 
+def test_equal_vectors_that_are_not_finite_do_not_link(spark):
+    odd = [[float("inf"), 1.0], [float("-inf"), 1.0], [float("nan"), 1.0], [0.0, -0.0], [None, 1.0]]
+    rows = [(2 * i + k, x, 1) for i, x in enumerate(odd) for k in (0, 1)]
+    found = similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows) and all(r["n_links"] == 0 and r["kept"] for r in found)
+
+
+def test_very_large_and_very_small_vectors_link(spark):
+    rows = [(i, [x, x / 2], 1) for i, x in enumerate((1e200, 3.0, 1e-200))]
+    found = similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in found} == {(2, 0)}
+
+
 def test_empty(spark):
     assert similar_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
