@@ -15,6 +15,8 @@ from .common import BROADCAST_ROWS, Stage, small
 
 #: Relative distance from the threshold within which a sketch doesn't decide.
 BAND = 0.25
+#: The sites that make a line boilerplate: two may be a site and its mirror, or one quoting the other; a third is spread.
+SITES = 3
 
 
 def line_key(line: str) -> Column:
@@ -34,7 +36,7 @@ def spread_lines(lines: DataFrame, sites: int, stage: Stage) -> DataFrame:
     return stage(spread.where(F.col("spread") > sites * (1 + BAND)).select("key").union(exact))
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = 10, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``n_lines`` and ``n_removed`` (long).
 
     Lines are what \\n parts; a line counts as boilerplate if it has at least ``least_chars`` characters and at least ``sites``

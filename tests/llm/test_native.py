@@ -140,6 +140,24 @@ def test_lines_equal_plain_python(spark, sites):
     assert got == plain_lines(rows, sites, 20)
 
 
+@pytest.mark.parametrize("spread", [3, 4, 9])
+def test_passage_on_a_few_of_many_sites_is_boilerplate(spark, spread):
+    passage = " ".join(f"passage{k}" for k in range(60))
+    rows = [(i, f"own text of document number {i}", f"s{i % 20}") for i in range(200)]
+    rows += [(1000 + k, f"{passage}\nown end of document number {k}", f"s{k}") for k in range(spread)]
+    got = remove_boilerplate(docs(spark, rows)).collect()
+    assert [r["doc_id"] for r in got if passage in r["text"]] == [1000] and sum(r["n_removed"] for r in got) == spread - 1
+
+
+def test_passage_mostly_in_a_hot_source_is_boilerplate(spark):
+    passage, twice = (" ".join(f"{w}{k}" for k in range(60)) for w in ("passage", "twice"))
+    rows = [(i, f"own text of document number {i}", "hot" if i % 3 == 0 else f"s{i % 20}") for i in range(200)]
+    rows += [(1000 + k, f"{passage}\n{twice}", "hot") for k in range(15)] + [(1015, passage, "s1"), (1016, passage, "s2"), (1017, twice, "s1")]
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in remove_boilerplate(docs(spark, rows)).collect() if r["doc_id"] >= 1000}
+    assert [i for i, (_, t) in got.items() if passage in t] == [1000] and sum(n for n, _ in got.values()) == 16
+    assert sum(twice in t for _, t in got.values()) == 16  # two sites only
+
+
 def test_lines_without_rows(spark):
     assert remove_boilerplate(docs(spark, [])).collect() == []
 
