@@ -31,9 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays."""
-    groups = similar_documents(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near-duplicates the document with the least doc_id stays; documents without an id all stay."""
+    others = similar_documents(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

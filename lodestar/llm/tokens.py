@@ -137,16 +137,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
+    """(id, text): ids as strings, since pandas would make floats of longs with nulls among them."""
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _named(out: DataFrame) -> DataFrame:
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, prefix_tokens array<int>): the token count at the end of each piece of the text.
 
-    A null, empty or blank text has an empty table; rows that repeat stay; rows with a null id are left out; other
-    columns are ignored. ``tokens_total``, ``pieces_within`` and ``tokens_at`` answer questions from the table.
+    A null, empty or blank text has an empty table; rows that repeat stay, rows with a null id too; other columns
+    are ignored. ``tokens_total``, ``pieces_within`` and ``tokens_at`` answer questions from the table.
     """
-    return _rows(docs, id_col, text_col).mapInPandas(_table(path or tokenizer_path()), "id long, prefix_tokens array<int>").withColumnRenamed("id", "doc_id")
+    return _named(_rows(docs, id_col, text_col).mapInPandas(_table(path or tokenizer_path()), "id string, prefix_tokens array<int>"))
 
 
 def tokens_total(table: str = "prefix_tokens"):
@@ -170,5 +175,5 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None, id
     Counts are those of the tokenizer's library without added special tokens; special strings inside texts are one
     token each, as is the library's default. Nulls, repeated rows and other columns as in :func:`prefix_tables`.
     """
-    out = _rows(docs, id_col, text_col).mapInPandas(_totals(path or tokenizer_path(), limit), "id long, n_bytes long, n_tokens long, n_pieces long, pieces_within long")
-    return out.withColumnRenamed("id", "doc_id").withColumn("over_limit", F.col("n_tokens") > limit)
+    out = _rows(docs, id_col, text_col).mapInPandas(_totals(path or tokenizer_path(), limit), "id string, n_bytes long, n_tokens long, n_pieces long, pieces_within long")
+    return _named(out).withColumn("over_limit", F.col("n_tokens") > limit)

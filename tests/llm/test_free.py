@@ -104,6 +104,14 @@ def test_prefix_columns(spark):
     assert got == {1: (4, 2, 4, 3), 2: (0, 0, 0, 0)}
 
 
+def test_rows_without_an_id_are_counted(spark):
+    large = 2**60 + 1  # no float
+    df = spark.createDataFrame([(None, "one two"), (large, "one two"), (None, None)], "doc_id long, text string").coalesce(1)
+    got = Counter((r["doc_id"], r["n_bytes"]) for r in token_counts(df).collect())
+    assert got == Counter({(None, 7): 1, (large, 7): 1, (None, 0): 1})
+    assert Counter(r["doc_id"] for r in prefix_tables(df).collect()) == Counter({None: 2, large: 1})
+
+
 def toxic_rows(n=300):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))

@@ -47,6 +47,16 @@ def test_one_of_each_group_stays(stages):
     assert {r["doc_id"] for r in stages[3].collect()} == set(groups)
 
 
+def test_documents_without_an_id_stay(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, text), (None, None), (1, text), (2, text), (3, "other words than those of the first"), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, step in C.STAGES[1:3]:
+        docs = step(spark, docs, "")
+        assert Counter(r["doc_id"] for r in docs.collect())[None] == 3, name
+    assert Counter(r["doc_id"] for r in docs.collect()) == Counter([None, None, None, 1, 3, 4])
+
+
 def test_mix_repeats_as_decided(stages):
     want = Counter({r["doc_id"]: r["copies"] for r in take(stages[3]).collect() if r["copies"]})
     assert Counter(r["doc_id"] for r in stages[4].collect()) == want
