@@ -143,10 +143,14 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """Distinct texts of at most ``rows`` labelled rows, chosen by hash of those whose crc32(doc_id as text) mod 4 is not 2."""
+    """Distinct texts of at most ``rows`` labelled ids, chosen by hash of those whose crc32(doc_id as text) mod 4 is not 2.
+
+    Of an id that rows repeat one text is taken, the least, so the driver gets at most ``rows`` texts.
+    """
     marks = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
+    found = docs.select("doc_id", "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(some), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     once = {}
     for r in sorted(found.collect(), key=lambda r: r["doc_id"]):
         once.setdefault(r["text"] or "", int(r["toxic"]))

@@ -29,18 +29,17 @@ def _replace(df: DataFrame, path: str) -> None:
 
 
 def event_feed(path: str, order: tuple[str, ...] = ("ts", "event_id")) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that stores events with (batch, position): their order of arrival."""
+    """A foreachBatch step that stores events with their batch, sorted in many tasks; (batch, *order) is their order of arrival."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        position = F.row_number().over(Window.orderBy(*order))  # the rows of one batch
-        _replace(batch.withColumn("position", position), f"{path}/batch={batch_id}")
+        _replace(batch.orderBy(*order), f"{path}/batch={batch_id}")
 
     return step
 
 
-def replay(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
+def replay(spark: SparkSession, path: str, n: int = 100, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The last n events of a stored feed, numbered."""
-    return event_history(spark.read.parquet(path), n, ("batch", "position"))
+    return event_history(spark.read.parquet(path), n, ("batch", *order))
 
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import queries as Q
 from lodestar.llm.packing import best_fit, pack
 from lodestar.llm.tokens import PrefixCounter, pieces_within, prefix_tables, token_counts, tokenizer_path, tokens_at, tokens_total
-from lodestar.llm.toxicity import fit, score_documents
+from lodestar.llm.toxicity import fit, score_documents, training_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -156,3 +156,10 @@ def test_without_labels_or_rows(spark):
 
 def test_every_operator_has_a_query(spark):
     assert sorted({int(n[2:].split("_")[0]) for n in Q.queries()}) == list(range(1, 11))
+
+
+def test_training_takes_one_text_of_a_repeated_id(spark):
+    labelled = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.createDataFrame([(labelled, f"text {n}") for n in range(300)] + [(labelled, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(labelled, 1, 0), (labelled, 1, 1)], "doc_id long, quality int, toxic int")
+    assert training_sample(df, labels) == [("text 0", 1)]

@@ -129,3 +129,20 @@ def test_jobs_and_tables(spark, stored, tmp_path):
     L.conversation_log(f"{folder}/turns")(turns, 0)
     kept, own = L.conversation_state(spark, f"{folder}/turns", 1)
     assert [tuple(r) for r in kept.collect()] == [(1, 2, 1)] and own.count() == 2
+
+
+def test_feed_is_stored_by_many_tasks_and_replayed_in_order(spark, tmp_path):
+    rows = [(n * 7919 % 4000, n) for n in range(4000)]
+    events = spark.createDataFrame(rows, "ts long, event_id long").repartition(4)
+    step, path = L.event_feed(str(tmp_path)), str(tmp_path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        step(events, 0)
+        step(events.where("event_id < 5"), 1)
+        step(events.where("event_id < 5"), 1)  # replayed
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = spark.read.parquet(path)
+    assert stored.count() == 4005 and stored.where("batch = 0").select(F.input_file_name()).distinct().count() > 1
+    want = [i for _, i in (sorted(rows) + sorted(r for r in rows if r[1] < 5))[-50:]]
+    assert [r["event_id"] for r in L.replay(spark, path, 50).orderBy("seq").collect()] == want
