@@ -2,7 +2,7 @@
 
 A line that many sites show is boilerplate. Spread is the number of distinct sites of a line, estimated by one
 HyperLogLog sketch per line hash; sketches merge in the aggregation. Lines near the threshold get an exact count.
-Of a boilerplate line the corpus keeps the first copy (least doc_id, then position); the others go.
+Of a boilerplate line the corpus keeps the first copy (least doc_id, then position, then hash of the text); the others go.
 DataFrame functions only.
 """
 
@@ -41,22 +41,22 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, least_chars: int = 2
 
     Lines are what \\n parts; a line counts as boilerplate if it has at least ``least_chars`` characters and at least ``sites``
     distinct sites show it. A null site is a site of its own. A null text stays null and has no lines; an empty one has one empty
-    line. Rows with a null id keep their text, though their lines count. Rows that repeat an id are one document: a
-    position goes from all of them. Other columns pass through, but for n_lines and n_removed. No rows give no rows.
+    line. Rows with a null id keep their text, though their lines count. Rows that repeat an id with the same text
+    are one document: a position goes from all of them; of an id with several texts each loses its own lines only. Other columns pass through, but for n_lines and n_removed. No rows give no rows.
     """
     stage = Stage(docs.sparkSession, "lines")
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.xxhash64(site_col), F.lit(0)).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("digest"), F.coalesce(F.xxhash64(site_col), F.lit(0)).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("at", "line"))
     rows = rows.where(F.length(F.expr("btrim(line, ' \\t\\r')")) >= least_chars)
-    lines = stage(rows.select("doc", "site", "at", line_key("line").alias("key")))
+    lines = stage(rows.select("doc", "digest", "site", "at", line_key("line").alias("key")))
     spread = spread_lines(lines, sites, stage)
-    hits = stage(lines.join(small(spread), "key").where("doc is not null").select("key", "doc", "at"))
-    first = hits.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"))
-    extra = stage(hits.join(small(stage(first)), "key").where("struct(doc, at) <> first").select("doc", "at").distinct())
-    taken = extra.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("at").alias("__taken"))
+    hits = stage(lines.join(small(spread), "key").where("doc is not null").select("key", "doc", "at", "digest"))
+    first = hits.groupBy("key").agg(F.min(F.struct("doc", "at", "digest")).alias("first"))
+    extra = stage(hits.join(small(stage(first)), "key").where("struct(doc, at, digest) <> first").select("doc", "digest", "at").distinct())
+    taken = extra.groupBy(F.col("doc").alias("__doc"), F.col("digest").alias("__digest")).agg(F.collect_list("at").alias("__taken"))
     if extra.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         taken = F.broadcast(taken)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*keep).join(taken, F.col(id_col) == F.col("__doc"), "left")
+    out = docs.select(*keep).join(taken, (F.col(id_col) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__digest")), "left")
     parts = F.split(text_col, "\n", -1)
     cut = F.expr(f"array_join(filter(split(`{text_col}`, '\\n', -1), (l, i) -> not array_contains(__taken, i)), '\\n')")
     measures = [F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(parts)), F.lit(0)).cast("long").alias("n_lines")]

@@ -51,8 +51,9 @@ def _sets(n: int):
         hashes = WordHashes()
         for frame in batches(frames, "text"):
             s, start = shingle_sets(frame["text"], n, hashes)
+            which = np.where(frame["several"].to_numpy(bool), digests(s, start)[0], 0)
             members = [s[i:j].view(np.int64) for i, j in zip(start[:-1], start[1:], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n": np.diff(start), "members": members})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "which": which, "n": np.diff(start), "members": members})
 
     return run
 
@@ -70,10 +71,10 @@ def fragments(members) -> list[np.ndarray]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose overlaps, counted in each fragment and summed, reach the threshold."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("y"))
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    """Of the pairs (a, which_a, b, which_b), the (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
+    a = sets.select(F.col("doc_id").alias("a"), F.col("which").alias("which_a"), F.col("n").alias("n_a"), F.col("members").alias("x"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("which").alias("which_b"), F.col("n").alias("n_b"), F.col("members").alias("y"))
+    met = pairs.join(a, ["a", "which_a"]).join(b, ["b", "which_b"]).select("a", "b", "n_a", "n_b", "x", "y")
     counted = met.mapInPandas(_overlaps, "a long, b long, n_a long, n_b long, shared long")
     return counted.where(_similar(threshold)).select("a", "b").distinct()
 
@@ -137,15 +138,16 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     sketch = stage(docs.mapInPandas(_sketch(n, threshold), "doc_id long, n_shingles long, d1 long, d2 long, class int, least int, signatures array<long>"))
     sized = sketch.groupBy("doc_id", "d1", "d2").agg(F.max("n_shingles").alias("n_shingles"))
     first = sized.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
-    copies = stage(sized.join(first, ["d1", "d2"]).where("doc_id <> first").select("doc_id", "first").distinct())
+    copies = stage(sized.join(first, ["d1", "d2"]).where("doc_id <> first").select("doc_id", "d1", "d2", "first"))
+    several = stage(sized.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id", F.lit(True).alias("several")))
 
-    rare = _rarest(sketch, copies, stage)
-    wanted = rare.select("doc_id").distinct()
-    sets = stage(docs.join(small(stage(wanted)), "doc_id", "left_semi").mapInPandas(_sets(n), "doc_id long, n long, members array<long>"))
+    rare = _rarest(sketch, copies, several, stage)
+    wanted = rare.groupBy("doc_id").agg(F.max(F.col("which") != 0).alias("several"))
+    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), "doc_id long, which long, n long, members array<long>"))
 
     own = Window.partitionBy("signature")
-    met = rare.withColumn("pivot", F.min(F.struct("doc_id", "n")).over(own)).where(f"doc_id <> pivot.doc_id and least(n, pivot.n) >= {threshold} * greatest(n, pivot.n) - 1e-6")
-    pairs = stage(met.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    met = rare.withColumn("pivot", F.min(F.struct("doc_id", "n", "which")).over(own)).where(f"doc_id <> pivot.doc_id and least(n, pivot.n) >= {threshold} * greatest(n, pivot.n) - 1e-6")
+    pairs = stage(met.select(F.col("pivot.doc_id").alias("a"), F.col("pivot.which").alias("which_a"), F.col("doc_id").alias("b"), F.col("which").alias("which_b")).distinct())
     links = stage(_links(pairs, sets, threshold))
     found = components(links, stage)
     rest = stage(_unresolved(rare, found))
@@ -157,17 +159,21 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _rarest(sketch: DataFrame, copies: DataFrame, stage: Stage) -> DataFrame:
-    """(signature, doc_id, n): signatures that several sets have, for each document as many of the rarest as it needs."""
-    rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id")), "doc_id", "left_anti")
+def _rarest(sketch: DataFrame, copies: DataFrame, several: DataFrame, stage: Stage) -> DataFrame:
+    """(signature, doc_id, which, n): signatures that several sets have, for each set as many of the rarest as it needs.
+
+    which tells the texts of an id with several apart, by their digest; of other ids it is 0, which keeps the rows short.
+    """
+    rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id", "d1", "d2")), ["doc_id", "d1", "d2"], "left_anti")
+    rows = rows.join(small(several), "doc_id", "left").withColumn("which", F.when(F.col("several"), F.col("d1")).otherwise(F.lit(0)))
     # One number for the set's size (up to 2^27 shingles), its least share and its class keeps the rows of the large shuffle short.
     packed = F.expr("shiftleft(n_shingles, 36) + shiftleft(cast(least as bigint), 8) + class")
-    rows = rows.select("doc_id", packed.alias("set"), F.explode("signatures").alias("signature"))
+    rows = rows.select("doc_id", "which", packed.alias("set"), F.explode("signatures").alias("signature"))
     met = stage(rows.withColumn("spread", F.count("*").over(Window.partitionBy("signature"))).where("spread > 1"))
-    met = met.select("doc_id", "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
-    own = Window.partitionBy("doc_id", "class")
+    met = met.select("doc_id", "which", "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
+    own = Window.partitionBy("doc_id", "which", "class")
     ranked = met.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
-    return stage(ranked.where("rank <= `all` - least + 1").select("signature", "doc_id", "n").distinct())
+    return stage(ranked.where("rank <= `all` - least + 1").select("signature", "doc_id", "which", "n").distinct())
 
 
 def _unresolved(rare: DataFrame, found: DataFrame) -> DataFrame:
@@ -175,19 +181,19 @@ def _unresolved(rare: DataFrame, found: DataFrame) -> DataFrame:
     own = Window.partitionBy("signature")
     rows = rare.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = rows.withColumn("met", F.count("*").over(own)).withColumn("least", F.min("component").over(own)).withColumn("most", F.max("component").over(own))
-    return rows.where("met > 2 and least < most").select("signature", "doc_id", "component", "n", "met")
+    return rows.where("met > 2 and least < most").select("signature", "doc_id", "which", "component", "n", "met")
 
 
 def _few(rest: DataFrame, threshold: float) -> DataFrame:
     rest = rest.where(f"met <= {FEW}")
-    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    return a.join(b, "signature").where(f"a < b and ca <> cb and least(na, nb) >= {threshold} * greatest(na, nb) - 1e-6").select("a", "b").distinct()
+    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    return a.join(b, "signature").where(f"a < b and ca <> cb and least(na, nb) >= {threshold} * greatest(na, nb) - 1e-6").select("a", "which_a", "b", "which_b").distinct()
 
 
 def _many(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links between components, from blocks of bounded size that meet each other under a signature."""
     rows = rest.where(f"met > {FEW}").withColumn("blocks", F.expr(f"cast(ceil(met / {BLOCK}) as int)"))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component")
-    met = rows.join(sets, "doc_id").select("signature", "low", "high", "doc_id", "component", "n", "members")
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "which", "component")
+    met = rows.join(sets, ["doc_id", "which"]).select("signature", "low", "high", "doc_id", "component", "n", "members")
     return met.groupBy("signature", "low", "high").applyInPandas(_block_links(threshold), "a long, b long")

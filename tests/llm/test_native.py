@@ -158,6 +158,13 @@ def test_passage_mostly_in_a_hot_source_is_boilerplate(spark):
     assert sum(twice in t for _, t in got.values()) == 16  # two sites only
 
 
+def test_texts_of_one_id_lose_their_own_lines_only(spark):
+    line, other = "a line that many sites show", "no boilerplate in the other text"
+    rows = [(k, line, f"s{k}") for k in range(4)] + [(9, f"{line}\nfirst end", "s9"), (9, f"{other}\nsecond end", "s9"), (9, f"{line}\nfirst end", "s9")]
+    got = Counter((r["doc_id"], r["n_removed"], r["text"]) for r in remove_boilerplate(docs(spark, rows), 3).collect() if r["doc_id"] in (0, 9))
+    assert got == Counter({(0, 0, line): 1, (9, 1, "first end"): 2, (9, 0, f"{other}\nsecond end"): 1})
+
+
 def test_lines_without_rows(spark):
     assert remove_boilerplate(docs(spark, [])).collect() == []
 

@@ -80,6 +80,21 @@ def test_empty_null_and_clashing_columns(spark):
     assert similar_documents(spark.createDataFrame([(5, None)], SCHEMA)).collect()[0].asDict() == {"doc_id": 5, "n_shingles": 0, "component_id": 5}
 
 
+@pytest.mark.parametrize("few", [24, 1])
+def test_ids_with_several_texts_equal_brute_force(spark, monkeypatch, few):
+    import lodestar.llm.ngram_join as m
+
+    monkeypatch.setattr(m, "FEW", few)
+    text = lambda w, k=40: " ".join(f"{w}{i}" for i in range(k))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (9, text("b") + " more"), (20, text("c")), (20, text("d")), (21, text("d") + " x"), (22, text("d") + " y"), (22, text("c")), (30, None), (30, text("e")), (31, text("e") + " z"), (31, text("f"))]
+    rows += [(i % 40 + 100, t) for i, (_, t) in enumerate(corpus(8)[:160])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(df, 4, 0.85).collect()}
+    assert found == brute(rows, 4, 0.85)
+    part = [r for r in rows if r[0] < 20]
+    assert {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(part, SCHEMA), 4, 0.85).collect()} == {3: 3, 5: 3, 9: 3}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.lists(st.integers(0, 2**64 - 1), max_size=20), st.integers(0, 20), st.sampled_from([0.8, 0.85, 0.95]))
 def test_similar_sets_share_a_signature(members, added, dropped, t):
