@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is cut into fragments (see :mod:`.shingles`). Two sets that are similar enough
-share a whole fragment, so documents meet under hashes of whole fragments; of these each document keeps its
-rarest ones, as many as a similar partner needs. A pair that meets is counted fragment by fragment, and the
-partial overlaps are summed per pair. The result is exact up to collisions of 64-bit hashes.
-
-Only one document of each set goes further, so copies cost nothing. A fragment's documents are first compared
-with one of them alone. Where that leaves them in different components, the rest is compared: few documents
-pair by pair, many in blocks of bounded size inside tasks, which return a spanning forest of the links.
+The global order of n-grams is cut into fragments. What a document has in a fragment is a row of its own; overlaps of a
+pair are counted in each fragment separately, in whatever task the fragment's rows meet, and summed per pair. The
+result is exact up to collisions of 64-bit hashes.
+
+Which pairs are counted: two sets that are similar enough share a whole cell of a finer cut (see :mod:`.shingles`), so
+documents meet under hashes of whole cells; of these each document keeps its rarest ones, as many as a similar partner
+needs. A pair whose cells are too unequal in size to reach the threshold is left out before any members travel.
+
+Only one document of each set goes further, so copies cost nothing. The documents of a signature are first compared
+with one of them alone, then, where many stay in different components, with others chosen by hash; what is still
+unresolved is paired row by row if the documents are few, and in blocks of bounded size inside tasks if they are many.
 """
 
 from __future__ import annotations
@@ -20,15 +23,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stage, components, small
-from .shingles import Cuts, WordHashes, batches, digests, overlap, shingle_sets
+from .shingles import Cuts, WordHashes, batches, digests, shingle_sets
 
-#: Documents of one fragment that are paired row by row; more go into blocks.
+#: Fragments in which overlaps are counted apart, a range of the global order each; and finer ranges of which only sizes are compared.
+FRAGMENTS = 16
+RANGES = 64
+#: Documents of one signature that are paired row by row; more go into blocks of so many.
 FEW = 24
 BLOCK = 256
-#: Fragments in which overlaps are counted apart, a range of the global order each.
-PARTS = 4
-#: Distinct n-grams of a fragment in blocks.
-SPAN = 4096
+#: How often the documents of a large signature are compared with one of them, as long as that finds links.
+ROUNDS = 4
+#: A signature that so many documents of a sixteenth of the corpus have is counted apart from the others.
+HOT = 64
+
+KEY = ["doc_id", "which"]
 
 
 def _sketch(n: int, threshold: float):
@@ -52,30 +60,29 @@ def _sets(n: int):
         for frame in batches(frames, "text"):
             s, start = shingle_sets(frame["text"], n, hashes)
             which = np.where(frame["several"].to_numpy(bool), digests(s, start)[0], 0)
-            members = [s[i:j].view(np.int64) for i, j in zip(start[:-1], start[1:], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "which": which, "n": np.diff(start), "members": members})
+            rows = []
+            for i, w, x, y in zip(frame["doc_id"].to_numpy(), which, start[:-1], start[1:], strict=True):
+                own = s[x:y]
+                sizes = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+                ends = np.cumsum(sizes)[RANGES // FRAGMENTS - 1 :: RANGES // FRAGMENTS]
+                rows.append((i, w, y - x, sizes, [p.view(np.int64) for p in np.split(own, ends[:-1])]))
+            yield pd.DataFrame(rows, columns=["doc_id", "which", "n", "sizes", "parts"])
 
     return run
 
 
-def _overlaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        shared = [sum(map(overlap, fragments(x), fragments(y))) for x, y in zip(f["x"], f["y"], strict=True)]
-        yield pd.DataFrame({"a": f["a"], "b": f["b"], "n_a": f["n_a"], "n_b": f["n_b"], "shared": shared})
-
-
-def fragments(members) -> list[np.ndarray]:
-    """A sorted set cut where the global order is cut: ranges in which overlaps are counted apart."""
-    s = np.asarray(members).view(np.uint64)
-    return np.split(s, np.searchsorted(s, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(62)))
-
-
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, which_a, b, which_b), the (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("which").alias("which_a"), F.col("n").alias("n_a"), F.col("members").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("which").alias("which_b"), F.col("n").alias("n_b"), F.col("members").alias("y"))
-    met = pairs.join(a, ["a", "which_a"]).join(b, ["b", "which_b"]).select("a", "b", "n_a", "n_b", "x", "y")
-    counted = met.mapInPandas(_overlaps, "a long, b long, n_a long, n_b long, shared long")
+    side = lambda x, *more: sets.select(F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("n").alias(f"n_{x}"), *more)
+    met = pairs.join(side("a", F.col("sizes").alias("s_a")), ["a", "which_a"]).join(side("b", F.col("sizes").alias("s_b")), ["b", "which_b"])
+    most = "aggregate(zip_with(s_a, s_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)"
+    met = met.withColumn("shared", F.expr(most)).where(_similar(threshold)).select("a", "which_a", "b", "which_b", "n_a", "n_b")
+    members = sets.select("doc_id", "which", F.posexplode("parts").alias("fragment", "members")).where("size(members) > 0")
+    x = members.select(F.col("doc_id").alias("a"), F.col("which").alias("which_a"), "fragment", F.col("members").alias("x"))
+    y = members.select(F.col("doc_id").alias("b"), F.col("which").alias("which_b"), "fragment", F.col("members").alias("y"))
+    both = met.join(x, ["a", "which_a"]).join(y, ["b", "which_b", "fragment"])
+    partial = both.select("a", "which_a", "b", "which_b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("partial"))
+    counted = partial.groupBy("a", "which_a", "b", "which_b", "n_a", "n_b").agg(F.sum("partial").alias("shared"))
     return counted.where(_similar(threshold)).select("a", "b").distinct()
 
 
@@ -85,40 +92,18 @@ def _similar(threshold: float):
     return F.expr(f"10000 * shared >= {percent} * (n_a + n_b - shared)")
 
 
-def _block_links(threshold: float):  # applied to the rows of one pair of blocks
+def _block_pairs(threshold: float):  # applied to the rows of one pair of blocks
     percent = round(threshold * 10_000)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, size, group = (frame[c].to_numpy() for c in ("doc_id", "n", "component"))
-        m = len(ids)
-        values = np.concatenate([np.asarray(x) for x in frame["members"]]).view(np.uint64)
-        owner = np.repeat(np.arange(m), size)
-        order = np.argsort(values, kind="stable")
-        owner, values = owner[order], values[order]
-        at = np.cumsum(np.concatenate(([0], values[1:] != values[:-1])))
-        shared = np.zeros((m, m), np.float32)
-        for low in range(0, int(at[-1]) + 1, SPAN):  # a fragment of the global order at a time
-            i, j = np.searchsorted(at, [low, low + SPAN])
-            has = np.zeros((m, SPAN), np.float32)
-            has[owner[i:j], at[i:j] - low] = 1
-            shared += has @ has.T
-        whole = shared.astype(np.int64)
-        linked = (10_000 * whole >= percent * (size[:, None] + size[None, :] - whole)) & (group[:, None] != group[None, :])
-        root = list(range(m))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        ids, which, size, group = (frame[c].to_numpy() for c in ("doc_id", "which", "n", "component"))
+        sizes = np.array(frame["sizes"].tolist(), np.int64)
         rows = []
-        for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                rows.append((ids[i], ids[j]))
-        return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+        for i in range(len(ids)):
+            most = np.minimum(sizes[i], sizes[i + 1 :]).sum(axis=1)
+            near = 10_000 * most >= percent * (size[i] + size[i + 1 :] - most)
+            rows += [(ids[i], which[i], ids[j], which[j]) for j in i + 1 + np.flatnonzero(near & (group[i] != group[i + 1 :]))]
+        return pd.DataFrame(rows, columns=["a", "which_a", "b", "which_b"]).astype("int64")
 
     return run
 
@@ -126,7 +111,7 @@ def _block_links(threshold: float):  # applied to the rows of one pair of blocks
 def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links documents whose sets of n-word shingles have Jaccard similarity >= threshold, and gives each its component.
 
-    Returns one row per row of ``docs``: doc_id long, n_shingles long, component_id long (the least doc_id that links
+    Returns one row per id of ``docs``: doc_id long, n_shingles long, component_id long (the least doc_id that links
     reach, itself included). Words are runs outside ASCII white space with A-Z lower-cased. A text of fewer than n words
     has one shingle, all its words. A null, empty or blank text has none and links with nothing. Rows with a null id
     are left out, as they can't be named; rows that repeat an id with the same text come once, and rows that give an
@@ -136,25 +121,29 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     stage = Stage(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sketch = stage(docs.mapInPandas(_sketch(n, threshold), "doc_id long, n_shingles long, d1 long, d2 long, class int, least int, signatures array<long>"))
-    sized = sketch.groupBy("doc_id", "d1", "d2").agg(F.max("n_shingles").alias("n_shingles"))
+    sized = stage(sketch.groupBy("doc_id", "d1", "d2").agg(F.max("n_shingles").alias("n_shingles")))
     first = sized.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     copies = stage(sized.join(first, ["d1", "d2"]).where("doc_id <> first").select("doc_id", "d1", "d2", "first"))
     several = stage(sized.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id", F.lit(True).alias("several")))
 
     rare = _rarest(sketch, copies, several, stage)
+    stage.drop(sketch)
     wanted = rare.groupBy("doc_id").agg(F.max(F.col("which") != 0).alias("several"))
-    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), "doc_id long, which long, n long, members array<long>"))
-
-    own = Window.partitionBy("signature")
-    met = rare.withColumn("pivot", F.min(F.struct("doc_id", "n", "which")).over(own)).where(f"doc_id <> pivot.doc_id and least(n, pivot.n) >= {threshold} * greatest(n, pivot.n) - 1e-6")
-    pairs = stage(met.select(F.col("pivot.doc_id").alias("a"), F.col("pivot.which").alias("which_a"), F.col("doc_id").alias("b"), F.col("which").alias("which_b")).distinct())
-    links = stage(_links(pairs, sets, threshold))
-    found = components(links, stage)
-    rest = stage(_unresolved(rare, found))
-    pairs = _few(rest, threshold)
-    more = _links(pairs, sets, threshold).union(_many(rest, sets, threshold))
-    edges = links.union(more).union(copies.select("doc_id", "first"))
-    found = components(stage(edges), stage).withColumnRenamed("node", "doc_id")
+    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, sizes array<long>, parts array<array<long>>").dropDuplicates(KEY))
+
+    links = stage(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold))
+    rest = stage(_unresolved(rare, components(links, stage)))
+    for step in range(1, ROUNDS):
+        large = rest.where(f"met > {FEW}")
+        some = None if large.isEmpty() else stage(_links(stage(_with_pivot(large, step, threshold)), sets, threshold))
+        if some is None or some.isEmpty():
+            break
+        links = links.union(some)
+        rest = stage(_unresolved(rare, components(links, stage)))
+    more = _few(rest, threshold).union(_many(rest, sets, threshold)).distinct()
+    edges = links.union(_links(stage(more), sets, threshold)).union(copies.select("doc_id", "first"))
+    found = components(edges, stage).withColumnRenamed("node", "doc_id")
+    stage.drop(sets, rare, rest)
     out = sized.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -163,25 +152,48 @@ def _rarest(sketch: DataFrame, copies: DataFrame, several: DataFrame, stage: Sta
     """(signature, doc_id, which, n): signatures that several sets have, for each set as many of the rarest as it needs.
 
     which tells the texts of an id with several apart, by their digest; of other ids it is 0, which keeps the rows short.
+    Signatures that very many documents have show in a sixteenth of these; they are counted by an aggregation that
+    combines before it shuffles, so no task gathers them. All others have few documents each, and one window counts and filters them.
     """
     rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id", "d1", "d2")), ["doc_id", "d1", "d2"], "left_anti")
     rows = rows.join(small(several), "doc_id", "left").withColumn("which", F.when(F.col("several"), F.col("d1")).otherwise(F.lit(0)))
     # One number for the set's size (up to 2^27 shingles), its least share and its class keeps the rows of the large shuffle short.
     packed = F.expr("shiftleft(n_shingles, 36) + shiftleft(cast(least as bigint), 8) + class")
     rows = rows.select("doc_id", "which", packed.alias("set"), F.explode("signatures").alias("signature"))
-    met = stage(rows.withColumn("spread", F.count("*").over(Window.partitionBy("signature"))).where("spread > 1"))
-    met = met.select("doc_id", "which", "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
+    sixteenth = sketch.where("n_shingles > 0 and pmod(xxhash64(doc_id), 16) = 0").select(F.explode("signatures").alias("signature"))
+    hot = stage(sixteenth.groupBy("signature").count().where(f"count >= {HOT}").select("signature"))
+    counted = F.count("*").over(Window.partitionBy("signature"))
+    if hot.isEmpty():
+        met = rows.withColumn("spread", counted)
+    else:
+        common = rows.join(small(hot), "signature")
+        spread = stage(common.groupBy("signature").agg(F.count("*").alias("spread")))
+        met = rows.join(small(hot), "signature", "left_anti").withColumn("spread", counted).unionByName(common.join(small(spread), "signature"))
+    met = stage(met.where("spread > 1"))
+    some = met.select(*KEY, "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
     own = Window.partitionBy("doc_id", "which", "class")
-    ranked = met.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
-    return stage(ranked.where("rank <= `all` - least + 1").select("signature", "doc_id", "which", "n").distinct())
+    ranked = some.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
+    rare = stage(ranked.where("rank <= `all` - least + 1").select("signature", *KEY, "n").distinct())
+    stage.drop(met)
+    return rare
+
+
+def _with_pivot(rows: DataFrame, step: int, threshold: float) -> DataFrame:
+    """Pairs of one document of each signature, the least at step 0 and then one by hash, with the others that aren't in its component yet."""
+    order = F.col("doc_id") if step == 0 else F.xxhash64("doc_id", F.lit(step))
+    known = [c for c in ("component",) if c in rows.columns]
+    pivots = rows.groupBy("signature").agg(F.min(F.struct(order.alias("order"), *KEY, "n", *known)).alias("pivot"))
+    met = rows.join(pivots, "signature").where(f"doc_id <> pivot.doc_id and least(n, pivot.n) >= {threshold} * greatest(n, pivot.n) - 1e-6")
+    if known:
+        met = met.where("component <> pivot.component")
+    return met.select(F.col("pivot.doc_id").alias("a"), F.col("pivot.which").alias("which_a"), F.col("doc_id").alias("b"), F.col("which").alias("which_b")).distinct()
 
 
 def _unresolved(rare: DataFrame, found: DataFrame) -> DataFrame:
     """Documents under a signature whose documents aren't in one component yet."""
-    own = Window.partitionBy("signature")
     rows = rare.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = rows.withColumn("met", F.count("*").over(own)).withColumn("least", F.min("component").over(own)).withColumn("most", F.max("component").over(own))
-    return rows.where("met > 2 and least < most").select("signature", "doc_id", "which", "component", "n", "met")
+    groups = rows.groupBy("signature").agg(F.count("*").alias("met"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.join(groups.where("met > 2 and low < high"), "signature").select("signature", *KEY, "component", "n", "met")
 
 
 def _few(rest: DataFrame, threshold: float) -> DataFrame:
@@ -191,9 +203,9 @@ def _few(rest: DataFrame, threshold: float) -> DataFrame:
 
 
 def _many(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between components, from blocks of bounded size that meet each other under a signature."""
+    """Pairs in different components that may be similar, from blocks of bounded size that meet each other under a signature; only sizes by range travel."""
     rows = rest.where(f"met > {FEW}").withColumn("blocks", F.expr(f"cast(ceil(met / {BLOCK}) as int)"))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "which", "component")
-    met = rows.join(sets, ["doc_id", "which"]).select("signature", "low", "high", "doc_id", "component", "n", "members")
-    return met.groupBy("signature", "low", "high").applyInPandas(_block_links(threshold), "a long, b long")
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *KEY, "component")
+    met = rows.join(sets.select(*KEY, "n", "sizes"), KEY).select("signature", "low", "high", *KEY, "component", "n", "sizes")
+    return met.groupBy("signature", "low", "high").applyInPandas(_block_pairs(threshold), "a long, which_a long, b long, which_b long")

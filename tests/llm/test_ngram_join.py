@@ -56,11 +56,17 @@ def test_equals_brute_force(spark, n, t):
     assert found == brute(rows, n, t)
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize(("rounds", "hot"), [(1, 64), (4, 1)])
+def test_large_group_of_near_copies(spark, monkeypatch, rounds, hot):
+    import lodestar.llm.common as c
     import lodestar.llm.ngram_join as m
 
     monkeypatch.setattr(m, "FEW", 4)
     monkeypatch.setattr(m, "BLOCK", 16)
+    monkeypatch.setattr(m, "ROUNDS", rounds)
+    monkeypatch.setattr(m, "HOT", hot)
+    monkeypatch.setattr(c, "ALL", 0 if hot == 1 else 100_000)
+    monkeypatch.setattr(c, "HUB", 3)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(60)]
     rows = []
