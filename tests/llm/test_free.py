@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import queries as Q
 from lodestar.llm.packing import best_fit, pack
 from lodestar.llm.tokens import PrefixCounter, pieces_within, prefix_tables, token_counts, tokenizer_path, tokens_at, tokens_total
-from lodestar.llm.toxicity import fit, score_documents, training_sample
+from lodestar.llm.toxicity import Bag, bag, fit, score_documents, training_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -151,7 +151,7 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in score_documents(df, none).collect()] == [0, 0]
     assert score_documents(df.limit(0), none).collect() == []
-    assert fit([], []).combine([]) < 0.01
+    assert fit([], {}).combine([]) < 0.01 and fit([Bag(1, 2, (), ())], {}).combine([]) > 0.99
 
 
 def test_every_operator_has_a_query(spark):
@@ -162,4 +162,26 @@ def test_training_takes_one_text_of_a_repeated_id(spark):
     labelled = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
     df = spark.createDataFrame([(labelled, f"text {n}") for n in range(300)] + [(labelled, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(labelled, 1, 0), (labelled, 1, 1)], "doc_id long, quality int, toxic int")
-    assert training_sample(df, labels) == [("text 0", 1)]
+    assert [tuple(r) for r in training_sample(df, labels).collect()] == [("", 1)]
+
+
+def test_bags_hold_whole_texts():
+    known = {b"bad": 0, b"^wret": 1, b"wretch": 2}
+    assert bag("a bad wretch. a BAD wretch! bad" + " fine. so" * 50_000 + ". bad.", 1, known) == Bag(1, 50_000, ((0,), (0, 1, 2)), (2, 2))
+    assert bag(None, 0, known) == Bag(0, 0, (), ())
+
+
+def test_kept_columns_named_as_results(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "s")], "doc_id long, text string, score int, source string")
+    out = score_documents(df, spark.createDataFrame([], "doc_id long, quality int, toxic int"), keep=["doc_id", "score", "source", "text"])
+    assert out.columns == ["doc_id", "source", "text", "score", "n_sentences", "toxic_sentences", "predicted"] and out.first()["score"] < 0.01
+
+
+def test_held_out_accuracy(spark):
+    scored = Q.op5_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    rows = scored.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("toxic is not null").select("score", "predicted", "toxic").collect()
+    good, bad = ([r["score"] for r in rows if r["toxic"] == y] for y in (1, 0))
+    auc = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    hit = sum(r["predicted"] and r["toxic"] for r in rows)
+    print(auc, hit / sum(r["predicted"] for r in rows), hit / len(good))
+    assert auc >= 0.97 and hit >= 0.9 * sum(r["predicted"] for r in rows) and hit >= 0.85 * len(good)
