@@ -51,36 +51,48 @@ def share(sources: DataFrame, most: float = 3.0) -> DataFrame:
     return rows.withColumn("target", F.least(most * F.col("source_size"), F.col("level") * F.col("weight")).cast("double")).select(*sources.columns, "target")
 
 
-def _bucket(level: int) -> Column:
-    first, n = LEVELS[level]
-    return F.conv(F.substring("hash", first, n), 16, 10).cast("long")
+def _hash(doc_id: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 10)
 
 
-def take(docs: DataFrame, most: float = 3.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each document; ``copies`` <= ``most``.
+def _bucket(level: int, of: str | Column = "hash") -> Column:
+    first, n = LEVELS[level]
+    return F.conv(F.substring(of, first, n), 16, 10).cast("long")
 
-    Sizes are words. Every document is taken floor(target / source_size) times, and once more if its hash is below its
-    source's threshold. A source's words differ from its target by at most half of what shares its last histogram
-    cell, usually one document. Rows that repeat a doc_id share a hash and so a decision; a null doc_id hashes as the
-    text "null"; a null source is a source of its own; null or blank texts have size 0 and follow their hash. Other
-    columns are ignored. An empty table gives no rows.
-    """
+
+def _budgets(docs: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """The sized rows (doc_id, source, size, hash), and one row a source: __source, source_size, target, passes and the cut of each level."""
     stage = Stage(docs.sparkSession, "mixing")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sized = stage(docs.select("doc_id", "source", word_count().alias("size"), F.substring(key, 1, 10).alias("hash")))
+    sized = stage(docs.select("doc_id", "source", word_count().alias("size"), _hash(F.col("doc_id")).alias("hash")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = stage(share(weigh(totals), most))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = sources.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     for level in range(len(LEVELS)):
         left = stage(_refine(sized, left, level))
-    cuts = small(left.select(F.col("source").alias("s"), "source_size", "target", "passes", *[f"cut{i}" for i in range(len(LEVELS))]))
-    met = sized.join(cuts, F.col("source").eqNullSafe(F.col("s")))
+    return sized, left.select(F.col("source").alias("__source"), "source_size", "target", "passes", *[f"cut{i}" for i in range(len(LEVELS))])
+
+
+def _copies(of: str | Column = "hash", passes: str = "passes", cut: str = "cut") -> Column:
     below = F.lit(False)
     for level in reversed(range(len(LEVELS))):
-        b, cut = _bucket(level), F.col(f"cut{level}")
-        below = (b < cut) | ((b == cut) & below)
-    return met.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + below.cast("long")).alias("copies"))
+        b, c = _bucket(level, of), F.col(f"{cut}{level}")
+        below = (b < c) | ((b == c) & below)
+    return F.col(passes) + below.cast("long")
+
+
+def take(docs: DataFrame, most: float = 3.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often the mix takes each document; ``copies`` <= ``most``.
+
+    Sizes are words. Every document is taken floor(target / source_size) times, and once more if its hash is below its
+    source's threshold. A source's words differ from its target by at most half of what shares its last histogram
+    cell, usually one document. Rows that repeat a doc_id share a hash and so a decision; a null doc_id hashes as the
+    text "null"; a null source is a source of its own; null or blank texts have size 0 and follow their hash. Other
+    columns are ignored, whatever their names. An empty table gives no rows.
+    """
+    sized, cuts = _budgets(docs, most)
+    met = sized.join(small(cuts), F.col("source").eqNullSafe(F.col("__source")))
+    return met.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
 
 
 def _refine(sized: DataFrame, left: DataFrame, level: int) -> DataFrame:
@@ -103,12 +115,13 @@ def _refine(sized: DataFrame, left: DataFrame, level: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, most: float = 3.0) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as :func:`take` says, columns unchanged.
+    """The mixed corpus: every row of ``docs`` as often as :func:`take` says, columns unchanged, whatever their names.
 
-    The decision depends on (doc_id, source) alone, so rows that repeat both are all taken alike.
+    The decision depends on (doc_id, source) alone, so rows that repeat both are all taken alike. Each row is decided
+    by its own hash and its source's thresholds, so no text is shuffled. Nulls and empty tables as in :func:`take`.
     """
-    counts = take(docs, most).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies").distinct()
-    met = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
-    return met.where("copies > 0").withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select(*docs.columns)
-
-
+    _, cuts = _budgets(docs, most)
+    cuts = cuts.select("__source", F.col("passes").alias("__passes"), *[F.col(f"cut{i}").alias(f"__cut{i}") for i in range(len(LEVELS))])
+    met = docs.join(small(cuts), docs["source"].eqNullSafe(F.col("__source")))
+    copies = _copies(_hash(docs["doc_id"]), "__passes", "__cut")
+    return met.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")

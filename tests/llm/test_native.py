@@ -66,7 +66,17 @@ def test_mix_reaches_targets(spark):
     assert made[1002] == 3 and sum(made.values()) == sum(r["copies"] for r in got)
 
 
+def test_mix_with_clashing_columns(spark):
+    rows = [(i, "a b c", "s" if i % 3 else None, 1, "x") for i in range(30)] + [(None, None, "s", 2, "y"), (7, "w " * 200_000, "long", 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, hash string")
+    more = df.selectExpr("*", "1 as size", "2 as passes", "3 as cut0", "4 as target", "5 as source_size", "6 as weight", "7 as bucket", "8 as s")
+    want = Counter({(r["doc_id"], r["source"]): r["copies"] for r in take(df).collect() if r["copies"]})
+    got = mix(more)
+    assert got.columns == more.columns and Counter((r["doc_id"], r["source"]) for r in got.collect()) == want
+
+
 def test_mix_of_nothing(spark):
+    assert mix(docs(spark, [])).collect() == []
     assert take(docs(spark, [])).collect() == []
     assert [r["target"] for r in take(docs(spark, [(1, "", "a"), (2, None, None)])).collect()] == [0.0, 0.0]
 
