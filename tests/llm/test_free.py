@@ -50,9 +50,32 @@ def test_best_fit_takes_the_tightest_compatible_bin(seed):
             continue
         assert sum(sizes[k] for k in ks) <= 100
         assert max(Counter(sources[k] for k in ks).values()) <= 2 and max(Counter(clusters[k] for k in ks).values()) == 1
-    want, left = plain_best_fit(sizes, sources, clusters, 100, 2)
-    mine = sorted(100 - sum(sizes[k] for k in ks) for b, ks in held.items() if b >= 0)
-    assert abs(len(mine) - len(left)) <= 1 and abs(sum(mine) - sum(left)) <= 100
+    want, _ = plain_best_fit(sizes, sources, clusters, 100, 2)
+    assert got == want  # every piece in the tightest compatible bin
+
+
+def test_best_fit_with_many_sources_and_clusters():
+    rng = random.Random(9)
+    sizes = [rng.randint(1, 60) for _ in range(3000)]
+    sources, clusters = [rng.randint(0, 150) if rng.random() < 0.6 else "hot" for _ in sizes], [rng.randint(0, 900) for _ in sizes]
+    assert best_fit(sizes, sources, clusters, 100, 2) == plain_best_fit(sizes, sources, clusters, 100, 2)[0]
+
+
+def test_bins_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    rows = [(i if rng.random() < 0.9 else None, "w " * rng.choice([0, 3, 3, 40, 700, 5000]), "en", rng.choice(["hot", "hot", "a", None]), 0) for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:50] + [(1, "same", "en", "hot", 0)] * 300, DOCS)
+    found = []
+    for parts, shuffle in ((1, "1"), (8, "8"), (64, "64")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        found.append(Counter(map(tuple, pack(df.repartition(parts), per_range=128).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and pack(df.limit(0)).collect() == []
+    clusters = defaultdict(list)
+    for r in found[0].elements():
+        if r[0] >= 0:
+            clusters[r[0]].append(r)
+    assert all(max(Counter(r[6] for r in b).values()) == 1 and sum(r[4] for r in b) <= 2048 for b in clusters.values())
 
 
 def test_pack_covers_every_word_once(spark):
