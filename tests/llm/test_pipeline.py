@@ -79,3 +79,27 @@ def test_packing_covers_the_mix(stages):
 def test_run_equals_its_stages(spark, stages):
     rows = lambda d: Counter((r["doc_id"], r["piece"], r["size"]) for r in d.collect())
     assert rows(C.run(spark, "/root/testdata/sf0.001")) == rows(stages[-1])
+
+
+HARD = [(1, None, None, None, None), (None, "a b", None, "s", 3), (2, "", "en", "s", 0), (3, " \n ", "en", "s", 3), (4, "x" * 200_000, "en", "s", 1), (5, "long text here " * 30_000, "en", None, 1)]
+HARD += [(6, "the same line that is long enough for all\nmore", "en", x, 1) for x in ("s", "t", "u", None)] + [(7, "the same line that is long enough for all", "en", "v", 1)] * 2
+
+
+@pytest.mark.parametrize("n", range(5))
+def test_stages_on_nulls_and_clashing_columns(spark, n):
+    docs = spark.createDataFrame(HARD, "doc_id long, text string, lang string, source string, n_chars long")
+    more = docs.selectExpr("*", "1 as score", "2 as copies", "3 as n_removed", "4 as component_id", "5 as bin_id", "6 as size", "7 as signature")
+    name, step = C.STAGES[n]
+    rows = lambda d: Counter(map(str, d.collect()))
+    plain = step(spark, docs, "/root/testdata/sf0.001")
+    assert rows(plain) == rows(step(spark, more, "/root/testdata/sf0.001")), name
+    if n < 4:
+        assert plain.columns == DOCUMENTS
+    ids = Counter(r["doc_id"] for r in plain.collect())
+    if n < 2:
+        assert ids == Counter(r[0] for r in HARD)
+    if n == 2:
+        assert set(ids) == {r[0] for r in HARD} - {7}  # 5 of 6 shingles are those of 6
+    if n == 4:
+        assert ids[5] == 3 * 30_000 // 2048 + 1
+    assert step(spark, docs.limit(0), "/root/testdata/sf0.001").collect() == [], name
