@@ -31,8 +31,8 @@ RANGES = 64
 #: Documents of one signature that are paired row by row; more go into blocks of so many.
 FEW = 24
 BLOCK = 256
-#: How often the documents of a large signature are compared with one of them, as long as that finds links.
-ROUNDS = 4
+#: How often the documents of a large signature are compared with one of them, as long as that halves what is unresolved.
+ROUNDS = 5
 #: A signature that so many documents of a sixteenth of the corpus have is counted apart from the others.
 HOT = 64
 
@@ -63,7 +63,7 @@ def _sets(n: int):
             rows = []
             for i, w, x, y in zip(frame["doc_id"].to_numpy(), which, start[:-1], start[1:], strict=True):
                 own = s[x:y]
-                sizes = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=RANGES)
+                sizes = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32)
                 ends = np.cumsum(sizes)[RANGES // FRAGMENTS - 1 :: RANGES // FRAGMENTS]
                 rows.append((i, w, y - x, sizes, [p.view(np.int64) for p in np.split(own, ends[:-1])]))
             yield pd.DataFrame(rows, columns=["doc_id", "which", "n", "sizes", "parts"])
@@ -75,8 +75,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, which_a, b, which_b), the (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
     side = lambda x, *more: sets.select(F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("n").alias(f"n_{x}"), *more)
     met = pairs.join(side("a", F.col("sizes").alias("s_a")), ["a", "which_a"]).join(side("b", F.col("sizes").alias("s_b")), ["b", "which_b"])
-    most = "aggregate(zip_with(s_a, s_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + x)"
-    met = met.withColumn("shared", F.expr(most)).where(_similar(threshold)).select("a", "which_a", "b", "which_b", "n_a", "n_b")
+    met = met.withColumn("shared", F.expr(MOST)).where(_similar(threshold)).select("a", "which_a", "b", "which_b", "n_a", "n_b")
     members = sets.select("doc_id", "which", F.posexplode("parts").alias("fragment", "members")).where("size(members) > 0")
     x = members.select(F.col("doc_id").alias("a"), F.col("which").alias("which_a"), "fragment", F.col("members").alias("x"))
     y = members.select(F.col("doc_id").alias("b"), F.col("which").alias("which_b"), "fragment", F.col("members").alias("y"))
@@ -122,25 +121,29 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sketch = stage(docs.mapInPandas(_sketch(n, threshold), "doc_id long, n_shingles long, d1 long, d2 long, class int, least int, signatures array<long>"))
     sized = stage(sketch.groupBy("doc_id", "d1", "d2").agg(F.max("n_shingles").alias("n_shingles")))
-    first = sized.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
-    copies = stage(sized.join(first, ["d1", "d2"]).where("doc_id <> first").select("doc_id", "d1", "d2", "first"))
+    first = stage(sized.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = stage(sized.join(small(first), ["d1", "d2"]).where("doc_id <> first").select("doc_id", "d1", "d2", "first"))
     several = stage(sized.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id", F.lit(True).alias("several")))
 
     rare = _rarest(sketch, copies, several, stage)
     stage.drop(sketch)
     wanted = rare.groupBy("doc_id").agg(F.max(F.col("which") != 0).alias("several"))
-    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, sizes array<long>, parts array<array<long>>").dropDuplicates(KEY))
+    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, sizes array<int>, parts array<array<long>>").dropDuplicates(KEY))
 
     links = stage(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold))
     rest = stage(_unresolved(rare, components(links, stage)))
+    left = rest.where(f"met > {FEW}").count()
     for step in range(1, ROUNDS):
-        large = rest.where(f"met > {FEW}")
-        some = None if large.isEmpty() else stage(_links(stage(_with_pivot(large, step, threshold)), sets, threshold))
-        if some is None or some.isEmpty():
+        if not left:
             break
+        some = stage(_links(stage(_with_pivot(rest.where(f"met > {FEW}"), step, threshold)), sets, threshold))
         links = links.union(some)
-        rest = stage(_unresolved(rare, components(links, stage)))
-    more = _few(rest, threshold).union(_many(rest, sets, threshold)).distinct()
+        rest = stage(_unresolved(rest, components(links, stage)))
+        before, left = left, rest.where(f"met > {FEW}").count()
+        if 2 * left > before:
+            break
+    sized_rest = stage(rest.join(sets.select(*KEY, "sizes"), KEY))
+    more = _few(sized_rest, threshold).union(_many(sized_rest, threshold)).distinct()
     edges = links.union(_links(stage(more), sets, threshold)).union(copies.select("doc_id", "first"))
     found = components(edges, stage).withColumnRenamed("node", "doc_id")
     stage.drop(sets, rare, rest)
@@ -173,8 +176,14 @@ def _rarest(sketch: DataFrame, copies: DataFrame, several: DataFrame, stage: Sta
     some = met.select(*KEY, "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
     own = Window.partitionBy("doc_id", "which", "class")
     ranked = some.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
-    rare = stage(ranked.where("rank <= `all` - least + 1").select("signature", *KEY, "n").distinct())
+    kept = stage(ranked.where("rank <= `all` - least + 1").select("signature", *KEY, "n"))
     stage.drop(met)
+    # Of signatures with the same documents one is enough.
+    h = F.xxhash64(*KEY)
+    documents = kept.groupBy("signature").agg(F.count("*").alias("met"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
+    one = documents.where("met > 1").groupBy("met", "low", "high").agg(F.min("signature").alias("signature")).select("signature")
+    rare = stage(kept.join(one.hint("merge"), "signature").distinct())
+    stage.drop(kept)
     return rare
 
 
@@ -189,23 +198,29 @@ def _with_pivot(rows: DataFrame, step: int, threshold: float) -> DataFrame:
     return met.select(F.col("pivot.doc_id").alias("a"), F.col("pivot.which").alias("which_a"), F.col("doc_id").alias("b"), F.col("which").alias("which_b")).distinct()
 
 
-def _unresolved(rare: DataFrame, found: DataFrame) -> DataFrame:
+def _unresolved(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Documents under a signature whose documents aren't in one component yet."""
-    rows = rare.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = rows.select("signature", *KEY, "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     groups = rows.groupBy("signature").agg(F.count("*").alias("met"), F.min("component").alias("low"), F.max("component").alias("high"))
     return rows.join(groups.where("met > 2 and low < high"), "signature").select("signature", *KEY, "component", "n", "met")
 
 
+#: The most that two sets can share, by the sizes of their ranges.
+MOST = "aggregate(zip_with(s_a, s_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + cast(x as bigint))"
+
+
 def _few(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs in different components that may be similar, where at most FEW documents have a signature."""
     rest = rest.where(f"met <= {FEW}")
-    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    return a.join(b, "signature").where(f"a < b and ca <> cb and least(na, nb) >= {threshold} * greatest(na, nb) - 1e-6").select("a", "which_a", "b", "which_b").distinct()
+    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sizes").alias(f"s_{x}")) for x in "ab")
+    percent = round(threshold * 10_000)
+    near = f"a < b and c_a <> c_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-6 and 10000 * {MOST} >= {percent} * (n_a + n_b - {MOST})"
+    return a.join(b, "signature").where(near).select("a", "which_a", "b", "which_b").distinct()
 
 
-def _many(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in different components that may be similar, from blocks of bounded size that meet each other under a signature; only sizes by range travel."""
+def _many(rest: DataFrame, threshold: float) -> DataFrame:
+    """The same where more have a signature, from blocks of bounded size that meet each other in tasks; only sizes by range travel."""
     rows = rest.where(f"met > {FEW}").withColumn("blocks", F.expr(f"cast(ceil(met / {BLOCK}) as int)"))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *KEY, "component")
-    met = rows.join(sets.select(*KEY, "n", "sizes"), KEY).select("signature", "low", "high", *KEY, "component", "n", "sizes")
-    return met.groupBy("signature", "low", "high").applyInPandas(_block_pairs(threshold), "a long, which_a long, b long, which_b long")
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *KEY, "component", "n", "sizes")
+    return rows.groupBy("signature", "low", "high").applyInPandas(_block_pairs(threshold), "a long, which_a long, b long, which_b long")
