@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.line_dedup import remove_boilerplate
 from lodestar.llm.mixing import mix, share, take, weigh
-from lodestar.llm.pii import boost, personal_data, redact, summary
+from lodestar.llm.pii import boost, calibrate, personal_data, redact, summary
 from lodestar.llm.quality import judge
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -218,15 +218,57 @@ def test_redaction(spark):
     assert summary(personal_data(df.limit(0))).collect() == []
 
 
+def test_redaction_of_several_texts_of_an_id(spark):
+    df = spark.createDataFrame([(1, "write me@ex.org now", "x"), (1, "plain clean text here stays", "y"), (None, "ip 10.0.0.1", "z"), (None, "nothing", "w")], "doc_id long, text string, digest string")
+    got = sorted(r["text"] for r in redact(df, personal_data(df)).collect())
+    assert got == ["ip [IP]", "nothing", "plain clean text here stays", "write [EMAIL] now"]
+
+
+def planted(seed=77):
+    """Looser forms in contexts that training doesn't have, personal or not."""
+    rng = random.Random(seed)
+    n = lambda k: "".join(rng.choices("0123456789", k=k))
+    h = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    w = lambda: "".join(rng.choices("abcdefgh", k=5))
+
+    def card(good):
+        d = "5" + n(14)
+        last = next(c for c in "0123456789" if luhn(d + c) == good and (good or c != "0"))
+        d += last
+        return ".".join(d[i : i + 4] for i in (0, 4, 8, 12))
+
+    phone = lambda: rng.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}"])
+    mail = lambda: rng.choice([f"{w()} [at] {w()}.com", f"{w()}(at){w()}.org", f"{w()}.{w()} [at] {w()} [dot] net"])
+    v6 = lambda: ":".join(h(4) for _ in range(8))
+    cases = []
+    for _ in range(40):
+        cases += [("phone", True, f"You can call me at {phone()} any day."), ("phone", True, f"Ring the office: {phone()}"), ("phone", False, f"We keep part number {n(3)}-{n(3)}-{n(4)} in store"), ("phone", False, f"See invoice nr {n(3)}.{n(3)}.{n(4)} of May")]
+        cases += [("card", True, f"He typed {card(True)} at the till"), ("card", False, f"He typed {card(False)} at the till"), ("ip", True, f"ping the server at {v6()} again"), ("ip", False, f"the fingerprint is {':'.join(h(2) for _ in range(8))} here")]
+        cases += [("email", True, f"Please write to {mail()} soon"), ("email", False, f"we gather {w()} (at) {n(1)}.30 for tea")]
+    return cases
+
+
 def test_looser_forms_are_judged(spark):
-    rows = [(i, f"call +1 ({200 + i}) 555-{1000 + i} today or mail user{i}@mail.example.com") for i in range(60)]
-    rows += [(100 + i, f"number {10_000_000 + i * 7919} in stock") for i in range(60)]
-    rows += [(500, "call (212) 555-0199 today"), (501, "nothing at all")]
+    """The trees learn beside a corpus of base forms; both error rates are measured on planted spans in other contexts."""
+    cases = planted()
+    rows = [(i, t) for i, (_, _, t) in enumerate(cases)]
+    rows += [(10_000 + i, f"call +1 ({200 + i}) 555-{1000 + i} today or mail user{i}@mail.example.com, number {10_000_000 + i * 7919} in stock") for i in range(60)]
+    rows += [(20_000, "part no. 555-123-4567 in stock"), (20_001, "call (212) 555-0199 today"), (20_002, "nothing at all"), (20_003, "paid with 4111.1111.1111.1111 today")]
     got = {r["doc_id"]: r["spans"] for r in summary(personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert got[500] == "phone:5:19" and got[501] == "" and got[100] == ""
+    right = {k: [0, 0, 0] for k in BASE}  # found and personal, found, personal
+    for i, (kind, personal, _) in enumerate(cases):
+        found = f"{kind}:" in got[i]
+        right[kind][0] += found and personal
+        right[kind][1] += found
+        right[kind][2] += personal
+    print(right)
+    for kind, (both, found, personal) in right.items():
+        assert both >= 0.9 * personal and both >= 0.9 * found, (kind, right)
+    assert [got[20_000 + i] for i in range(4)] == ["", "phone:5:19", "", "card:10:29"]
 
 
 def test_boosting_separates_patterns():
     model = boost([(1, 900, 890), (2, 800, 5), (3, 50, 49), (0, 300, 2)])
-    assert model.probability(1) > 0.9 > 0.2 > model.probability(2) and model.threshold >= 0.5
-    assert boost([]).threshold == 1.0 and boost([(1, 5, 5)]).probability(1) < 0.01
+    assert model.probability(1) > 0.9 > 0.2 > model.probability(2)
+    assert calibrate(model, [(1, 10, 10), (2, 10, 0)]).thresholds[1:] == (2.0,) * 3 and 0.5 <= calibrate(model, [(1, 10, 10), (2, 10, 0)]).thresholds[0] < 1
+    assert boost([(1, 5, 5)]).probability(1) < 0.01 and boost([]).trees == ()
