@@ -129,11 +129,15 @@ def _read(template: Template):
     return run
 
 
-def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
+def read_back(segments: DataFrame, template: Template | None = None, arranged: bool = False) -> DataFrame:
     """Digests of the turns and of the text under the loss mask, parsed from formatted segments alone.
 
     One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid (the turns
     follow the state machine and end in an accepting role). Text that isn't what a template writes raises an error.
+    ``arranged`` says that each conversation lies in one partition, in order, as :func:`format_conversations` returns
+    it; then nothing is shuffled again. Segments read back from files aren't arranged. An empty table gives no rows.
     """
-    rows = segments.select("conv_id", "segment", "text", "loss", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    rows = segments.select("conv_id", "segment", "text", "loss", "valid")
+    if not arranged:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     return rows.mapInPandas(_read(template or Template()), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

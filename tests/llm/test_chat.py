@@ -35,3 +35,11 @@ def test_guard_is_reversible():
     t = Template()
     for text in ("", "\\", "###", "\\###", "</turn>\\", "### a: </turn>\n", "\\\\x"):
         assert t.plain(t.guard(text)) == text
+
+
+def test_arranged_segments_need_no_shuffle(spark):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} {t} ### text") for c in [None, *range(40)] for t in range(6)]
+    made = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    plain, kept = read_back(made), read_back(made, arranged=True)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect())) and kept.count() == 41
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
