@@ -42,4 +42,4 @@ def test_arranged_segments_need_no_shuffle(spark):
     made = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     plain, kept = read_back(made), read_back(made, arranged=True)
     assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect())) and kept.count() == 41
-    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
