@@ -147,8 +147,14 @@ def long_areas_to_null(areas: Column, most: int = 80) -> Column:
     return F.when((F.char_length(areas) > most) & ~areas.rlike("[,、]"), F.lit(None)).otherwise(areas)
 
 
-def likely_faculty(snippet: Column, words=("教授", "副教授", "讲师", "研究员", "导师", "professor", "lecturer", "faculty")) -> Column:
-    return F.coalesce(snippet.rlike("(?i)" + "|".join(map(re.escape, words))), F.lit(False))
+# What a search hit about staff says, and what a page of staff is headed.
+FACULTY_WORDS = "导师 教授 副教授 研究方向 师资".split()
+FACULTY_PAGES = r"师资队伍|师资力量|师资简介|师资介绍|教师队伍|教职工|专任教师|全体教师|教师简介|教师列表|教师信息|导师简介|导师队伍|教师风采|(?i:faculty|teaching\s+staff|academic\s+staff|our\s+(?:faculty|team|people|staff)|professors\s+and\s+staff)"
+
+
+def likely_faculty(snippet: Column, words=FACULTY_WORDS, pages: str = FACULTY_PAGES) -> Column:
+    """A hit that names staff or a page of staff; null is none."""
+    return F.coalesce(snippet.rlike("|".join(map(re.escape, words)) + "|" + pages), F.lit(False))
 
 
 def notice_relevant(title: Column, words=("夏令营", "推免", "招生", "admission", "summer")) -> Column:

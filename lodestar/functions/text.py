@@ -100,11 +100,15 @@ def conversation_title(c: Column) -> Column:
     return snippet(c, 30)
 
 
+# Titles that a page may name, and looser ones that count where none of these is.
+TITLES = "正教授 特聘教授 长聘教授 讲席教授 冠名教授 教授 副教授 助理教授 讲师 助理讲师 研究员 副研究员 助理研究员 高级工程师 正高级工程师 工程师 博士生导师 硕士生导师 博导 硕导".split()
+LOOSE_TITLES = ["Professor", "Associate Professor", "Assistant Professor", "Lecturer", "Researcher", "Research Fellow", "Postdoc", "特聘研究员", "青年研究员", "青年教授", "四青人才", "青年长江", "青年千人"]
+
+
 def extract_title(c: Column) -> Column:
-    """The first academic title: the exact ones first, then looser and English ones; null if none."""
-    strict = F.nullif(F.regexp_extract(c, "(副教授|教授|副研究员|研究员|助理教授|讲师|特聘教授|讲席教授)", 1), F.lit(""))
-    loose = F.nullif(F.regexp_extract(c, "(?i)(associate professor|assistant professor|professor|lecturer|research fellow|博士生导师|博导|硕导)", 1), F.lit(""))
-    return F.coalesce(strict, loose)
+    """The title named first, else the first of the looser ones; null if none."""
+    first = lambda words: F.nullif(F.regexp_extract(c, f"({'|'.join(words)})", 1), F.lit(""))
+    return F.coalesce(first(TITLES), first(LOOSE_TITLES))
 
 
 def extract_email(c: Column) -> Column:
@@ -112,17 +116,33 @@ def extract_email(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", 1), F.lit(""))
 
 
-def extract_areas(c: Column, labels=("研究方向", "研究领域", "研究兴趣", "主要研究方向", "Research Interests", "Research Areas"), most: int = 400) -> Column:
-    """What follows the first label found, in the order of the labels, up to ``most`` characters, lines joined by ；."""
-    found = [F.nullif(F.regexp_extract(c, rf"(?i){x}\s*[:：]\s*([^。\n]{{2,{most}}})", 1), F.lit("")) for x in labels]
-    return F.regexp_replace(F.trim(F.coalesce(*found)), r"[\r\n]+", "；")
+# What may precede research areas, in order of precedence, the least and most characters of these, and what ends them.
+AREA_LABELS = (
+    ("研究方向[：:]", 8, 300, "。；;\\n\\r"),
+    ("研究领域[：:]", 8, 300, "。；;\\n\\r"),
+    ("主要方向[：:]", 8, 300, "。；;\\n\\r"),
+    ("主要研究[方向领域面][：:]?", 8, 300, "。；;\\n\\r"),
+    ("研究兴趣[：:]", 8, 300, "。；;\\n\\r"),
+    ("研究内容[：:]", 8, 300, "。；;\\n\\r"),
+    ("(?i:Research\\s+Interests?)\\s*[：:]?", 8, 400, ".;\\n\\r"),
+    ("(?i:Research\\s+Areas?)\\s*[：:]?", 8, 400, ".;\\n\\r"),
+    ("(?i:Specializations?)\\s*[：:]?", 8, 400, ".;\\n\\r"),
+    ("个人简介[：:]?", 15, 400, "。\\n"),
+)
+
+
+def extract_areas(c: Column, labels=AREA_LABELS, most: int = 400) -> Column:
+    """What follows the first label found, in the order of the labels, up to ``most`` characters, lines joined by ；; null if none."""
+    found = [F.nullif(F.regexp_extract(c, rf"{label}\s*(.{{{low},{high}}}?)(?:[{ends}]|$)", 1), F.lit("")) for label, low, high, ends in labels]
+    return F.left(F.regexp_replace(F.trim(F.coalesce(*found)), r"[\r\n]+", "；"), F.lit(most))
 
 
-_DATE = r"(20(?:2[3-9]|[34][0-9])(?:年[0-9]{1,2}月[0-9]{1,2}日|-[0-9]{1,2}-[0-9]{1,2}|\.[0-9]{1,2}\.[0-9]{1,2}))"
+_YEAR, _MONTH, _DAY = "(?:202[3-9]|20[34][0-9])", "(?:1[0-2]|0?[1-9])", "(?:3[01]|[12][0-9]|0?[1-9])"
+_DATE = rf"({_YEAR}[年/-]{_MONTH}[月/-]{_DAY}日?|{_YEAR}\.{_MONTH}\.{_DAY})"
 
 
 def extract_dates(c: Column) -> Column:
-    """All dates from 2023 to 2049, in order."""
+    """All dates from 2023 to 2049 with a month and a day that exist, in order."""
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_DATE))
 
 
@@ -131,20 +151,33 @@ def deadline(c: Column) -> Column:
     return F.try_element_at(extract_dates(c), F.lit(-1))
 
 
+def _number(c: Column) -> Column:
+    """A number in plain or full-width digits; null for an empty text, or for one too long for a whole number."""
+    return F.nullif(F.translate(c, "０１２３４５６７８９", "0123456789"), F.lit("")).try_cast("int")
+
+
 def extract_quota(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(?:招收|招生|名额|拟招)[^0-9\n]{0,10}([0-9]{1,4})\s*(?:名|人)", 1), F.lit("")).cast("int")
+    """How many are admitted: a number of persons after a word of admission, or before 名额."""
+    pattern = "(?:拟招收|计划招收|招收|接收|接受)[^，。\\n]{0,15}?([0-9０-９]+)\\s*[人名]|([0-9]+)\\s*(?:个)?(?:招生)?名额"
+    return _number(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)))
 
 
 def extract_gpa(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(?i)(?:GPA|绩点)[^0-9\n]{0,10}([0-4](?:\.[0-9]{1,2})?)", 1), F.lit("")).cast("double")
+    """The grade that a comparison with GPA names."""
+    return F.nullif(F.regexp_extract(c, r"(?i)GPA\s*[≥>≧=]{1,2}\s*([0-9]+\.?[0-9]*)", 1), F.lit("")).cast("double")
 
 
 def extract_rank(c: Column) -> Column:
     """The share of a year's best that may apply, in percent."""
-    return F.nullif(F.regexp_extract(c, r"(?:前|top)\s*([0-9]{1,2})\s*%", 1), F.lit("")).cast("int")
+    pattern = "排名?前\\s*([0-9]+)[%％]|成绩[^，。\\n]{0,10}前([0-9]+)[%％]?"
+    return _number(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)))
+
+
+# Fixed value: phrases by which a page says that it takes students.
+RECRUITING = r"正在招收|本年度招[收生]|招收推免|接收保研|欢迎[联系报考优]|招募学生|诚招|招收硕[士博]|open\s+position|looking\s+for\s+student|joining\s+(?:our\s+)?group|welcome.*student|欢迎.*联系"
 
 
-def is_recruiting(c: Column, words: str = "招收|招生|欢迎报考|欢迎加入|recruiting|openings?|looking for (?:students|postdocs)") -> Column:
+def is_recruiting(c: Column, words: str = RECRUITING) -> Column:
     return F.coalesce(c.rlike(f"(?i){words}"), F.lit(False))
 
 
@@ -244,7 +277,7 @@ def reason_text(parts: list[tuple[Column, str]]) -> Column:
 
 def match_reason(terms: Column, n: int = 3) -> Column:
     kept = F.slice(drop_substrings(terms), 1, n)
-    return F.when(F.size(kept) > 0, F.concat(F.lit("匹配方向："), F.array_join(kept, "、"))).otherwise("")
+    return F.when(F.size(kept) > 0, F.concat(F.lit("匹配方向："), F.array_join(kept, "、"))).otherwise("综合匹配")
 
 
 def render_template(template: Column, variables: Column) -> Column:

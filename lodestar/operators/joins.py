@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,19 @@ def contained_terms(queries: DataFrame, vocabulary: DataFrame, both_ways: bool =
     return held.distinct()
 
 
+def longest_terms(terms: DataFrame, least: int = 3) -> DataFrame:
+    """(id, term): the distinct terms of each id, of at least so many characters, that no longer term of the id holds.
+
+    As :func:`~lodestar.functions.text.drop_substrings`, for ids of very many terms: a term meets those that have its first
+    ``least`` characters somewhere, not all.
+    """
+    own = terms.select("id", "term").where(f"char_length(term) >= {least}").distinct()
+    grams = F.explode(F.array_distinct(F.expr(f"transform(sequence(1, char_length(term) - {least - 1}), i -> substr(term, i, {least}))")))
+    longer = own.select("id", F.col("term").alias("longer"), grams.alias("block"))
+    inside = own.withColumn("block", F.left("term", F.lit(least))).join(longer, ["id", "block"]).where("char_length(longer) > char_length(term) and contains(longer, term)")
+    return own.join(inside.select("id", "term").distinct(), ["id", "term"], "left_anti")
+
+
 def like_recall(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, doc_id, hits): documents one of whose terms holds a query term, by way of the vocabulary."""
     found = contained_terms(query_terms.select(F.col("term").alias("q")), postings.select("term"), both_ways=False)
@@ -137,9 +150,3 @@ def trend_grid(counts: DataFrame, low: int, high: int) -> DataFrame:
     """(concept, year, n) for every year of the range, 0 where there is no count."""
     years = counts.select("concept").distinct().select("concept", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("year"))
     return years.join(counts, ["concept", "year"], "left").select("concept", "year", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key in an order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -174,11 +174,15 @@ TITLES = "教授|副教授|讲师|研究员|导师|Professor|Lecturer"
 PROFILE_URL = r"(?i)/(?:teacher|faculty|people|profile|staff|info|jsxx|szdw)[/_-]?[a-z0-9_-]*(?:/|\.s?html?|\?|$)"
 
 
+#: Anchor texts that look like names of Han characters.
+NAVIGATION = "首页 上一页 下一页 上页 下页 前页 后页 尾页 末页 更多 返回 详情".split()
+
+
 def person_links(links: DataFrame) -> DataFrame:
     """Candidate people with the first strategy that found each url: 1 a title in the context, 2 a profile address, 3 a table row
     with a title, 4 a bare name of short or numeric address, 5 a known card class."""
     name = X.clean_name(F.col("text"))
-    named = (name != "") | P.is_latin_name(F.col("text"))
+    named = ((name != "") & ~name.isin(*NAVIGATION)) | P.is_latin_name(F.col("text"))
     bare = F.col("url").rlike(r"/\d+(?:/|\.s?html?|$)") | (F.char_length("url") <= 60)
     rules = [(1, named & F.col("parent").rlike(TITLES)), (2, named & F.col("url").rlike(PROFILE_URL)), (3, named & F.startswith("box", F.lit("tr")) & F.col("parent").rlike(TITLES)), (4, named & bare), (5, F.col("box").rlike(r"(?i)\.(?:teacher|card|person|member|people)"))]
     tagged = links.withColumn("strategy", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in rules]))))

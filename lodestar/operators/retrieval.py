@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SESSION_SEPARATORS, area_tags, match_reason, tier_boost, tokenize_windows, tokenize_words
-from .aggregates import doc_freq, idf
+from .aggregates import idf
 from .joins import contained_terms, like_recall, recall_join, restrict_to_tiers
-from .windows import decayed_terms, last_n, top_k_per_group
+from .windows import decayed_terms, top_k_per_group
 
 
 def build_index(docs: DataFrame, columns: list[str], id_col: str = "id") -> dict[str, DataFrame]:
@@ -43,16 +43,17 @@ def recall_or_fallback(queries: DataFrame, index: dict[str, DataFrame], k: int)
     return hits.withColumn("route", F.lit("words")).unionByName(loose.select("query_id", "doc_id", F.col("hits").cast("double").alias("bm25"), F.lit("contains").alias("route")))
 
 
-def tfidf_score(candidates: DataFrame, queries: DataFrame, docs: DataFrame, idf_table: DataFrame, vocabulary: DataFrame, text_col: str = "research_areas") -> DataFrame:
+def tfidf_score(candidates: DataFrame, queries: DataFrame, docs: DataFrame, idf_table: DataFrame, text_col: str = "research_areas") -> DataFrame:
     """(query_id, doc_id, raw, matched_terms): over the query's terms q, the share of the document's distinct terms that hold q or
     are held by it, times idf(q), 1 without one. Candidates without such a term score 0.
 
-    Containment is found once between query terms and ``vocabulary`` (term), the distinct terms of the documents.
+    Only candidates are cut into terms. Containment is found once between query terms and their distinct terms.
     """
+    docs = docs.join(candidates.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     terms = docs.select(F.col("id").alias("doc_id"), tokenize_windows(F.col(text_col)).alias("terms"))
     spread = candidates.select("query_id", "doc_id").join(terms, "doc_id").select("query_id", "doc_id", F.greatest(F.size("terms"), F.lit(1)).alias("n"), F.explode_outer("terms").alias("term"))
     asked = query_terms(queries).withColumnRenamed("term", "q")
-    pairs = contained_terms(asked, vocabulary).join(asked, "q")
+    pairs = contained_terms(asked, terms.select(F.explode("terms").alias("term"))).join(asked, "q")
     counted = spread.join(pairs, ["query_id", "term"], "left").groupBy("query_id", "doc_id", "q").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
     weight = counted.join(idf_table.select(F.col("term").alias("q"), "idf"), "q", "left")
     part = F.when(F.col("q").isNotNull(), F.col("hits") / F.col("n") * F.coalesce("idf", F.lit(1.0))).otherwise(0.0)
@@ -66,32 +67,32 @@ def match(queries: DataFrame, docs: DataFrame, limit: int, universities: DataFra
     index = build_index(pool, list(columns))
     found = recall_or_fallback(queries, index, recall_k or min(3 * limit, 150))
     tokens = docs.select(tokenize_windows(F.col("research_areas")).alias("terms"))
-    scored = tfidf_score(found, queries, pool, idf(tokens), doc_freq(tokens).select("term")).join(pool.withColumnRenamed("id", "doc_id"), "doc_id")
+    scored = tfidf_score(found, queries, pool, idf(tokens)).join(pool.withColumnRenamed("id", "doc_id"), "doc_id")
     full = F.col("raw") * tier_boost(F.col("university")) * F.when(F.col("recruiting"), 1.1).otherwise(1.0)
     out = scored.withColumn("raw_score", F.round(full, 6)).withColumn("score", F.least(F.lit(1.0), "raw_score"))
     return top_k_per_group(out, ["query_id"], [F.desc("score"), F.desc("raw_score"), "doc_id"], limit)
 
 
-def session_rerank(results: DataFrame, events: DataFrame, alpha: float = 0.7, beta: float = 0.3, decay: float = 0.8) -> DataFrame:
+def session_rerank(results: DataFrame, events: DataFrame, docs: DataFrame, alpha: float = 0.7, beta: float = 0.3, decay: float = 0.8) -> DataFrame:
     """Blends each score with the cosine between the session's decayed terms and the document's term counts.
 
-    ``results`` is (session_id, doc_id, score, research_areas), ``events`` (session_id, ts, event_id, areas). A session without
-    terms changes nothing; a result with blank areas keeps its score as it is.
+    ``results`` is (session_id, doc_id, score), ``events`` (session_id, ts, event_id, areas), ``docs`` (doc_id, research_areas), each
+    document once; only those in results are cut, each once. A session without terms changes nothing; a result with blank
+    areas keeps its score as it is.
     """
     vector = decayed_terms(events, decay)
     norms = vector.groupBy("session_id").agg(F.sqrt(F.sum(F.pow("weight", F.lit(2)))).alias("session_norm"))
     split = F.filter(F.transform(F.split(F.coalesce("research_areas", F.lit("")), SESSION_SEPARATORS), lambda t: F.lower(F.trim(t))), lambda t: F.char_length(t) >= 2)
-    terms = results.select("session_id", "doc_id", F.explode(split).alias("term")).groupBy("session_id", "doc_id", "term").agg(F.count("*").alias("n"))
-    met = terms.join(vector, ["session_id", "term"], "left")
-    cos = met.groupBy("session_id", "doc_id").agg(F.sum(F.col("n") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("doc_norm"))
-    joined = results.join(norms, "session_id", "left").join(cos, ["session_id", "doc_id"], "left")
+    shown = docs.select("doc_id", "research_areas").join(results.select("doc_id").distinct(), "doc_id", "left_semi")
+    terms = shown.select("doc_id", F.explode(split).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    lengths = terms.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("doc_norm"))
+    met = results.select("session_id", "doc_id").join(terms, "doc_id").join(vector, ["session_id", "term"])
+    dots = met.groupBy("session_id", "doc_id").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    blank = shown.select("doc_id", (F.trim(F.coalesce("research_areas", F.lit(""))) == "").alias("blank"))
+    joined = results.join(norms, "session_id", "left").join(blank, "doc_id", "left").join(lengths, "doc_id", "left").join(dots, ["session_id", "doc_id"], "left")
     cosine = F.coalesce(F.col("dot") / (F.col("session_norm") * F.col("doc_norm")), F.lit(0.0))
-    same = F.col("session_norm").isNull() | (F.col("session_norm") < 1e-9) | (F.trim(F.coalesce("research_areas", F.lit(""))) == "")
-    return joined.withColumn("hybrid", F.when(same, F.col("score")).otherwise(alpha * F.col("score") + beta * cosine)).drop("session_norm", "dot", "doc_norm")
-
-
-def session_events(events: DataFrame, n: int = 20) -> DataFrame:
-    return last_n(events, n)
+    same = F.col("session_norm").isNull() | (F.col("session_norm") < 1e-9) | F.coalesce("blank", F.lit(True))
+    return joined.withColumn("hybrid", F.when(same, F.col("score")).otherwise(alpha * F.col("score") + beta * cosine)).drop("session_norm", "dot", "doc_norm", "blank")
 
 
 def tfidf_vector(docs: DataFrame, terms: str = "terms", boosted: DataFrame | None = None, boost: float = 3.0) -> DataFrame:

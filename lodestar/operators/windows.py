@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SESSION_SEPARATORS
+from ..sources.shared import staged
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -103,11 +104,18 @@ def coverage_cascade(rows: DataFrame, policy: list[Source], group: str = "univer
             mine = mine.join(taken.select(group, *keys), [group, *keys], "left_anti")
         if step.cap is not None:
             mine = top_k_per_group(mine, [group], [order], step.cap)
-        mine = mine.select(*rows.columns)
+        mine = staged(mine.select(*rows.columns), "cascade")  # else each step would compute all steps before it again, three times
         taken = mine if taken is None else taken.unionByName(mine)
     return taken
 
 
+def search_universities(universities: DataFrame, departments: DataFrame, q: str) -> DataFrame:
+    """Universities whose name or note, or the name of one of whose departments, holds q; the other half of a global search."""
+    holds = lambda c: F.contains(F.coalesce(F.col(c), F.lit("")), F.lit(q))
+    by_department = departments.where(holds("dept_name")).select(F.col("univ_name").alias("name"), F.lit(True).alias("__hit")).distinct()
+    return universities.join(by_department, "name", "left").where(holds("name") | holds("note") | F.col("__hit").isNotNull()).select(*universities.columns)
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int, most: int = 200, total_cap: int = 500) -> DataFrame:
     """One page, with the count of all rows up to a cap."""
     total = df.limit(total_cap).agg(F.count("*").alias("total"))

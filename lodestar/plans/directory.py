@@ -101,14 +101,14 @@ def people_page(spark, sf_dir):
     return W.page(view(spark, sf_dir, "people"), ["university", "name", "id"], 50, 25).select("id", "total")
 
 
-@query(f"""WITH {cte("people", "crawl_events")}, d AS (SELECT university, count(*) AS n, max(ts) AS last FROM crawl_events WHERE type = 'scrape-done' AND event_id % 3 = 0 GROUP BY university),
-a AS (SELECT DISTINCT university FROM crawl_events WHERE type = 'scrape-start' AND event_id % 97 = 0)
+@query(f"""WITH {cte("people", "crawl_events")}, d AS (SELECT university, count(*) AS n, max(ts) AS last FROM crawl_events WHERE type = 'scrape-done' GROUP BY university),
+a AS (SELECT DISTINCT university FROM crawl_events WHERE type = 'scrape-start')
 SELECT coalesce(d.university, a.university) AS university, coalesce(n, 0) AS n, last, CASE WHEN a.university IS NOT NULL THEN 'RUNNING' ELSE 'DONE' END AS status FROM d FULL JOIN a ON a.university = d.university
 ORDER BY CASE WHEN a.university IS NOT NULL AND coalesce(n, 0) = 0 THEN 0 ELSE 1 END, last DESC NULLS LAST, 1 LIMIT 12""")
 def crawl_jobs(spark, sf_dir):
     events = view(spark, sf_dir, "crawl_events")
-    people = events.where("type = 'scrape-done' and event_id % 3 = 0").select("university", F.col("ts").alias("scraped_at"))
-    return A.crawl_jobs(people, events.where("type = 'scrape-start' and event_id % 97 = 0"), 12)
+    people = events.where("type = 'scrape-done'").select("university", F.col("ts").alias("scraped_at"))
+    return A.crawl_jobs(people, events.where("type = 'scrape-start'"), 12)
 
 
 @query(f"WITH {cte('url_checks')} SELECT count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed FROM url_checks")
@@ -136,11 +136,11 @@ def area_trend(spark, sf_dir):
     return made.select("direction", "total", F.array_join(F.transform("series", lambda x: x.cast("string")), ",").alias("series"))
 
 
-@query("""WITH c AS (SELECT o_orderpriority AS concept, year(o_orderdate) AS year, count(*) AS n FROM orders WHERE o_orderkey % 500 = 0 GROUP BY ALL), g AS (SELECT DISTINCT concept, unnest(range(1995, 2003)) AS year FROM c)
+@query("""WITH c AS (SELECT o_orderpriority AS concept, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL), g AS (SELECT DISTINCT concept, unnest(range(1990, 2006)) AS year FROM c)
 SELECT g.concept, g.year, coalesce(n, 0) AS n FROM g LEFT JOIN c ON c.concept = g.concept AND c.year = g.year""")
 def trend_grid(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").groupBy(F.col("o_orderpriority").alias("concept"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
-    return J.trend_grid(counts, 1995, 2002)
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("concept"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    return J.trend_grid(counts, 1990, 2005)
 
 
 @query(f"""WITH {cte("universities")}, t(template_id, template) AS (VALUES (1, '{{name}} faculty {{year}}'), (2, 'site {{en}} staff')) SELECT name, template_id, replace(replace(replace(template, '{{name}}', name), '{{en}}', name), '{{year}}', '2025') AS query FROM universities CROSS JOIN t""")

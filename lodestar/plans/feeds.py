@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import cte, table, view
+from ..sources.shared import session_folder
 from ..streaming import feeds as L
 from .registry import query
 
@@ -17,15 +16,9 @@ def progress(spark, sf_dir):
     return L.crawl_progress(view(spark, sf_dir, "crawl_events").withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-def _folder(spark, name):
-    from ..sources.shared import shared_folder
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {cte('crawl_events')}, l AS (SELECT event_id, ts FROM crawl_events ORDER BY ts DESC, event_id DESC LIMIT 100) SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM l")
 def stream_feed(spark, sf_dir):
-    folder = _folder(spark, "feed")
+    folder = session_folder(spark, "feed")
     schema = table(spark, sf_dir, "events").schema
     stream = L.timed(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
     run = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(L.event_feed(f"{folder}/rows")).start()

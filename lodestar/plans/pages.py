@@ -36,16 +36,6 @@ def page_type(spark, sf_dir):
     return E.classify_page(facts, names, words)
 
 
-@query()
-def person_links(spark, sf_dir):
-    return E.person_links(E.extract_links(_facts(spark, sf_dir)))
-
-
-@query()
-def repeated_records(spark, sf_dir):
-    return E.repeated_records(_facts(spark, sf_dir)).select("page_id", "fp", "at", "href", "name")
-
-
 @query()
 def page_profiles(spark, sf_dir):
     return E.extract_profile(_facts(spark, sf_dir))
@@ -56,18 +46,6 @@ def page_notices(spark, sf_dir):
     return E.extract_notice(_facts(spark, sf_dir))
 
 
-@query()
-def frontier(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return E.crawl_frontier(E.followable(E.extract_links(_facts(spark, sf_dir))), pages.select("url"))
-
-
-@query()
-def college_links(spark, sf_dir):
-    links = E.extract_links(_facts(spark, sf_dir))
-    return E.discover_colleges(links, "http://www.example.com/", words="the|la|der", first=12)
-
-
 @query(r"""WITH s AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
 d AS (SELECT *, len(list_filter(string_split(path, '/'), lambda p: p <> '')) AS depth FROM s)
 SELECT page_id, least(100, CASE WHEN regexp_matches(path, 'szdw|jsdw|faculty|teacher|people|staff') THEN 30 ELSE 0 END + CASE WHEN regexp_matches(path, '(^|/)(qbjs|all|list)([/._]|$)') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(path, '(^|/)(js|fjs|jiaoshou)([/._]|$)') THEN 15 ELSE 0 END
@@ -88,12 +66,17 @@ def paging_variants(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})', 1), '') AS email,
-trim(regexp_replace(left(text, 400), '\s+', ' ', 'g')) AS flat FROM documents WHERE contains(text, '@')""")
+trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents WHERE contains(text, '@')""")
 def contacts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("contains(text, '@')")
-    return docs.select("doc_id", X.extract_email(F.col("text")).alias("email"), F.trim(F.regexp_replace(F.left("text", F.lit(400)), r"\s+", " ")).alias("flat"))
+    return docs.select("doc_id", X.extract_email(F.col("text")).alias("email"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("flat"))
 
 
-@query()
+@query(r"""SELECT DISTINCT path FROM (SELECT unnest(regexp_extract_all(html, '(?:fetch|axios(?:\.\w+)?|\$\.(?:get|post|ajax|getJSON)|url\s*:|href=)\s*\(?\s*["'']([^"'']+)["'']', 1)) AS path FROM pages) WHERE contains(path, '/')""")
 def mined_paths(spark, sf_dir):
     return S.mine_paths(table(spark, sf_dir, "pages").select(F.col("html").alias("text")), "js", keep="/")
+
+
+@query("SELECT page_id, url, length(html) AS n_chars FROM pages")
+def stored_pages(spark, sf_dir):
+    return S.read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import directory, feeds, matching, pages, tables, texts  # noqa: F401
+    from . import changes, directory, feeds, matching, pages, rules, staff, tables, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

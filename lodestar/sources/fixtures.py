@@ -19,9 +19,9 @@ VIEWS = {
     "people_years": """SELECT o_custkey AS id, year(o_orderdate) AS y, count(*) AS w, sum(CASE WHEN o_orderpriority LIKE '1%' THEN 2 ELSE 1 END) AS c
         FROM {orders} GROUP BY o_custkey, year(o_orderdate)""",
     "people_terms": """SELECT DISTINCT o_custkey AS id, p_name AS area
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber = 1 AND l_quantity >= 45""",
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey JOIN {part} ON l_partkey = p_partkey""",
     "docs": """SELECT d.doc_id AS id, concat('doc ', CAST(d.doc_id AS VARCHAR(20))) AS name, d.source AS university, d.lang AS tier,
-        substring(d.text, 1, 200) AS research_areas, coalesce(l.quality, 0) = 1 AS recruiting FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
+        d.text AS research_areas, coalesce(l.quality, 0) = 1 AS recruiting FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "session_events": """SELECT user_id AS session_id, event_id, ts, event_id % (SELECT count(*) FROM {documents}) AS doc_id
         FROM {events} WHERE event_type IN ('click', 'view')""",
     "crawl_events": """SELECT event_id, ts, n_name AS university, value,
@@ -31,6 +31,12 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status_code, ts AS verified_at FROM {events}""",
     "selections": """SELECT o_orderkey % 500 AS advisor_id, CASE WHEN o_orderpriority LIKE '1%' THEN 'high' WHEN o_orderpriority LIKE '2%' THEN 'mid' ELSE 'low' END AS gpa_bucket FROM {orders}""",
     "feedback": "SELECT user_id AS id, event_id AS seq, event_type <> 'error' AS positive FROM {events}",
+    "han_names": """SELECT id, han, university, CASE id % 10 WHEN 0 THEN concat(han, '教授') WHEN 1 THEN concat(han, '大学') WHEN 2 THEN concat('Prof. ', han) WHEN 3 THEN concat(han, '（博导）') WHEN 4 THEN 'Wei Wang' WHEN 5 THEN 'wei wang'
+        WHEN 6 THEN '  ' WHEN 7 THEN concat('返回', han) WHEN 8 THEN NULL ELSE han END AS name FROM (SELECT c_custkey AS id, n_name AS university, translate(CAST(c_custkey AS VARCHAR(20)), '0123456789', '张王李赵刘陈杨黄周吴') AS han FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey) x""",
+    "notes": """SELECT o_orderkey AS id, concat(CASE o_orderkey % 9 WHEN 0 THEN concat('研究方向：', lower(o_orderpriority), ' systems and data。正教授，博导') WHEN 1 THEN concat('Research Interests: large scale ', o_orderpriority, ' learning; Associate Professor')
+        WHEN 2 THEN concat('计划招收', CAST(o_orderkey % 90 AS VARCHAR(20)), ' 名，GPA ≥ 3.', CAST(o_orderkey % 10 AS VARCHAR(20)), '，排名前', CAST(o_orderkey % 50 AS VARCHAR(20)), '%') WHEN 3 THEN concat('截止 2025年', CAST(o_orderkey % 14 AS VARCHAR(20)), '月', CAST(o_orderkey % 34 AS VARCHAR(20)), '日 或 2026/1/2')
+        WHEN 4 THEN concat('个人简介 ', o_orderstatus, ' 长期从事机器学习与数据挖掘方面的研究工作。特聘研究员，诚招学生') WHEN 5 THEN concat(CAST(o_orderkey % 7 AS VARCHAR(20)), '个招生名额，欢迎联系。成绩排在前', CAST(o_orderkey % 30 AS VARCHAR(20)), '％') WHEN 6 THEN 'We are looking for students. Our faculty: Lecturer'
+        WHEN 7 THEN '接收２５名，研究领域:short' ELSE '' END, ' ', o_orderpriority) AS text FROM {orders}""",
     "notices": """SELECT concat('http://n.example.org/', CAST(event_id % 997 AS VARCHAR(20))) AS url, event_id AS seq, event_type AS category, user_id % 25 AS univ_id,
         props AS title, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS extra_json FROM {events}""",
 }

@@ -1,13 +1,39 @@
-"""The folder that all machines of a cluster share."""
+"""The folder that all machines of a cluster share, and tables of one session in it."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """What spark.checkpoint.dir names; in local mode a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or tempfile.mkdtemp(prefix="spark-lodestar-")).rstrip("/")
+
+
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that goes when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended before
+        pass
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back, so that later steps don't compute it again."""
+    path = session_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

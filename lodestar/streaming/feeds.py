@@ -153,6 +153,49 @@ def current_table(spark: SparkSession, path: str, kind: str = "people") -> DataF
     return merge(rows.limit(0), rows)
 
 
+def compact(spark: SparkSession, path: str, kind: str = "people") -> None:
+    """Replaces all stored batches by one part that holds the merged table, under the newest batch's number, so reads don't grow with the log.
+
+    The merged part is written beside the others first; then they go. For maintenance between runs of the stream: batches that are
+    written meanwhile have higher numbers and stay.
+    """
+    batches = sorted(_batches(spark, path))
+    if len(batches) < 2:
+        return
+    some = spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in batches])
+    merge = {"people": upsert_people, "notices": upsert_notices}[kind]
+    rows = some.withColumn("seq", F.struct("batch", "seq")).drop("batch", "kind")
+    merged = merge(rows.limit(0), rows)
+    merged = merged.withColumn("seq", F.col("seq.seq") if "seq" in merged.columns else F.lit(0).cast("long")).withColumn("kind", F.lit(kind))
+    _swap(spark, merged, path, batches)
+
+
+def retain(spark: SparkSession, path: str, keep: int = 50) -> None:
+    """Deletes the turns of all but the ``keep`` conversations updated last from the stored batches; maintenance like :func:`compact`."""
+    batches = sorted(_batches(spark, path))
+    if batches:
+        turns = spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in batches]).drop("batch")
+        _swap(spark, retain_newest(message_counts(turns), turns, keep)[1], path, batches)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.Path
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    fs, of = _fs(spark, path)
+    return [int(s.getPath().getName()[6:]) for s in fs.listStatus(of(path)) if s.getPath().getName().startswith("batch=")]
+
+
+def _swap(spark: SparkSession, df: DataFrame, path: str, batches: list[int]) -> None:
+    fs, of = _fs(spark, path)
+    df.write.mode("overwrite").parquet(f"{path}/_merged")
+    for b in batches:
+        fs.delete(of(f"{path}/batch={b}"), True)
+    fs.rename(of(f"{path}/_merged"), of(f"{path}/batch={batches[-1]}"))
+
+
 def conversation_log(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step that appends turns by batch."""
     return upsert_stream(path, "turn")

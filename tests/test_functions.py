@@ -83,7 +83,7 @@ def test_boolean_filter(spark):
 
 
 def test_dates_quota_gpa(spark):
-    t = "报名 2022-01-01 起 2024年9月1日 止 2025-10-02，招收 12 名，GPA 3.5，前 20%"
+    t = "报名 2022-01-01 起 2024年9月1日 止 2025-10-02，招收 12 名，GPA ≥ 3.5，排名前 20%"
     assert one(spark, X.extract_dates(F.col("t")), t=t) == ["2024年9月1日", "2025-10-02"] and one(spark, X.deadline(F.col("t")), t=t) == "2025-10-02" and one(spark, X.deadline(F.col("t")), t="none") is None
     assert (one(spark, X.extract_quota(F.col("t")), t=t), one(spark, X.extract_gpa(F.col("t")), t=t), one(spark, X.extract_rank(F.col("t")), t=t)) == (12, 3.5, 20)
 
@@ -120,7 +120,7 @@ def test_small_rules(spark):
     assert one(spark, X.strip_prefix(F.col("o"), F.col("u")), o="清华大学计算机系", u="清华大学") == "计算机系" and one(spark, X.strip_prefix(F.col("o"), F.col("u")), o="清华计算机系", u="清华大学") == "计算机系"
     assert one(spark, X.normalize_term(F.col("t"), {"ml": "机器学习"}), t=" ML ") == "机器学习" and one(spark, X.normalize_term(F.col("t"), {"ml": "x"}), t=" Other ") == "Other"
     assert one(spark, X.extract_title(F.col("t")), t="他是副教授、博导") == "副教授" and one(spark, X.extract_email(F.col("t")), t="写信 a.b@x.edu.cn。") == "a.b@x.edu.cn" and one(spark, X.extract_email(F.col("t")), t="a@b") is None
-    assert one(spark, X.extract_areas(F.col("t")), t="研究方向：图像，视觉。其他") == "图像，视觉" and one(spark, X.is_recruiting(F.col("t")), t="欢迎报考")
+    assert one(spark, X.extract_areas(F.col("t")), t="研究方向：图像，视觉与语言模型。其他") == "图像，视觉与语言模型" and one(spark, X.is_recruiting(F.col("t")), t="欢迎报考")
     assert one(spark, X.char_count_han(F.col("t")), t="a中b文") == 2 and one(spark, X.tier_boost(F.col("t")), t="北京大学软件") == 1.3 and one(spark, X.tier_boost(F.col("t")), t=None) == 1.0
     assert one(spark, X.cross_domain(F.col("t"), [("media", ["a"]), ("law", ["b", "c"])]), t="law and media") == ["a"] and one(spark, X.cross_domain(F.col("t"), [("law", ["b"])]), t=None) == []
     assert one(spark, X.first_rule(F.col("t"), [("北京|清华", "北京"), ("大学", "其他")], "?"), t="清华大学") == "北京"

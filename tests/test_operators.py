@@ -139,9 +139,10 @@ def test_cascade_thresholds(spark):
 
 
 def test_session_rerank_corners(spark):
-    results = spark.createDataFrame([("s", 1, 0.5, "ml, cv"), ("s", 2, 0.9, " "), ("none", 1, 0.4, "ml"), ("s", 3, 0.2, "x、y")], "session_id string, doc_id int, score double, research_areas string")
+    results = spark.createDataFrame([("s", 1, 0.5), ("s", 2, 0.9), ("none", 1, 0.4), ("s", 3, 0.2)], "session_id string, doc_id int, score double")
+    docs = spark.createDataFrame([(1, "ml, cv"), (2, " "), (3, "x、y"), (4, "not shown")], "doc_id int, research_areas string")
     events = spark.createDataFrame([("s", 1, 1, "ml"), ("s", 2, 2, None), ("blank", 1, 3, "")], "session_id string, ts int, event_id int, areas string")
-    got = {(r["session_id"], r["doc_id"]): round(r["hybrid"], 6) for r in R.session_rerank(results, events).collect()}
+    got = {(r["session_id"], r["doc_id"]): round(r["hybrid"], 6) for r in R.session_rerank(results, events, docs).collect()}
     assert got == {("s", 1): round(0.35 + 0.3 / 2**0.5, 6), ("s", 2): 0.9, ("none", 1): 0.4, ("s", 3): 0.14}
 
 
@@ -163,3 +164,16 @@ def test_expansion_and_directions(spark):
 def test_match_on_nothing(spark):
     docs = spark.createDataFrame([], "id long, name string, research_areas string, university string, recruiting boolean")
     assert R.match(spark.createDataFrame([(1, "x y")], "query_id int, text string"), docs, 5).count() == 0
+
+
+def test_longest_terms_equal_drop_substrings(spark):
+    terms = ["工程", "软件工程", "件工程", "软件工程师", "abc", "xabcx", "bc", "abd"]
+    df = spark.createDataFrame([(1, t) for t in terms] + [(2, "abc"), (2, "abc")], "id int, term string")
+    got = sorted(map(tuple, J.longest_terms(df).collect()))
+    assert got == [(1, "abd"), (1, "xabcx"), (1, "软件工程师"), (2, "abc")]
+
+
+def test_universities_by_name_note_or_department(spark):
+    u = spark.createDataFrame([("甲大学", ""), ("乙大学", "医"), ("丙大学", None)], "name string, note string")
+    d = spark.createDataFrame([("丙大学", "医学院"), ("丙大学", "医院"), ("甲大学", None)], "univ_name string, dept_name string")
+    assert sorted(r["name"] for r in W.search_universities(u, d, "医").collect()) == ["丙大学", "乙大学"]

@@ -26,24 +26,24 @@ def test_parse_tolerates_broken_html(facts_of):
 
 
 LAYOUTS = {
-    "dl": "<dl><dt>职称</dt><dd>教授</dd><dt>研究方向</dt><dd>图像处理</dd></dl>",
-    "th": "<table><tr><th>职称</th><td>教授</td></tr><tr><th>研究方向</th><td>图像处理</td></tr></table>",
-    "td": "<table><tr><td>职称</td><td>教授</td></tr><tr><td>研究方向</td><td>图像处理</td></tr></table>",
-    "strong": "<p><strong>职称:</strong> 教授</p><p><strong>研究方向:</strong> 图像处理</p>",
-    "meta": "<meta name='description' content='教授，研究方向：图像处理'>",
+    "dl": "<dl><dt>职称</dt><dd>教授</dd><dt>研究方向</dt><dd>图像处理与机器学习</dd></dl>",
+    "th": "<table><tr><th>职称</th><td>教授</td></tr><tr><th>研究方向</th><td>图像处理与机器学习</td></tr></table>",
+    "td": "<table><tr><td>职称</td><td>教授</td></tr><tr><td>研究方向</td><td>图像处理与机器学习</td></tr></table>",
+    "strong": "<p><strong>职称:</strong> 教授</p><p><strong>研究方向:</strong> 图像处理与机器学习</p>",
+    "meta": "<meta name='description' content='教授，研究方向：图像处理与机器学习'>",
 }
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_profile_layouts(facts_of, layout):
     r = E.extract_profile(facts_of((BASE, LAYOUTS[layout]))).first()
-    assert (r["title"], r["areas"]) == ("教授", "图像处理")
+    assert (r["title"], r["areas"]) == ("教授", "图像处理与机器学习")
 
 
 def test_profile_precedence_and_links(facts_of):
-    html = "<p>研究方向：正文方向。邮箱 a@x.edu.cn 欢迎报考</p>" + LAYOUTS["dl"] + "<a href='https://orcid.org/1'>o</a><a href='https://scholar.google.com/c?u=1'>g</a>"
+    html = "<p>研究方向：正文里的研究方向。邮箱 a@x.edu.cn 欢迎报考</p>" + LAYOUTS["dl"] + "<a href='https://orcid.org/1'>o</a><a href='https://scholar.google.com/c?u=1'>g</a>"
     r = E.extract_profile(facts_of((BASE, html))).first()
-    assert (r["areas"], r["title"], r["email"], r["recruiting"], r["orcid"], r["google_scholar"]) == ("正文方向", "教授", "a@x.edu.cn", True, "https://orcid.org/1", "https://scholar.google.com/c?u=1")
+    assert (r["areas"], r["title"], r["email"], r["recruiting"], r["orcid"], r["google_scholar"]) == ("正文里的研究方向", "教授", "a@x.edu.cn", True, "https://orcid.org/1", "https://scholar.google.com/c?u=1")
     long = E.extract_profile(facts_of((BASE, "<p>" + "研" * 130 + "</p>"))).first()
     assert long["areas"] == "研" * 100
 
@@ -51,6 +51,7 @@ def test_profile_precedence_and_links(facts_of):
 def test_person_links_by_strategy(facts_of):
     html = "<ul><li><a href='/a/x1.htm'>张三</a> 教授</li><li><a href='/teacher/li.htm'>李四</a></li><li><a href='/n/9.htm'>王五</a></li><li><a href='/nav'>通知公告栏目</a></li></ul>"
     got = {r["name"]: r["strategy"] for r in E.person_links(E.extract_links(facts_of((BASE, html)))).collect()}
+    assert "下一页" not in {r["name"] for r in E.person_links(E.extract_links(facts_of((BASE, "<a href='x.htm'>下一页</a>")))).collect()}
     assert got["张三"] == 1 and got["李四"] == 2 and got["王五"] == 4 and "通知公告栏目" not in got
 
 
@@ -62,15 +63,15 @@ def test_records_scripts_and_people(facts_of, spark):
     assert sorted((r["page_id"], r["name"], r["title"]) for r in E.repeated_records(facts).collect()) == [(0, "张三", "教授"), (0, "李四", "教授"), (0, "王五", "教授")]
     assert [tuple(r)[3:6] for r in E.script_records(facts).collect()] == [("赵六", "/p/7.htm", "讲师")]
     listing = facts_of((BASE, "<li><a href='/szdw/1.htm'>张三</a> 教授</li><li><a href='http://other.com/1.htm'>李四</a> 教授</li>"))
-    profile = facts_of(("http://cs.x.edu.cn/szdw/1.htm", "<h1>张三</h1><p>副教授 研究方向：软件。</p>"))
+    profile = facts_of(("http://cs.x.edu.cn/szdw/1.htm", "<h1>张三</h1><p>副教授 研究方向：软件工程与软件测试。</p>"))
     got = E.extract_people(listing, profile, "某大学").collect()
-    assert [(r["name"], r["title"], r["areas"]) for r in got] == [("张三", "副教授", "软件")]
+    assert [(r["name"], r["title"], r["areas"]) for r in got] == [("张三", "副教授", "软件工程与软件测试")]
 
 
 def test_names_labs_notices(facts_of):
     assert E.resolve_person_name(facts_of((BASE, "<title>首页-李四-计算机</title><h1>王五</h1>"))).first()["name"] in ("首页", "李四")
-    lab = E.extract_lab(facts_of((BASE, "<title>视觉实验室-某大学</title><p>负责人：张三</p><p>成员：李四、王五；赵六</p><p>研究方向：图像。</p>"))).first()
-    assert (lab["lab_name"], lab["pi"], lab["members"], lab["areas"]) == ("视觉实验室", "张三", ["李四", "王五", "赵六"], "图像")
+    lab = E.extract_lab(facts_of((BASE, "<title>视觉实验室-某大学</title><p>负责人：张三</p><p>成员：李四、王五；赵六</p><p>研究方向：图像分析与场景理解。</p>"))).first()
+    assert (lab["lab_name"], lab["pi"], lab["members"], lab["areas"]) == ("视觉实验室", "张三", ["李四", "王五", "赵六"], "图像分析与场景理解")
     n = E.extract_notice(facts_of((BASE, "<title>2025年夏令营通知</title><p>发布 2025-05-01，招收 30 名，GPA 3.5，截止 2025年6月10日，a@b.cn</p>"))).first()
     assert n["category"] == "camp" and n["published_at"] == "2025-05-01" and '"deadline":"2025年6月10日"' in n["extra_json"] and '"quota":30' in n["extra_json"]
 

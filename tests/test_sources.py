@@ -125,8 +125,15 @@ def test_jobs_and_tables(spark, stored, tmp_path):
     step(rows.where("seq = 3"), 1)
     step(rows.where("seq = 3"), 1)
     assert [(r["profile_url"], r["name"], r["title"]) for r in L.current_table(spark, f"{folder}/people").collect()] == [("x", "a", "t3")]
+    L.compact(spark, f"{folder}/people")
+    L.compact(spark, f"{folder}/people")
+    step(rows.where("seq = 2").withColumn("seq", F.lit(9).cast("long")), 2)
+    assert [(r["profile_url"], r["name"], r["title"]) for r in L.current_table(spark, f"{folder}/people").orderBy("profile_url").collect()] == [("x", "a", "t3")]
     turns = spark.createDataFrame([(1, 0, "user", "x"), (1, 1, "assistant", "y"), (2, 0, "user", "z")], "conv_id long, turn long, role string, text string")
     L.conversation_log(f"{folder}/turns")(turns, 0)
+    L.conversation_log(f"{folder}/turns")(turns.where("conv_id = 3"), 1)
+    L.retain(spark, f"{folder}/turns", 1)
+    assert {r["conv_id"] for r in spark.read.parquet(f"{folder}/turns").collect()} == {1}
     kept, own = L.conversation_state(spark, f"{folder}/turns", 1)
     assert [tuple(r) for r in kept.collect()] == [(1, 2, 1)] and own.count() == 2
 
