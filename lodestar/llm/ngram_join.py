@@ -6,7 +6,9 @@ result is exact up to collisions of 64-bit hashes.
 
 Which pairs are counted: two sets that are similar enough share a whole cell of a finer cut (see :mod:`.shingles`), so
 documents meet under hashes of whole cells; of these each document keeps its rarest ones, as many as a similar partner
-needs. A pair whose cells are too unequal in size to reach the threshold is left out before any members travel.
+needs. Of each set there is a bitmap besides, twice as many bits as members, each the parity of the members that fall on
+it. Two bitmaps differ in no more bits than the sets do in members, so most pairs below the threshold are left out before
+any members travel.
 
 Only one document of each set goes further, so copies cost nothing. The documents of a signature are first compared
 with one of them alone, then, where many stay in different components, with others chosen by hash; what is still
@@ -25,11 +27,10 @@ from pyspark.sql import functions as F
 from .common import Stage, components, small
 from .shingles import Cuts, WordHashes, batches, digests, shingle_sets
 
-#: Fragments in which overlaps are counted apart, a range of the global order each; and finer ranges of which only sizes are compared.
+#: Fragments in which overlaps are counted apart, a range of the global order each.
 FRAGMENTS = 16
-RANGES = 64
 #: Documents of one signature that are paired row by row; more go into blocks of so many.
-FEW = 24
+FEW = 8
 BLOCK = 256
 #: How often the documents of a large signature are compared with one of them, as long as that halves what is unresolved.
 ROUNDS = 5
@@ -63,19 +64,31 @@ def _sets(n: int):
             rows = []
             for i, w, x, y in zip(frame["doc_id"].to_numpy(), which, start[:-1], start[1:], strict=True):
                 own = s[x:y]
-                sizes = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=RANGES).astype(np.int32)
-                ends = np.cumsum(sizes)[RANGES // FRAGMENTS - 1 :: RANGES // FRAGMENTS]
-                rows.append((i, w, y - x, sizes, [p.view(np.int64) for p in np.split(own, ends[:-1])]))
-            yield pd.DataFrame(rows, columns=["doc_id", "which", "n", "sizes", "parts"])
+                ends = np.searchsorted(own, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(60))
+                rows.append((i, w, y - x, *bitmaps(own), [p.view(np.int64) for p in np.split(own, ends)]))
+            yield pd.DataFrame(rows, columns=["doc_id", "which", "n", "bits", "half", "parts"])
 
     return run
 
 
+def bitmaps(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the members that fall on each of 2n bits, rounded up to a power of two, and the same folded to half as many bits."""
+    words = 1 << (max(1, -(-len(members) // 32)) - 1).bit_length()
+    odd = np.bincount((members & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    bits = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return bits, bits[: words // 2] ^ bits[words // 2 :] if words > 1 else bits[:0]
+
+
+#: Bits in which the bitmaps of a and b differ, compared at the fewer bits of both; 0 if they are too unequal to be compared.
+DIFFERENT = """coalesce(aggregate(zip_with(case when size(bits_a) > size(bits_b) then half_a else bits_a end, case when size(bits_b) > size(bits_a) then half_b else bits_b end,
+    (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + cast(x as bigint)), 0L)"""
+
+
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, which_a, b, which_b), the (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
     side = lambda x, *more: sets.select(F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("n").alias(f"n_{x}"), *more)
-    met = pairs.join(side("a", F.col("sizes").alias("s_a")), ["a", "which_a"]).join(side("b", F.col("sizes").alias("s_b")), ["b", "which_b"])
-    met = met.withColumn("shared", F.expr(MOST)).where(_similar(threshold)).select("a", "which_a", "b", "which_b", "n_a", "n_b")
+    met = pairs.join(side("a", F.col("bits").alias("bits_a"), F.col("half").alias("half_a")), ["a", "which_a"]).join(side("b", F.col("bits").alias("bits_b"), F.col("half").alias("half_b")), ["b", "which_b"])
+    met = met.withColumn("shared", F.expr(f"(n_a + n_b - {DIFFERENT}) div 2")).where(_similar(threshold)).select("a", "which_a", "b", "which_b", "n_a", "n_b")
     members = sets.select("doc_id", "which", F.posexplode("parts").alias("fragment", "members")).where("size(members) > 0")
     x = members.select(F.col("doc_id").alias("a"), F.col("which").alias("which_a"), "fragment", F.col("members").alias("x"))
     y = members.select(F.col("doc_id").alias("b"), F.col("which").alias("which_b"), "fragment", F.col("members").alias("y"))
@@ -96,12 +109,18 @@ def _block_pairs(threshold: float):  # applied to the rows of one pair of blocks
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, which, size, group = (frame[c].to_numpy() for c in ("doc_id", "which", "n", "component"))
-        sizes = np.array(frame["sizes"].tolist(), np.int64)
+        words = frame["bits"].map(len).to_numpy()
         rows = []
-        for i in range(len(ids)):
-            most = np.minimum(sizes[i], sizes[i + 1 :]).sum(axis=1)
-            near = 10_000 * most >= percent * (size[i] + size[i + 1 :] - most)
-            rows += [(ids[i], which[i], ids[j], which[j]) for j in i + 1 + np.flatnonzero(near & (group[i] != group[i + 1 :]))]
+        for w in np.unique(words):  # pairs whose smaller bitmap has w words
+            at = np.flatnonzero((words == w) | (words == 2 * w))
+            bits = np.array([frame["bits"].iloc[k] if words[k] == w else frame["half"].iloc[k] for k in at], np.int64).view(np.uint64)
+            for k in np.flatnonzero(words[at] == w):
+                i = at[k]
+                j = np.flatnonzero((group[at] != group[i]) & ((words[at] > w) | (at > i)))
+                different = np.bitwise_count(bits[j] ^ bits[k]).sum(axis=1).astype(np.int64)
+                j = at[j]
+                most = (size[i] + size[j] - different) // 2
+                rows += [(ids[i], which[i], ids[x], which[x]) for x in j[10_000 * most >= percent * (size[i] + size[j] - most)]]
         return pd.DataFrame(rows, columns=["a", "which_a", "b", "which_b"]).astype("int64")
 
     return run
@@ -128,7 +147,7 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     rare = _rarest(sketch, copies, several, stage)
     stage.drop(sketch)
     wanted = rare.groupBy("doc_id").agg(F.max(F.col("which") != 0).alias("several"))
-    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, sizes array<int>, parts array<array<long>>").dropDuplicates(KEY))
+    sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, bits array<long>, half array<long>, parts array<array<long>>").dropDuplicates(KEY))
 
     links = stage(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold))
     rest = stage(_unresolved(rare, components(links, stage)))
@@ -142,8 +161,7 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
         before, left = left, rest.where(f"met > {FEW}").count()
         if 2 * left > before:
             break
-    sized_rest = stage(rest.join(sets.select(*KEY, "sizes"), KEY))
-    more = _few(sized_rest, threshold).union(_many(sized_rest, threshold)).distinct()
+    more = _few(rest, threshold).union(_many(rest, sets, threshold)).distinct()
     edges = links.union(_links(stage(more), sets, threshold)).union(copies.select("doc_id", "first"))
     found = components(edges, stage).withColumnRenamed("node", "doc_id")
     stage.drop(sets, rare, rest)
@@ -205,22 +223,17 @@ def _unresolved(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(groups.where("met > 2 and low < high"), "signature").select("signature", *KEY, "component", "n", "met")
 
 
-#: The most that two sets can share, by the sizes of their ranges.
-MOST = "aggregate(zip_with(s_a, s_b, (x, y) -> least(x, y)), 0L, (t, x) -> t + cast(x as bigint))"
-
-
 def _few(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in different components that may be similar, where at most FEW documents have a signature."""
+    """Pairs in different components where at most FEW documents have a signature."""
     rest = rest.where(f"met <= {FEW}")
-    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sizes").alias(f"s_{x}")) for x in "ab")
-    percent = round(threshold * 10_000)
-    near = f"a < b and c_a <> c_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-6 and 10000 * {MOST} >= {percent} * (n_a + n_b - {MOST})"
+    a, b = (rest.select("signature", F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    near = f"a < b and c_a <> c_b and least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-6"
     return a.join(b, "signature").where(near).select("a", "which_a", "b", "which_b").distinct()
 
 
-def _many(rest: DataFrame, threshold: float) -> DataFrame:
-    """The same where more have a signature, from blocks of bounded size that meet each other in tasks; only sizes by range travel."""
-    rows = rest.where(f"met > {FEW}").withColumn("blocks", F.expr(f"cast(ceil(met / {BLOCK}) as int)"))
+def _many(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The same where more have a signature, from blocks of bounded size that meet each other in tasks, by bitmaps."""
+    rows = rest.where(f"met > {FEW}").join(sets.select(*KEY, "bits", "half"), KEY).withColumn("blocks", F.expr(f"cast(ceil(met / {BLOCK}) as int)"))
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *KEY, "component", "n", "sizes")
+    rows = rows.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *KEY, "component", "n", "bits", "half")
     return rows.groupBy("signature", "low", "high").applyInPandas(_block_pairs(threshold), "a long, which_a long, b long, which_b long")

@@ -118,6 +118,24 @@ def test_similar_sets_share_a_signature(members, added, dropped, t):
     assert any(n >= least for n, least in shared)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+def test_bitmaps_differ_in_no_more_bits_than_sets(x, y, both):
+    import numpy as np
+
+    from lodestar.llm.ngram_join import bitmaps
+
+    a, b = (np.array(sorted(z | both), np.uint64) for z in (x, y))
+    (p, p2), (q, q2) = bitmaps(a), bitmaps(b)
+    assert 64 * len(p) >= 2 * len(a) and len(p2) == len(p) // 2
+    if len(p) > len(q):
+        p = p2
+    if len(q) > len(p):
+        q = q2
+    if len(p) == len(q):
+        assert np.bitwise_count(p.view(np.uint64) ^ q.view(np.uint64)).sum() <= len((x | both) ^ (y | both))
+
+
 def test_shingles_of_a_batch_are_those_of_each_text():
     texts = ["a b c d e f", None, "", "one two", "A B c D e f", "x " * 10]
     h = WordHashes()
