@@ -39,8 +39,8 @@ def tokenize_words(c: Column) -> Column:
 
 
 def ngrams(c: Column, n: int) -> Column:
-    """All n-character pieces of a text."""
-    return F.when(F.char_length(c) >= n, F.transform(F.sequence(F.lit(1), F.char_length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All n-character pieces of a text, in one pass over it; a null or shorter text has none."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def tokenize_mixed(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ngrams
+
 
 def people_with_university(people: DataFrame, universities: DataFrame) -> DataFrame:
     """People of known universities, with rank and tier."""
@@ -51,7 +53,8 @@ def contained_terms(queries: DataFrame, vocabulary: DataFrame, both_ways: bool =
     """
     q = queries.select("q").where("q is not null").distinct()
     v = vocabulary.select("term").where("term is not null").distinct()
-    grams = lambda c: F.explode(F.array_distinct(F.expr(f"transform(sequence(1, greatest(char_length({c}) - 1, 1)), i -> substr({c}, i, 2))")))
+    pieces = lambda c: F.when(F.char_length(c) == 1, F.array(c)).otherwise(ngrams(F.col(c), 2))
+    grams = lambda c: F.explode(F.array_distinct(pieces(c)))
     held = q.withColumn("block", F.left("q", F.lit(2))).join(v.select("term", grams("term").alias("block")), "block").where("contains(term, q)").select("q", "term")
     if both_ways:
         holds = v.withColumn("block", F.left("term", F.lit(2))).join(q.select("q", grams("q").alias("block")), "block").where("contains(q, term)").select("q", "term")
