@@ -34,7 +34,7 @@ FEW = 8
 BLOCK = 256
 #: How often the documents of a large signature are compared with one of them, as long as that halves what is unresolved.
 ROUNDS = 5
-#: A signature that so many documents of a sixteenth of the corpus have is counted apart from the others.
+#: A signature that so many sets of a sixteenth of all have is not counted by gathering its rows.
 HOT = 64
 
 KEY = ["doc_id", "which"]
@@ -173,24 +173,21 @@ def _rarest(sketch: DataFrame, copies: DataFrame, several: DataFrame, stage: Sta
     """(signature, doc_id, which, n): signatures that several sets have, for each set as many of the rarest as it needs.
 
     which tells the texts of an id with several apart, by their digest; of other ids it is 0, which keeps the rows short.
-    Signatures that very many documents have show in a sixteenth of these; they are counted by an aggregation that
-    combines before it shuffles, so no task gathers them. All others have few documents each, and one window counts and filters them.
+    Rare means few sets have it. Any order will do that is the same for all sets: one window counts how many have a
+    signature, but of those that show often in a sixteenth of the sets, sixteen times that is taken, and their rows are dealt
+    over many groups, so no task gathers them.
     """
     rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id", "d1", "d2")), ["doc_id", "d1", "d2"], "left_anti")
     rows = rows.join(small(several), "doc_id", "left").withColumn("which", F.when(F.col("several"), F.col("d1")).otherwise(F.lit(0)))
+    sixteenth = rows.where("pmod(xxhash64(doc_id), 16) = 0").select(F.explode("signatures").alias("signature"))
+    # Of a signature that many have: how many about, and in the lowest bits room for the group a row is dealt to.
+    hot = stage(sixteenth.groupBy("signature").agg(F.count("*").alias("count")).where(f"count >= {HOT}").select("signature", F.expr("shiftleft(16 * count, 12)").alias("many")))
     # One number for the set's size (up to 2^27 shingles), its least share and its class keeps the rows of the large shuffle short.
     packed = F.expr("shiftleft(n_shingles, 36) + shiftleft(cast(least as bigint), 8) + class")
-    rows = rows.select("doc_id", "which", packed.alias("set"), F.explode("signatures").alias("signature"))
-    sixteenth = sketch.where("n_shingles > 0 and pmod(xxhash64(doc_id), 16) = 0").select(F.explode("signatures").alias("signature"))
-    hot = stage(sixteenth.groupBy("signature").count().where(f"count >= {HOT}").select("signature"))
-    counted = F.count("*").over(Window.partitionBy("signature"))
-    if hot.isEmpty():
-        met = rows.withColumn("spread", counted)
-    else:
-        common = rows.join(small(hot), "signature")
-        spread = stage(common.groupBy("signature").agg(F.count("*").alias("spread")))
-        met = rows.join(small(hot), "signature", "left_anti").withColumn("spread", counted).unionByName(common.join(small(spread), "signature"))
-    met = stage(met.where("spread > 1"))
+    rows = rows.select("doc_id", "which", packed.alias("set"), F.explode("signatures").alias("signature")).join(small(hot), "signature", "left")
+    rows = rows.withColumn("many", F.expr("many + (xxhash64(doc_id, signature) & 4095)"))
+    counted = F.count("*").over(Window.partitionBy("signature", "many"))
+    met = stage(rows.withColumn("spread", F.coalesce(F.shiftright("many", 12), counted)).drop("many").where("spread > 1"))
     some = met.select(*KEY, "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
     own = Window.partitionBy("doc_id", "which", "class")
     ranked = some.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
