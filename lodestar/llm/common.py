@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The most rows of a narrow table (at most three numbers a row) that are ever broadcast.
@@ -76,11 +76,13 @@ ALL = 100_000
 def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node of an edge, component the least node.
 
-    Large-star and small-star steps in turn; each aggregates before it shuffles. The edges of hubs aren't gathered: they
-    meet their hub's least neighbour by a broadcast. Of e edges at most 2 * e / max(HUB, 2 * e / BROADCAST_ROWS) nodes are
-    hubs, so at most BROADCAST_ROWS. Edges with a null end or between a node and itself count for nothing. No edges give no rows.
+    Large-star and small-star steps in turn; repeated edges go at the end of each turn. Up to ALL edges a window finds each
+    node's least neighbour, as they fit one task; beyond, an aggregate does, which combines before it shuffles, and the edges
+    of hubs aren't gathered: they meet their hub's least neighbour by a broadcast. Of e edges at most
+    2 * e / max(HUB, 2 * e / BROADCAST_ROWS) nodes are hubs, so at most BROADCAST_ROWS. Edges with a null end or between a
+    node and itself count for nothing. No edges give no rows.
     """
-    star = stage(_oriented(edges))
+    star = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     count, seen = star.count(), None
     while True:
         hub = max(HUB, -(-2 * count // BROADCAST_ROWS)) if count > ALL else None
@@ -93,30 +95,23 @@ def components(edges: DataFrame, stage: Stage) -> DataFrame:
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).union(star.select("b", "b").distinct())
 
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _with_least(rows: DataFrame, hub: int | None) -> tuple[DataFrame, DataFrame]:
-    """The rows (a, b) with the least b of their a as ``m``, and that table (a, m, degree) itself."""
-    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+def _with_least(rows: DataFrame, hub: int | None) -> DataFrame:
+    """The rows (a, b) with the least b of their a as ``m``."""
     if hub is None:
-        return rows.join(least.drop("degree"), "a"), least
+        return rows.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
     hubs = F.broadcast(least.where(F.col("degree") > hub).drop("degree"))
     others = rows.join(hubs, "a", "left_anti").join(least.where(F.col("degree") <= hub).drop("degree"), "a")
-    return rows.join(hubs, "a").select("a", "b", "m").union(others.select("a", "b", "m")), least
+    return rows.join(hubs, "a").select("a", "b", "m").union(others.select("a", "b", "m"))
 
 
 def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
-    """Every neighbour larger than a node goes to the least of the node and its neighbours."""
+    """Every neighbour larger than a node goes to the least of the node and its neighbours: one row (a, b), a > b, for each edge."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    met, _ = _with_least(both, hub)
-    return met.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
+    return _with_least(both, hub).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small_star(edges: DataFrame, hub: int | None) -> DataFrame:
-    """Every neighbour smaller than a node, and the node itself, goes to the node's least neighbour."""
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    met, least = _with_least(edges, hub)
-    lower = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return lower.union(least.select("a", F.col("m").alias("b"))).distinct()
+    """Every neighbour smaller than a node, and the node itself, goes to the node's least neighbour; edges are (a, b), a > b."""
+    ends = F.explode(F.expr("case when b = m then array(a) else array(a, b) end"))
+    return _with_least(edges, hub).select(ends.alias("a"), F.col("m").alias("b")).distinct()

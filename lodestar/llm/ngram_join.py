@@ -149,21 +149,21 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     wanted = rare.groupBy("doc_id").agg(F.max(F.col("which") != 0).alias("several"))
     sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, bits array<long>, half array<long>, parts array<array<long>>").dropDuplicates(KEY))
 
-    links = stage(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold))
-    rest = stage(_unresolved(rare, components(links, stage)))
+    found = components(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold), stage)
+    rest = stage(_unresolved(rare, found))
     left = rest.where(f"met > {FEW}").count()
     for step in range(1, ROUNDS):
         if not left:
             break
-        some = stage(_links(stage(_with_pivot(rest.where(f"met > {FEW}"), step, threshold)), sets, threshold))
-        links = links.union(some)
-        rest = stage(_unresolved(rest, components(links, stage)))
+        some = _links(stage(_with_pivot(rest.where(f"met > {FEW}"), step, threshold)), sets, threshold)
+        found = components(found.union(some).toDF("a", "b"), stage)
+        rest = stage(_unresolved(rest, found))
         before, left = left, rest.where(f"met > {FEW}").count()
         if 2 * left > before:
             break
     more = _few(rest, threshold).union(_many(rest, sets, threshold)).distinct()
-    edges = links.union(_links(stage(more), sets, threshold)).union(copies.select("doc_id", "first"))
-    found = components(edges, stage).withColumnRenamed("node", "doc_id")
+    edges = found.union(_links(stage(more), sets, threshold)).union(copies.select("doc_id", "first"))
+    found = components(edges.toDF("a", "b"), stage).withColumnRenamed("node", "doc_id")
     stage.drop(sets, rare, rest)
     out = sized.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
