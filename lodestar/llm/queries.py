@@ -15,10 +15,13 @@ from .mixing import take
 from .neardup import similar_vectors
 from .ngram_join import similar_documents
 from .packing import pack
+from .periodic import periodic_runs
 from .pii import personal_data, summary
 from .quality import judge
+from .repeats import remove_repeats
 from .tokens import token_counts
 from .toxicity import score_documents
+from .whitening import whiten
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), sites=10).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some texts, chosen by the hash h of their id, are made periodic from word a on, with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.expr(r"filter(split(text, '[\u0009-\u000D\u0020]+'), w -> w <> '')")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    docs = docs.withColumn("n", F.size("w")).withColumn("a", F.expr("(h div 10) % nullif(n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    periodic = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    found = periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text")))
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length as order, r.start as start, r.period as period)))")
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("best.order")
+    return found.select("doc_id", "n_runs", "best.start", length.alias("length"), "best.period", F.expr("-1000 * best.order div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(table(spark, sf_dir, "embeddings"), components=8)
+    each = F.explode(F.expr("transform(arrays_zip(whitened, explained), (x, i) -> struct(i + 1 as component, x.whitened as whitened, x.explained as explained))"))
+    return found.select("vec_id", "n", "deviation", "identity_error", each.alias("c")).select("vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), k=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_pii, op5_toxicity, op6_source_mixing, op7_quality_rules, op8_token_counts, op9_ngram_jaccard_join, op10_line_dedup]
+    found = [op1_chat_formatting, op2_embedding_near_dedup, op3_best_fit_packing, op4_pii, op5_toxicity, op6_source_mixing, op7_quality_rules, op8_token_counts, op9_ngram_jaccard_join, op10_line_dedup, op11_periodic_runs, op12_embedding_whitening, op13_substring_dedup]
     return {f.__name__: f for f in found}

@@ -91,5 +91,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesc
 """
 
 
+REPEATS = rf"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), v AS (
+    SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), g AS (
+    SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM v JOIN (SELECT s FROM v GROUP BY s HAVING count(*) > 1) USING (s)
+), x AS (
+    SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d
+), k AS (
+    SELECT x.r, count(*) FILTER (g.j IS NOT NULL) AS n, string_agg(x, ' ' ORDER BY x.j) FILTER (g.j IS NULL) AS kept FROM x LEFT JOIN g ON x.r = g.r AND x.j = g.j GROUP BY x.r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT, "op6_source_mixing": MIXING, "op7_quality_rules": _quality(), "op9_ngram_jaccard_join": NGRAM_JOIN, "op10_line_dedup": LINES}
+    return {"op1_chat_formatting": CHAT, "op6_source_mixing": MIXING, "op7_quality_rules": _quality(), "op9_ngram_jaccard_join": NGRAM_JOIN, "op10_line_dedup": LINES, "op13_substring_dedup": REPEATS}
