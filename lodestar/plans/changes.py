@@ -9,7 +9,9 @@ from ..operators import mutations as M
 from ..sources import feeds as S
 from ..sources.fixtures import cte, table, view
 from ..sources.shared import session_folder
+from ..sources.snapshots import Snapshots
 from ..streaming import feeds as L
+from ..streaming.segments import current_index, maintain_index
 from .registry import query
 from .sqltext import session_terms, words
 
@@ -156,13 +158,16 @@ def stream_interest(spark, sf_dir):
 
 @query(f"""WITH w AS (SELECT doc_id, {words("text")} AS words FROM documents WHERE lang <> 'de'), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM w) GROUP BY ALL) SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS dl, max(tf) AS most FROM p GROUP BY doc_id""")
 def stream_index(spark, sf_dir):
-    """Documents arrive as changes; German ones are deleted again in a second stream."""
+    """Documents arrive as changes; German ones are deleted again by a second stream, one file and batch for each source."""
     folder = session_folder(spark, "index")
-    step, docs = L.maintain_index(f"{folder}/ix", ["text"]), _stream(spark, sf_dir, "documents")
-    _run(docs.select(F.col("doc_id").alias("id"), F.lit("insert").alias("op"), "text", F.col("doc_id").alias("seq")), step, folder)
-    later = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").alias("id"), F.lit("delete").alias("op"), "text", F.col("doc_id").alias("seq"))
-    step(later, 1)
-    made = L.current_index(spark, f"{folder}/ix")
+    docs = _stream(spark, sf_dir, "documents")
+    _run(docs.select(F.col("doc_id").alias("id"), F.lit("insert").alias("op"), "text", F.col("doc_id").alias("seq")), maintain_index(f"{folder}/ix", ["text"], "arrivals"), f"{folder}/first")
+    gone = table(spark, sf_dir, "documents").where("lang = 'de'").select("source", F.col("doc_id").alias("id"))
+    gone.repartition("source").write.partitionBy("source").parquet(f"{folder}/gone")
+    later = spark.readStream.schema(gone.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/gone")
+    later = later.select("id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"), F.col("id").alias("seq"))
+    _run(later, maintain_index(f"{folder}/ix", ["text"], "removals", fanout=3), f"{folder}/second")
+    made = current_index(spark, f"{folder}/ix")
     return made["postings"].groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.max("tf").alias("most")).join(made["doc_len"], "doc_id").select("doc_id", "n_terms", "dl", "most")
 
 
@@ -178,11 +183,15 @@ def stream_jobs(spark, sf_dir):
 
 @query("""SELECT url, arg_max(title, seq) AS title, arg_max(extra_json, seq) FILTER (extra_json IS NOT NULL) AS extra_json FROM (SELECT 'http://n/' || event_id % 613 AS url, event_type AS title, CASE WHEN event_id % 3 > 0 THEN props END AS extra_json, event_id AS seq FROM events WHERE event_id % 613 > 0) GROUP BY url""")
 def stream_notices(spark, sf_dir):
+    """Arrivals are merged, and the newest batch comes again afterwards, as after a crash."""
     folder = session_folder(spark, "notices")
     url = F.expr("case when event_id % 613 > 0 then concat('http://n/', event_id % 613) else ' ' end")
-    rows = _stream(spark, sf_dir, "events").select(url.alias("url"), F.col("event_type").alias("title"), F.expr("case when event_id % 3 > 0 then props end").alias("extra_json"), F.col("event_id").alias("seq"))
-    _run(rows, L.upsert_stream(f"{folder}/rows", "notices"), folder)
+    rows = lambda events: events.select(url.alias("url"), F.col("event_type").alias("title"), F.expr("case when event_id % 3 > 0 then props end").alias("extra_json"), F.col("event_id").alias("seq"))
+    step = L.upsert_stream(f"{folder}/rows", "notices")
+    _run(rows(_stream(spark, sf_dir, "events")), step, folder)
     L.compact(spark, f"{folder}/rows", "notices")
+    newest = max(Snapshots(spark, f"{folder}/rows").manifest().marks.values())
+    step(rows(table(spark, sf_dir, "events")), newest)
     return L.current_table(spark, f"{folder}/rows", "notices").select("url", "title", "extra_json")
 
 

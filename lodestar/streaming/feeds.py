@@ -1,4 +1,4 @@
-"""Event feeds with Structured Streaming: ordered feeds, session interests, indexes and tables kept current.
+"""Event feeds with Structured Streaming: ordered feeds, session interests and tables kept current.
 
 Times are cast to timestamps with a zone before a watermark; state is bounded by time and count. Every foreachBatch step
 keys what it writes by batch, so a batch that is replayed changes nothing.
@@ -9,13 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import message_counts
 from ..operators.mutations import upsert_notices, upsert_people
-from ..operators.retrieval import build_index
 from ..operators.windows import event_history, retain_newest
+from ..sources.snapshots import Snapshots
 
 
 def timed(stream: DataFrame, column: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -83,29 +83,6 @@ def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, delay:
     return grouped.applyInPandasWithState(update, "session_id long, terms string, n_events long", "events string", "update", "EventTimeTimeout")
 
 
-def maintain_index(path: str, columns: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step for (id, op, columns..., seq): postings of changed documents are replaced, of deleted ones dropped.
-
-    Each batch writes its postings and the ids it changed; the current index is what no later batch changed.
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        last = batch.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).where("n = 1")
-        _replace(last.select("id", "op"), f"{path}/changes/batch={batch_id}")
-        index = build_index(last.where("op <> 'delete'"), columns)
-        _replace(index["postings"].join(index["doc_len"], "doc_id"), f"{path}/postings/batch={batch_id}")
-
-    return step
-
-
-def current_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The maintained index as postings, doc_len and vocab."""
-    latest = spark.read.parquet(f"{path}/changes").groupBy(F.col("id").alias("doc_id")).agg(F.max("batch").alias("batch"))
-    rows = spark.read.parquet(f"{path}/postings").join(latest, ["doc_id", "batch"])
-    postings = rows.select("doc_id", "term", "tf")
-    return {"postings": postings, "doc_len": rows.select("doc_id", "dl").distinct(), "vocab": postings.groupBy("term").agg(F.count("*").alias("df"))}
-
-
 def crawl_progress(events: DataFrame) -> DataFrame:
     """Per university: largest count so far, last event, whether it is active, seconds since the start. Batch, or streaming in update mode."""
     last = F.max_by("type", F.struct("ts", "event_id"))
@@ -138,62 +115,45 @@ def dedupe_jobs(stream: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_0
 
 
 def upsert_stream(path: str, kind: str = "people") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that stores arrivals by batch; :func:`current_table` merges them."""
+    """A foreachBatch step that adds arrivals to a table with snapshots, once each; :func:`current_table` merges them."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        _replace(batch.withColumn("kind", F.lit(kind)), f"{path}/batch={batch_id}")
+        Snapshots(batch.sparkSession, path).append(batch.withColumn("kind", F.lit(kind)), batch_id)
 
     return step
 
 
+def _merged(rows: DataFrame, kind: str) -> DataFrame:
+    rows = rows.withColumn("seq", F.struct("batch", "seq")).drop("batch", "kind")
+    return {"people": upsert_people, "notices": upsert_notices}[kind](rows.limit(0), rows)
+
+
 def current_table(spark: SparkSession, path: str, kind: str = "people") -> DataFrame:
     """All arrivals merged by the rules of people or notices, in order of batch and seq."""
-    rows = spark.read.parquet(path).withColumn("seq", F.struct("batch", "seq")).drop("batch", "kind")
-    merge = upsert_people if kind == "people" else upsert_notices
-    return merge(rows.limit(0), rows)
+    return _merged(Snapshots(spark, path).read(), kind)
 
 
-def compact(spark: SparkSession, path: str, kind: str = "people") -> None:
-    """Replaces all stored batches by one part that holds the merged table, under the newest batch's number, so reads don't grow with the log.
+def compact(spark: SparkSession, path: str, kind: str = "people") -> bool:
+    """Puts the merged table in the place of all batches stored so far, so reads don't grow with the log; False if nothing changed.
 
-    The merged part is written beside the others first; then they go. For maintenance between runs of the stream: batches that are
-    written meanwhile have higher numbers and stay.
+    The stream may go on meanwhile, and a batch that is replayed afterwards is known by its mark and adds nothing.
     """
-    batches = sorted(_batches(spark, path))
-    if len(batches) < 2:
-        return
-    some = spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in batches])
-    merge = {"people": upsert_people, "notices": upsert_notices}[kind]
-    rows = some.withColumn("seq", F.struct("batch", "seq")).drop("batch", "kind")
-    merged = merge(rows.limit(0), rows)
-    merged = merged.withColumn("seq", F.col("seq.seq") if "seq" in merged.columns else F.lit(0).cast("long")).withColumn("kind", F.lit(kind))
-    _swap(spark, merged, path, batches)
-
-
-def retain(spark: SparkSession, path: str, keep: int = 50) -> None:
-    """Deletes the turns of all but the ``keep`` conversations updated last from the stored batches; maintenance like :func:`compact`."""
-    batches = sorted(_batches(spark, path))
-    if batches:
-        turns = spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in batches]).drop("batch")
-        _swap(spark, retain_newest(message_counts(turns), turns, keep)[1], path, batches)
 
+    def change(rows: DataFrame) -> DataFrame:
+        merged = _merged(rows, kind)
+        return merged.withColumn("seq", F.col("seq.seq") if "seq" in merged.columns else F.lit(0).cast("long")).withColumn("kind", F.lit(kind))
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    return jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.Path
+    return Snapshots(spark, path).rewrite(change)
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    fs, of = _fs(spark, path)
-    return [int(s.getPath().getName()[6:]) for s in fs.listStatus(of(path)) if s.getPath().getName().startswith("batch=")]
+def retain(spark: SparkSession, path: str, keep: int = 50) -> bool:
+    """Leaves the turns of the ``keep`` conversations updated last; maintenance like :func:`compact`."""
 
+    def change(rows: DataFrame) -> DataFrame:
+        turns = rows.drop("batch")
+        return retain_newest(message_counts(turns), turns, keep)[1]
 
-def _swap(spark: SparkSession, df: DataFrame, path: str, batches: list[int]) -> None:
-    fs, of = _fs(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/_merged")
-    for b in batches:
-        fs.delete(of(f"{path}/batch={b}"), True)
-    fs.rename(of(f"{path}/_merged"), of(f"{path}/batch={batches[-1]}"))
+    return Snapshots(spark, path).rewrite(change)
 
 
 def conversation_log(path: str) -> Callable[[DataFrame, int], None]:
@@ -203,5 +163,5 @@ def conversation_log(path: str) -> Callable[[DataFrame, int], None]:
 
 def conversation_state(spark: SparkSession, path: str, keep: int = 50) -> tuple[DataFrame, DataFrame]:
     """Counts of the conversations kept, and their turns."""
-    turns = spark.read.parquet(path).drop("batch", "kind")
+    turns = Snapshots(spark, path).read().drop("batch", "kind")
     return retain_newest(message_counts(turns), turns, keep)

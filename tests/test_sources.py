@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lodestar.operators.retrieval import build_index
 from lodestar.operators.windows import decayed_terms, last_n
 from lodestar.sources import feeds as S
+from lodestar.sources.snapshots import Snapshots
 from lodestar.streaming import feeds as L
+from lodestar.streaming.segments import current_index, maintain_index
 
 
 def js(spark, *objects):
@@ -94,13 +96,13 @@ def test_session_interest_stream_equals_batch(spark, stored):
 
 def test_index_follows_changes(spark, tmp_path):
     schema = "id long, op string, text string, seq long"
-    step, path = L.maintain_index(f"{tmp_path}/ix", ["text"]), f"{tmp_path}/ix"
+    step, path = maintain_index(f"{tmp_path}/ix", ["text"]), f"{tmp_path}/ix"
     first = spark.createDataFrame([(1, "insert", "a b b", 1), (2, "insert", "c", 2), (3, "insert", "d", 3)], schema)
     second = spark.createDataFrame([(1, "update", "a z", 4), (2, "delete", None, 5), (4, "insert", "x", 6), (4, "update", "y y", 7)], schema)
     for n, batch in enumerate([first, second]):
         step(batch, n)
     step(second, 1)  # a replay
-    got = sorted(map(tuple, L.current_index(spark, path)["postings"].collect()))
+    got = sorted(map(tuple, current_index(spark, path)["postings"].collect()))
     want = build_index(spark.createDataFrame([(1, "a z"), (3, "d"), (4, "y y")], "id long, text string"), ["text"])["postings"]
     assert got == sorted(map(tuple, want.collect()))
 
@@ -133,7 +135,7 @@ def test_jobs_and_tables(spark, stored, tmp_path):
     L.conversation_log(f"{folder}/turns")(turns, 0)
     L.conversation_log(f"{folder}/turns")(turns.where("conv_id = 3"), 1)
     L.retain(spark, f"{folder}/turns", 1)
-    assert {r["conv_id"] for r in spark.read.parquet(f"{folder}/turns").collect()} == {1}
+    assert {r["conv_id"] for r in Snapshots(spark, f"{folder}/turns").read().collect()} == {1}
     kept, own = L.conversation_state(spark, f"{folder}/turns", 1)
     assert [tuple(r) for r in kept.collect()] == [(1, 2, 1)] and own.count() == 2
 
