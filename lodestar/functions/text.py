@@ -21,11 +21,12 @@ def tokenize_windows(c: Column) -> Column:
     """Distinct tokens: the whole trimmed text, its parts of 2 to 30 characters, and windows of 4 characters over each
     part, which shrink to 3 and 2 at the part's end. All lower-cased; a null or blank text has none."""
     text = F.coalesce(c, F.lit(""))
-    parts = F.filter(F.transform(F.split(text, TOKEN_SEPARATORS), lambda p: F.lower(F.trim(p))), lambda p: F.char_length(p) >= 2)
-    windows = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - 1), lambda i: F.substring(p, i, F.lit(4)))))
+    cut = F.array_distinct(F.filter(F.transform(F.split(text, TOKEN_SEPARATORS), lambda p: F.lower(F.trim(p))), lambda p: F.char_length(p) >= 2))
+    windows = lambda parts: F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - 1), lambda i: F.substring(p, i, F.lit(4)))))
     whole = F.lower(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")))
-    made = F.array_distinct(F.concat(F.array(whole), F.filter(parts, lambda p: F.char_length(p) <= 30), windows))
-    return F.when(whole == "", F.array().cast("array<string>")).otherwise(made)
+    made = lambda parts: F.array_distinct(F.concat(F.array(whole), F.filter(parts, lambda p: F.char_length(p) <= 30), windows(parts)))
+    # As the only element of an array, the parts are cut once and named.
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(cut), made), 1))
 
 
 def fold_accents(c: Column) -> Column:
@@ -116,34 +117,54 @@ def extract_email(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", 1), F.lit(""))
 
 
-# What may precede research areas, in order of precedence, the least and most characters of these, and what ends them.
+# Labels of research areas in order of precedence, whether a colon must follow, the least and most characters of the areas, and what ends them.
 AREA_LABELS = (
-    ("研究方向[：:]", 8, 300, "。；;\\n\\r"),
-    ("研究领域[：:]", 8, 300, "。；;\\n\\r"),
-    ("主要方向[：:]", 8, 300, "。；;\\n\\r"),
-    ("主要研究[方向领域面][：:]?", 8, 300, "。；;\\n\\r"),
-    ("研究兴趣[：:]", 8, 300, "。；;\\n\\r"),
-    ("研究内容[：:]", 8, 300, "。；;\\n\\r"),
-    ("(?i:Research\\s+Interests?)\\s*[：:]?", 8, 400, ".;\\n\\r"),
-    ("(?i:Research\\s+Areas?)\\s*[：:]?", 8, 400, ".;\\n\\r"),
-    ("(?i:Specializations?)\\s*[：:]?", 8, 400, ".;\\n\\r"),
-    ("个人简介[：:]?", 15, 400, "。\\n"),
+    ("研究方向", True, 8, 300, "。；;\n\r"),
+    ("研究领域", True, 8, 300, "。；;\n\r"),
+    ("主要方向", True, 8, 300, "。；;\n\r"),
+    ("主要研究方向", False, 8, 300, "。；;\n\r"),
+    ("主要研究领域", False, 8, 300, "。；;\n\r"),
+    ("主要研究方面", False, 8, 300, "。；;\n\r"),
+    ("研究兴趣", True, 8, 300, "。；;\n\r"),
+    ("研究内容", True, 8, 300, "。；;\n\r"),
+    ("Research Interests", False, 8, 400, ".;\n\r"),
+    ("Research Interest", False, 8, 400, ".;\n\r"),
+    ("Research Areas", False, 8, 400, ".;\n\r"),
+    ("Research Area", False, 8, 400, ".;\n\r"),
+    ("Specializations", False, 8, 400, ".;\n\r"),
+    ("Specialization", False, 8, 400, ".;\n\r"),
+    ("个人简介", False, 15, 400, "。\n"),
 )
 
 
-def extract_areas(c: Column, labels=AREA_LABELS, most: int = 400) -> Column:
-    """What follows the first label found, in the order of the labels, up to ``most`` characters, lines joined by ；; null if none."""
-    found = [F.nullif(F.regexp_extract(c, rf"{label}\s*(.{{{low},{high}}}?)(?:[{ends}]|$)", 1), F.lit("")) for label, low, high, ends in labels]
-    return F.left(F.regexp_replace(F.trim(F.coalesce(*found)), r"[\r\n]+", "；"), F.lit(most))
+def _labelled(c: Column, label: str, colon: bool, least: int, most: int, ends: str) -> Column:
+    """What stands between a label and the next end mark, or the end of the text; null if that is too short or too long.
+
+    An end mark within the first ``least`` characters doesn't end it, a line break there does.
+    """
+    words = r"\s+".join(label.split(" "))
+    rest = F.ltrim(F.try_element_at(F.split(c, f"(?i){words}\\s*{'[：:]' if colon else '[：:]?'}", 2), F.lit(2)))
+    value = F.concat(F.left(rest, F.lit(least)), F.element_at(F.split(F.substr(rest, F.lit(least + 1)), f"[{ends}]", 2), 1))
+    fits = F.char_length(value).between(least, most) & ~F.left(rest, F.lit(least)).rlike(r"[\r\n]")
+    return F.when(fits, value)
 
 
-_YEAR, _MONTH, _DAY = "(?:202[3-9]|20[34][0-9])", "(?:1[0-2]|0?[1-9])", "(?:3[01]|[12][0-9]|0?[1-9])"
-_DATE = rf"({_YEAR}[年/-]{_MONTH}[月/-]{_DAY}日?|{_YEAR}\.{_MONTH}\.{_DAY})"
+def extract_areas(c: Column, labels=AREA_LABELS, most: int = 400) -> Column:
+    """What follows the first label that has something after it, in the order of the labels, up to ``most`` characters, lines joined by ；; null if none."""
+    found = F.coalesce(*[_labelled(c, *label) for label in labels])
+    return F.left(F.regexp_replace(F.trim(found), r"[\r\n]+", "；"), F.lit(most))
 
 
 def extract_dates(c: Column) -> Column:
-    """All dates from 2023 to 2049 with a month and a day that exist, in order."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_DATE))
+    """All days from 2023 to 2049 written as numbers of year, month and day, in order, as they are written; days that no calendar has don't count."""
+    written = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([0-9]{4}(?:年[0-9]{1,2}月|[-/.][0-9]{1,2}[-/.])[0-9]{1,2}日?)"))
+
+    def is_day(date: Column) -> Column:
+        n = F.split(date, "[^0-9]+")
+        day = F.try_to_timestamp(F.concat_ws("-", n[0], n[1], n[2]), F.lit("yyyy-M-d"))
+        return day.isNotNull() & F.year(day).between(2023, 2049)
+
+    return F.filter(written, is_day)
 
 
 def deadline(c: Column) -> Column:
@@ -151,26 +172,63 @@ def deadline(c: Column) -> Column:
     return F.try_element_at(extract_dates(c), F.lit(-1))
 
 
-def _number(c: Column) -> Column:
-    """A number in plain or full-width digits; null for an empty text, or for one too long for a whole number."""
-    return F.nullif(F.translate(c, "０１２３４５６７８９", "0123456789"), F.lit("")).try_cast("int")
+def _plain_digits(c: Column) -> Column:
+    return F.translate(F.coalesce(c, F.lit("")), "０１２３４５６７８９％", "0123456789%")
+
+
+def _clauses(c: Column) -> Column:
+    return F.split(_plain_digits(c), "[，。\n]")
+
+
+def _first(values: Column) -> Column:
+    """The first value that isn't null."""
+    return F.try_element_at(F.array_compact(values), F.lit(1))
+
+
+# Words of admission, and how many characters may stand between one and a number of persons.
+ADMISSION = ("招收", "接收", "接受")
+ADMISSION_GAP = 15
 
 
 def extract_quota(c: Column) -> Column:
-    """How many are admitted: a number of persons after a word of admission, or before 名额."""
-    pattern = "(?:拟招收|计划招收|招收|接收|接受)[^，。\\n]{0,15}?([0-9０-９]+)\\s*[人名]|([0-9]+)\\s*(?:个)?(?:招生)?名额"
-    return _number(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)))
+    """How many are admitted: in the first clause that says so, the number of persons soon after a word of admission; else the number before 名额.
+
+    Null if there is none, or if it is too large for a whole number.
+    """
+
+    def after_word(clause: Column) -> Column:
+        rest = F.try_element_at(F.split(clause, "|".join(ADMISSION), 2), F.lit(2))
+        persons = F.regexp_substr(rest, F.lit(r"[0-9]+\s*[人名]"))
+        return F.when(F.position(persons, rest) <= ADMISSION_GAP + 1, F.regexp_substr(persons, F.lit("[0-9]+")).try_cast("int"))
+
+    before = F.split(_plain_digits(c), "名额")
+    places = F.transform(F.slice(before, 1, F.size(before) - 1), lambda x: F.regexp_substr(F.regexp_replace(x, r"(?:个|招生|\s)+$", ""), F.lit("[0-9]+$")).try_cast("int"))
+    return F.coalesce(_first(F.transform(_clauses(c), after_word)), _first(places))
 
 
 def extract_gpa(c: Column) -> Column:
-    """The grade that a comparison with GPA names."""
-    return F.nullif(F.regexp_extract(c, r"(?i)GPA\s*[≥>≧=]{1,2}\s*([0-9]+\.?[0-9]*)", 1), F.lit("")).cast("double")
+    """The grade that stands after GPA and a sign of comparison; null if none."""
+    after = F.transform(F.split(_plain_digits(c), "(?i)gpa"), lambda x: F.ltrim(x))
+    asked = F.filter(F.slice(after, 2, F.size(after)), lambda x: F.left(x, F.lit(1)).isin("≥", ">", "≧", "="))
+    return _first(F.transform(asked, lambda x: F.regexp_substr(F.ltrim(x, F.lit("≥>≧= ")), F.lit(r"^[0-9]+(\.[0-9]+)?")).try_cast("double")))
 
 
 def extract_rank(c: Column) -> Column:
-    """The share of a year's best that may apply, in percent."""
-    pattern = "排名?前\\s*([0-9]+)[%％]|成绩[^，。\\n]{0,10}前([0-9]+)[%％]?"
-    return _number(F.concat(F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)))
+    """The share of a year's best that may apply, in percent: the number after 前, if 排 or 排名 stands before it and a percent sign after the number, or
+    if 成绩 stands at most ten characters before it in the clause; null if none."""
+
+    def in_clause(clause: Column) -> Column:
+        parts = F.split(clause, "前")
+
+        def at(tail: Column, i: Column) -> Column:
+            head, number = F.element_at(parts, i + 1), F.regexp_substr(F.ltrim(tail), F.lit("^[0-9]+"))
+            ranked = head.rlike("排名?$") & F.ltrim(tail).rlike("^[0-9]+%")
+            graded = head.rlike("成绩.{0,10}$")
+            return F.when(ranked | graded, number.try_cast("int"))
+
+        return _first(F.transform(F.slice(parts, 2, F.size(parts)), at))
+
+    return _first(F.transform(_clauses(c), in_clause))
 
 
 # Fixed value: phrases by which a page says that it takes students.

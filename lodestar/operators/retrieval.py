@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SESSION_SEPARATORS, area_tags, match_reason, tier_boost, tokenize_windows, tokenize_words
+from ..functions.text import area_tags, match_reason, tier_boost, tokenize_windows, tokenize_words
+from ..sources.shared import staged
 from .aggregates import idf
 from .joins import contained_terms, like_recall, recall_join, restrict_to_tiers
-from .windows import decayed_terms, top_k_per_group
+from .stored_index import StoredIndex, pruned_recall, store_index
+from .windows import session_term_counts, top_k_per_group
 
 
 #: The most rows of a narrow table that are broadcast.
@@ -32,9 +34,14 @@ def query_terms(queries: DataFrame, tokens=tokenize_windows) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).where("char_length(term) >= 2").distinct()
 
 
-def recall(queries: DataFrame, index: dict[str, DataFrame], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, bm25): the k documents of each query that share a word, by BM25 rounded to 6 places, ties by id."""
+def recall(queries: DataFrame, index: dict[str, DataFrame] | StoredIndex, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, bm25): the k documents of each query that share a word, by BM25 rounded to 6 places, ties by id.
+
+    An index at a path (:mod:`.stored_index`) is read by term, with the k1 and b it was stored with; one of frames is summed whole.
+    """
     terms = query_terms(queries, tokenize_words)
+    if isinstance(index, StoredIndex):
+        return pruned_recall(terms, index, k)
     stats = index["doc_len"].agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     weighed = terms.join(index["vocab"], "term").crossJoin(F.broadcast(stats)).withColumn("w", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     met = recall_join(weighed, index["postings"]).join(index["doc_len"], "doc_id")
@@ -43,11 +50,17 @@ def recall(queries: DataFrame, index: dict[str, DataFrame], k: int, k1: float =
     return top_k_per_group(scored, ["query_id"], [F.desc("bm25"), "doc_id"], k)
 
 
-def recall_or_fallback(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
+def recall_or_fallback(queries: DataFrame, index: dict[str, DataFrame] | StoredIndex, k: int) -> DataFrame:
     """:func:`recall`; queries without any hit get documents one of whose words holds one of theirs, most terms first."""
-    hits = recall(queries, index, k)
+    hits = staged(recall(queries, index, k), "hits")
     missed = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    loose = like_recall(query_terms(missed, tokenize_words), index["postings"])
+    asked = query_terms(missed, tokenize_words)
+    if isinstance(index, StoredIndex):
+        found = staged(contained_terms(asked.select(F.col("term").alias("q")), index.vocab, both_ways=False), "held")
+        met = asked.withColumnRenamed("term", "q").join(found, "q").join(index.postings(found), "term")
+        loose = met.groupBy("query_id", "doc_id").agg(F.count_distinct("q").alias("hits"))
+    else:
+        loose = like_recall(asked, index["postings"])
     loose = top_k_per_group(loose, ["query_id"], [F.desc("hits"), "doc_id"], k)
     return hits.withColumn("route", F.lit("words")).unionByName(loose.select("query_id", "doc_id", F.col("hits").cast("double").alias("bm25"), F.lit("contains").alias("route")))
 
@@ -59,7 +72,7 @@ def tfidf_score(candidates: DataFrame, queries: DataFrame, docs: DataFrame, idf_
     Only candidates are cut into terms. Containment is found once between query terms and their distinct terms.
     """
     docs = docs.join(candidates.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
-    terms = docs.select(F.col("id").alias("doc_id"), tokenize_windows(F.col(text_col)).alias("terms"))
+    terms = staged(docs.select(F.col("id").alias("doc_id"), tokenize_windows(F.col(text_col)).alias("terms")), "terms")
     spread = candidates.select("query_id", "doc_id").join(terms, "doc_id").select("query_id", "doc_id", F.greatest(F.size("terms"), F.lit(1)).alias("n"), F.explode_outer("terms").alias("term"))
     asked = query_terms(queries).withColumnRenamed("term", "q")
     pairs = contained_terms(asked, terms.select(F.explode("terms").alias("term"))).join(asked, "q")
@@ -69,31 +82,33 @@ def tfidf_score(candidates: DataFrame, queries: DataFrame, docs: DataFrame, idf_
     return weight.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("raw"), F.array_sort(F.collect_set("q")).alias("matched_terms"))
 
 
-def match(queries: DataFrame, docs: DataFrame, limit: int, universities: DataFrame | None = None, tiers: list[str] | None = None, columns=("name", "research_areas", "university"), recall_k: int | None = None) -> DataFrame:
+def match(queries: DataFrame, docs: DataFrame, limit: int, universities: DataFrame | None = None, tiers: list[str] | None = None, columns=("name", "research_areas", "university"), recall_k: int | None = None, index: StoredIndex | None = None, idf_table: DataFrame | None = None) -> DataFrame:
     """Best documents of each query: BM25 recall of min(3 * limit, 150), TF-IDF by contained terms, boosts for tier and
-    recruiting, capped at 1; by score, then raw score, then id."""
+    recruiting, capped at 1; by score, then raw score, then id.
+
+    ``index`` and ``idf_table`` are those of the documents asked, as stored before; without them both are made and stored
+    first. With tiers an index must be that of the tiers' documents.
+    """
     pool = docs if universities is None or tiers is None else restrict_to_tiers(docs, universities, tiers)
-    index = build_index(pool, list(columns))
-    found = recall_or_fallback(queries, index, recall_k or min(3 * limit, 150))
-    tokens = docs.select(tokenize_windows(F.col("research_areas")).alias("terms"))
-    scored = tfidf_score(found, queries, pool, idf(tokens)).join(pool.withColumnRenamed("id", "doc_id"), "doc_id")
+    found = staged(recall_or_fallback(queries, index or store_index(pool, list(columns)), recall_k or min(3 * limit, 150)), "found")
+    known = idf_table if idf_table is not None else staged(idf(docs.select(tokenize_windows(F.col("research_areas")).alias("terms"))), "idf")
+    shown = staged(pool.join(few(found.select(F.col("doc_id").alias("id")).distinct()), "id", "left_semi"), "shown")
+    scored = tfidf_score(found, queries, shown, known).join(shown.withColumnRenamed("id", "doc_id"), "doc_id")
     full = F.col("raw") * tier_boost(F.col("university")) * F.when(F.col("recruiting"), 1.1).otherwise(1.0)
     out = scored.withColumn("raw_score", F.round(full, 6)).withColumn("score", F.least(F.lit(1.0), "raw_score"))
     return top_k_per_group(out, ["query_id"], [F.desc("score"), F.desc("raw_score"), "doc_id"], limit)
 
 
-def session_rerank(results: DataFrame, events: DataFrame, docs: DataFrame, alpha: float = 0.7, beta: float = 0.3, decay: float = 0.8) -> DataFrame:
+def session_rerank(results: DataFrame, vector: DataFrame, docs: DataFrame, counts: DataFrame | None = None, alpha: float = 0.7, beta: float = 0.3) -> DataFrame:
     """Blends each score with the cosine between the session's decayed terms and the document's term counts.
 
-    ``results`` is (session_id, doc_id, score), ``events`` (session_id, ts, event_id, areas), ``docs`` (doc_id, research_areas), each
-    document once; only those in results are cut, each once. A session without terms changes nothing; a result with blank
-    areas keeps its score as it is.
+    ``results`` is (session_id, doc_id, score), ``vector`` (session_id, term, weight) as :func:`~.windows.decayed_terms` makes it, ``docs``
+    (doc_id, research_areas), each document once; only those in results are cut, each once, or not at all where ``counts`` has
+    their terms (doc_id, term, n). A session without terms changes nothing; a result with blank areas keeps its score as it is.
     """
-    vector = decayed_terms(events, decay)
+    shown = docs.select("doc_id", "research_areas").join(few(results.select("doc_id").distinct()), "doc_id", "left_semi")
+    terms = session_term_counts(shown, "research_areas") if counts is None else counts
     norms = vector.groupBy("session_id").agg(F.sqrt(F.sum(F.pow("weight", F.lit(2)))).alias("session_norm"))
-    split = F.filter(F.transform(F.split(F.coalesce("research_areas", F.lit("")), SESSION_SEPARATORS), lambda t: F.lower(F.trim(t))), lambda t: F.char_length(t) >= 2)
-    shown = docs.select("doc_id", "research_areas").join(results.select("doc_id").distinct(), "doc_id", "left_semi")
-    terms = shown.select("doc_id", F.explode(split).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     lengths = terms.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("doc_norm"))
     met = results.select("session_id", "doc_id").join(terms, "doc_id").join(vector, ["session_id", "term"])
     dots = met.groupBy("session_id", "doc_id").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))

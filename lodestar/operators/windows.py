@@ -31,10 +31,22 @@ def score_floor_topk(df: DataFrame, floor: float, k: int, score: str = "score",
     return top_k_per_query(df.where(F.col(score) > floor), k, score, id_col)
 
 
-def decayed_terms(events: DataFrame, decay: float = 0.8, key: str = "session_id", order=("ts", "event_id")) -> DataFrame:
-    """(session, term, weight): the i-th newest event weighs decay**i, summed per term; blank areas count as events."""
+def session_term_counts(docs: DataFrame, text_col: str = "areas", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, term, n): how often each document has each session term, of two characters or more. Dealt by document, so its terms stay in one task."""
+    terms = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), SESSION_SEPARATORS), lambda t: F.lower(F.trim(t))), lambda t: F.char_length(t) >= 2)
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).repartition("doc_id").select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+def decayed_terms(events: DataFrame, decay: float = 0.8, key: str = "session_id", order=("ts", "event_id"), counts: DataFrame | None = None) -> DataFrame:
+    """(session, term, weight): the i-th newest event weighs decay**i, summed per term; blank areas count as events.
+
+    Events bring their text as ``areas``; or, with ``counts`` (:func:`session_term_counts`), the doc_id of a text that is cut only once.
+    """
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     aged = events.withColumn("age", F.row_number().over(w) - 1)
+    if counts is not None:
+        shares = aged.groupBy(key, "doc_id").agg(F.sum(F.pow(F.lit(decay), "age")).alias("share"))
+        return shares.join(counts, "doc_id").groupBy(key, "term").agg(F.sum(F.col("share") * F.col("n")).alias("weight"))
     terms = F.filter(F.transform(F.split(F.coalesce("areas", F.lit("")), SESSION_SEPARATORS), lambda t: F.lower(F.trim(t))), lambda t: F.char_length(t) >= 2)
     spread = aged.select(key, "age", F.explode(terms).alias("term"))
     return spread.groupBy(key, "term").agg(F.sum(F.pow(F.lit(decay), "age")).alias("weight"))

@@ -29,19 +29,14 @@ def checked_names(spark, sf_dir):
     return view(spark, sf_dir, "han_names").select("id", false(P.is_bad_name(name, roots=("返回",))).alias("bad"), false(P.is_han_name(name)).alias("han"), P.valid_person(name, university, roots=("返回",)).alias("valid"), P.clean_people_strict(name, university).alias("strict"), X.clean_name(name).alias("cleaned"), X.char_count_han(name).alias("n_han"))
 
 
-_DATES = r"regexp_extract_all(text, '(?:202[3-9]|20[34][0-9])[年/-](?:1[0-2]|0?[1-9])[月/-](?:3[01]|[12][0-9]|0?[1-9])日?|(?:202[3-9]|20[34][0-9])\.(?:1[0-2]|0?[1-9])\.(?:3[01]|[12][0-9]|0?[1-9])')"
-_AREAS = ", ".join(f"nullif(regexp_extract(text, '{label}\\s*(.{{{low},{high}}}?)(?:[{ends}]|$)', 1), '')" for label, low, high, ends in X.AREA_LABELS)
-_QUOTA = r"(?:拟招收|计划招收|招收|接收|接受)[^，。\n]{0,15}?([0-9０-９]+)\s*[人名]|([0-9]+)\s*(?:个)?(?:招生)?名额"
-_RANK = r"排名?前\s*([0-9]+)[%％]|成绩[^，。\n]{0,10}前([0-9]+)[%％]?"
-
-
-def _number(pattern: str) -> str:
-    return f"CAST(nullif(translate(regexp_extract(text, '{pattern}', 1) || regexp_extract(text, '{pattern}', 2), '０１２３４５６７８９', '0123456789'), '') AS INTEGER)"
-
-
-@query(rf"""WITH {cte("notes")} SELECT id, coalesce(nullif(regexp_extract(text, '({"|".join(X.TITLES)})', 1), ''), nullif(regexp_extract(text, '({"|".join(X.LOOSE_TITLES)})', 1), '')) AS title, left(trim(coalesce({_AREAS})), 400) AS areas,
-{_DATES}[-1] AS deadline, len({_DATES}) AS n_dates, CAST({_number(_QUOTA)} AS DOUBLE) AS quota, CAST(nullif(regexp_extract(text, '(?i)GPA\s*[≥>≧=]{{1,2}}\s*([0-9]+\.?[0-9]*)', 1), '') AS DOUBLE) AS gpa, CAST({_number(_RANK)} AS DOUBLE) AS rank,
-regexp_matches(text, '(?i){X.RECRUITING}') AS recruiting, regexp_matches(text, '{"|".join(P.FACULTY_WORDS)}|{P.FACULTY_PAGES}') AS faculty, regexp_matches(text, '(?i)夏令营|推免|招生|admission|summer') AS notice FROM notes""")
+# Expected fields of each kind of note, stated from how the view makes it, not by rules over its text.
+@query("""WITH o AS (SELECT o_orderkey AS id, CAST(o_orderkey % 9 AS INTEGER) AS kind, o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders),
+d AS (SELECT *, kind = 3 AND TRY_CAST('2025-' || k % 14 || '-' || k % 34 AS DATE) IS NOT NULL AS dated FROM o)
+SELECT id, CASE kind WHEN 0 THEN '正教授' WHEN 1 THEN 'Associate Professor' WHEN 4 THEN '研究员' WHEN 6 THEN 'Lecturer' END AS title,
+CASE kind WHEN 0 THEN lower(p) || ' systems and data' WHEN 1 THEN 'large scale ' || p || ' learning' WHEN 4 THEN s || ' 长期从事机器学习与数据挖掘方面的研究工作' WHEN 7 THEN 'short ' || p END AS areas,
+CASE WHEN kind = 3 THEN '2026/1/2' END AS deadline, CASE WHEN dated THEN 2 WHEN kind = 3 THEN 1 ELSE 0 END AS n_dates,
+CAST(CASE kind WHEN 2 THEN k % 90 WHEN 5 THEN k % 7 WHEN 7 THEN 25 END AS DOUBLE) AS quota, CAST(CASE WHEN kind = 2 THEN '3.' || k % 10 END AS DOUBLE) AS gpa, CAST(CASE kind WHEN 2 THEN k % 50 WHEN 5 THEN k % 30 END AS DOUBLE) AS rank,
+kind IN (4, 5, 6) AS recruiting, kind IN (0, 6) AS faculty, kind = 5 AS notice FROM d""")
 def note_fields(spark, sf_dir):
     t = F.col("text")
     return view(spark, sf_dir, "notes").select("id", X.extract_title(t).alias("title"), X.extract_areas(t).alias("areas"), X.deadline(t).alias("deadline"), F.size(X.extract_dates(t)).alias("n_dates"), X.extract_quota(t).cast("double").alias("quota"), X.extract_gpa(t).alias("gpa"), X.extract_rank(t).cast("double").alias("rank"), X.is_recruiting(t).alias("recruiting"), P.likely_faculty(t).alias("faculty"), P.notice_relevant(t).alias("notice"))

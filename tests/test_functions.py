@@ -88,6 +88,43 @@ def test_dates_quota_gpa(spark):
     assert (one(spark, X.extract_quota(F.col("t")), t=t), one(spark, X.extract_gpa(F.col("t")), t=t), one(spark, X.extract_rank(F.col("t")), t=t)) == (12, 3.5, 20)
 
 
+def test_note_rules_at_their_edges(spark):
+    rows = [
+        ("2025-02-30 2025/2/28 2022-12-31 2049.12.31 2050-01-01 2025年13月1日 2026年6月", ["2025/2/28", "2049.12.31"], None, None, None),
+        ("招收若干名；计划接收 ３０ 人", [], 30, None, None),
+        ("招收对象：本科三年级以上的优秀学生若干共计 12 名", [], None, None, None),
+        ("共有 8 个招生名额", [], 8, None, None),
+        ("招收 99999999999 人", [], None, None, None),
+        ("要求 gpa>=3.2 以上", [], None, 3.2, None),
+        ("GPA 3.2", [], None, None, None),
+        ("GPA 优秀，GPA ＝3.1，GPA≥4", [], None, 4.0, None),
+        ("成绩在前 15 名，排前３０％", [], None, None, 15),
+        ("排名前 20，专业前 10%", [], None, None, None),
+        ("排前25%", [], None, None, 25),
+        (None, [], None, None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
+    t = F.col("t")
+    found = df.select(X.extract_dates(t).alias("d"), X.extract_quota(t).alias("q"), X.extract_gpa(t).alias("g"), X.extract_rank(t).alias("r")).orderBy("i").collect()
+    assert [tuple(r) for r in found] == [r[1:] for r in rows]
+
+
+def test_areas_between_label_and_end_mark(spark):
+    rows = [
+        ("研究方向：短。但是后面还有。尾", "短。但是后面还有"),
+        ("研究方向：短", None),
+        ("研究方向 没有冒号的一段文字", None),
+        ("研究兴趣：机器学习与\n数据挖掘", None),
+        ("研究方向：" + "长" * 301 + "。研究领域：足够长的另一段文字。", "足够长的另一段文字"),
+        ("research   INTERESTS large models and data; other", "large models and data"),
+        ("主要研究方向为图像与视觉和语言。", "为图像与视觉和语言"),
+        ("个人简介 长期从事机器学习与数据挖掘研究；成果多。", "长期从事机器学习与数据挖掘研究；成果多"),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(X.extract_areas(F.col("t"))).collect()] == [r[1] for r in rows]
+
+
 def test_like_pattern_takes_wildcards_literally(spark):
     assert one(spark, P.has("t", "50%_\\"), t="a 50%_\\ b") and not one(spark, P.has("t", "5%b"), t="5xb") and one(spark, P.has("t", "AbC"), t="xabcx")
 

@@ -11,6 +11,7 @@ from lodestar.operators import joins as J
 from lodestar.operators import mutations as M
 from lodestar.operators import retrieval as R
 from lodestar.operators import windows as W
+from lodestar.operators.windows import decayed_terms
 
 
 @pytest.fixture(scope="module")
@@ -142,7 +143,7 @@ def test_session_rerank_corners(spark):
     results = spark.createDataFrame([("s", 1, 0.5), ("s", 2, 0.9), ("none", 1, 0.4), ("s", 3, 0.2)], "session_id string, doc_id int, score double")
     docs = spark.createDataFrame([(1, "ml, cv"), (2, " "), (3, "x、y"), (4, "not shown")], "doc_id int, research_areas string")
     events = spark.createDataFrame([("s", 1, 1, "ml"), ("s", 2, 2, None), ("blank", 1, 3, "")], "session_id string, ts int, event_id int, areas string")
-    got = {(r["session_id"], r["doc_id"]): round(r["hybrid"], 6) for r in R.session_rerank(results, events, docs).collect()}
+    got = {(r["session_id"], r["doc_id"]): round(r["hybrid"], 6) for r in R.session_rerank(results, decayed_terms(events), docs).collect()}
     assert got == {("s", 1): round(0.35 + 0.3 / 2**0.5, 6), ("s", 2): 0.9, ("none", 1): 0.4, ("s", 3): 0.14}
 
 
