@@ -68,7 +68,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), sites=10).select("doc_id", "n_lines", "n_removed", "text")
+    return remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ LINES = r"""
 WITH l AS (
     SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), k AS (SELECT *, trim(line, E' \t\r') AS key FROM l
-), b AS (SELECT key, min({'doc_id': doc_id, 'pos': pos}) AS first FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(source, 'null')) >= 10
+), b AS (SELECT key, min({'doc_id': doc_id, 'pos': pos}) AS first FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(source, 'null')) >= 3
 ), m AS (SELECT k.*, b.key IS NOT NULL AND {'doc_id': k.doc_id, 'pos': k.pos} <> b.first AS gone FROM k LEFT JOIN b ON k.key = b.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id
 """
