@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
+from ..sources.shared import few, fits, staged
 
 
 def people_with_university(people: DataFrame, universities: DataFrame) -> DataFrame:
@@ -44,25 +45,53 @@ def recall_join(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
     return query_terms.join(postings, "term")
 
 
+#: A block of more terms than this is cut into parts, each met by a copy of the terms that look there.
+HOT = 10_000
+
+
 def contained_terms(queries: DataFrame, vocabulary: DataFrame, both_ways: bool = True) -> DataFrame:
     """Pairs (q, term) of distinct query terms and vocabulary terms where one holds the other.
 
-    If a holds b and b has two characters or more, b's first two characters are a 2-gram of a. So the longer side is
-    spread by its 2-grams and meets the first 2-gram of the shorter, an equi join; no pair of all terms is formed.
-    Terms of one character only meet terms that are the same. ``both_ways=False`` finds only terms that hold q.
+    A term meets longer ones under its rarest 3-gram (a term of two characters: under itself), which they all hold, so blocks
+    are those of rare grams; no pair of all terms is formed. Terms of one character only meet terms that are the same, but
+    query terms that hold them. ``both_ways=False`` finds only terms that hold q.
     """
-    q = queries.select("q").where("q is not null").distinct()
-    v = vocabulary.select("term").where("term is not null").distinct()
-    pieces = lambda c: F.when(F.char_length(c) == 1, F.array(c)).otherwise(ngrams(F.col(c), 2))
-    grams = lambda c: F.explode(F.array_distinct(pieces(c)))
-    held = q.withColumn("block", F.left("q", F.lit(2))).join(v.select("term", grams("term").alias("block")), "block").where("contains(term, q)").select("q", "term")
+    q = staged(queries.select("q").where("q is not null").distinct(), "asked")
+    v = staged(vocabulary.select("term").where("term is not null").distinct(), "terms")
+    held = q.where("char_length(q) = 1").join(v.withColumn("q", F.col("term")), "q").select("q", "term")
+    held = held.union(_inside(q.toDF("inner"), v.toDF("outer")).select(F.col("inner").alias("q"), F.col("outer").alias("term")))
     if both_ways:
-        holds = v.withColumn("block", F.left("term", F.lit(2))).join(q.select("q", grams("q").alias("block")), "block").where("contains(q, term)").select("q", "term")
+        holds = _inside(v.toDF("inner"), q.toDF("outer")).select(F.col("outer").alias("q"), F.col("inner").alias("term"))
         single = v.where("char_length(term) = 1").select("term", F.col("term").alias("char")).join(q.select("q", F.explode(F.array_distinct(F.split("q", ""))).alias("char")), "char").select("q", "term")
         held = held.union(holds).union(single)
     return held.distinct()
 
 
+def _inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): pairs of distinct terms, the inner one of two characters or more, that the outer one holds."""
+    inner = inner.where("char_length(inner) >= 2")
+    least, most = inner.agg(F.min(F.char_length("inner")), F.count("*")).first()
+    longest = outer.agg(F.max(F.char_length("outer"))).first()[0]
+    if not most or not longest or longest < least:
+        return inner.crossJoin(outer.limit(0))
+    inner, outer = inner.where(F.char_length("inner") <= longest), outer.where(F.char_length("outer") >= least)
+    own = F.array_distinct(F.when(F.char_length("inner") == 2, F.array("inner")).otherwise(ngrams(F.col("inner"), 3)))
+    theirs = ngrams(F.col("outer"), 3) if least > 2 else F.concat(ngrams(F.col("outer"), 2), ngrams(F.col("outer"), 3))
+    spread = outer.select("outer", F.explode(F.array_distinct(theirs)).alias("gram"))
+    asked = inner.select("inner", F.size(own).alias("n"), F.explode(own).alias("gram"))
+    sought = few(asked.select("gram").distinct())
+    counts = spread.select("gram").join(sought, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("met"))
+    best = asked.join(few(staged(counts, "grams")), "gram").groupBy("inner", "n").agg(F.count("*").alias("found"), F.min(F.struct("met", "gram")).alias("best"))
+    # A term with a gram that no longer one has is in none.
+    picks = staged(best.where("found = n").select("inner", "best.gram", F.ceil(F.col("best.met") / HOT).cast("int").alias("parts")), "picks")
+    if fits(picks, "inner"):
+        return spread.join(F.broadcast(picks), "gram").where("contains(outer, inner)").select("inner", "outer")
+    hot = F.broadcast(picks.where("parts > 1").select("gram", "parts").distinct())  # at most 1 / HOT of all grams spread
+    dealt = spread.join(hot, "gram", "left").withColumn("part", F.expr("pmod(hash(outer), coalesce(parts, 1))")).drop("parts")
+    copied = picks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(copied, ["gram", "part"]).where("contains(outer, inner)").select("inner", "outer")
+
+
 def longest_terms(terms: DataFrame, least: int = 3) -> DataFrame:
     """(id, term): the distinct terms of each id, of at least so many characters, that no longer term of the id holds.
 

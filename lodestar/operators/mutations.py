@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
 from .windows import keep_first
 
 
@@ -13,19 +14,65 @@ def _stamped(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return old.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)), allowMissingColumns=True)
 
 
-def upsert_people(existing: DataFrame, incoming: DataFrame, last=("title", "areas", "email"), coalesced=("lab_name",)) -> DataFrame:
+def upsert_people(existing: DataFrame, incoming: DataFrame, last=("title", "areas", "email"), coalesced=("lab_name",), exact: bool = False) -> DataFrame:
     """Rows of a (name, university) that is there already are skipped; rows that share a profile_url become one.
 
     Of these the first keeps name and university, the columns of ``last`` come from the last, those of ``coalesced`` from the
-    last that isn't null. Set-based: the first row of each person, then one row per url.
+    last that isn't null. Set-based: the first row of each person, then one row per url. That differs from taking row after row
+    only if a person whose first row went to another's url appears again; with ``exact`` it doesn't (:func:`stored_first`),
+    and rows without a name, a university or a url are never the same as others.
     """
-    rows = keep_first(_stamped(existing, incoming), ["name", "university"], ["__new", "seq"])
+    rows = _stamped(existing, incoming)
     order = F.struct("__new", "seq")
+    url = ["profile_url"]
+    if exact:
+        nameless, unlinked = F.col("name").isNull() | F.col("university").isNull(), F.col("profile_url").isNull()
+        rows = rows.withColumn("__alone", F.concat(F.lit("row "), F.monotonically_increasing_id())).withColumn("__order", F.struct("__new", "seq", "__alone"))
+        rows = rows.withColumn("__person", F.when(nameless, F.struct(F.col("__alone").alias("a"), F.lit("").alias("b"))).otherwise(F.struct(F.col("name").alias("a"), F.col("university").alias("b"))))
+        rows = staged(rows.withColumn("__url", F.when(unlinked, F.col("__alone")).otherwise(F.concat(F.lit("u"), "profile_url"))), "people")
+        known = stored_first(rows.select("__order", F.col("__person").alias("a"), F.col("__url").alias("b")))
+        rows = rows.join(known.select(F.col("a").alias("__person"), F.col("__order").alias("__stored")), "__person", "left").where("__stored is null or __order <= __stored")
+        order, url = F.col("__order"), ["__url", "profile_url"]
+    else:
+        rows = keep_first(rows, ["name", "university"], ["__new", "seq"])
     have = set(rows.columns)
     agg = [F.min_by("name", order).alias("name"), F.min_by("university", order).alias("university")]
     agg += [F.max_by(c, order).alias(c) for c in last if c in have]
     agg += [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in coalesced if c in have]
-    return rows.groupBy("profile_url").agg(*agg)
+    return rows.groupBy(*url).agg(*agg).drop("__url")
+
+
+#: Rows that are left over are decided in one task when they are no more than this.
+LEFT_OVER = 50_000
+
+
+def stored_first(rows: DataFrame) -> DataFrame:
+    """Of rows (__order, a, b), taken one after another, those that bring both a new a and a new b.
+
+    Each round finds the rows that come first of their a and first of their b: nothing before them can take either, so they
+    are stored, and all others of the same a or b never are. Few rows are left after a round, as a row stays only if what
+    kept it waiting fell out itself; when as many as fit a task are left, that takes them in order. No group of rows is gathered.
+    """
+    spark, left, out = rows.sparkSession, rows, None
+    while True:
+        first_a = left.groupBy("a").agg(F.min(F.struct("__order", "b")).alias("x")).select("a", "x.b", "x.__order")
+        first_b = left.groupBy("b").agg(F.min(F.struct("__order", "a")).alias("x")).select("x.a", "b", "x.__order")
+        found = staged(first_a.join(first_b, ["a", "b", "__order"]), "stored")
+        out = found if out is None else out.union(found)
+        left = staged(left.join(found.select("a"), "a", "left_anti").join(found.select("b"), "b", "left_anti"), "left")
+        n = left.limit(LEFT_OVER + 1).count()
+        if n == 0:
+            return out
+        if n <= LEFT_OVER:
+            schema = left.schema
+            names = [f.name for f in schema]
+            taken, a_seen, b_seen = [], set(), set()
+            for r in sorted(left.collect(), key=lambda r: r["__order"]):
+                if r["a"] not in a_seen and r["b"] not in b_seen:
+                    taken.append(tuple(r[c] for c in names))
+                    a_seen.add(r["a"])
+                    b_seen.add(r["b"])
+            return out.unionByName(spark.createDataFrame(taken, schema))
 
 
 def upsert_notices(existing: DataFrame, incoming: DataFrame, coalesced=("extra_json",)) -> DataFrame:
@@ -88,21 +135,31 @@ def delete_conversations(conversations: DataFrame, turns: DataFrame, ids: DataFr
     return delete_ids(conversations, ids, "conv_id"), delete_ids(turns, ids, "conv_id")
 
 
+#: The most steps of a history that come together in one array.
+STEPS = 1024
+
+_COMPOSED = """aggregate(runs, named_struct('d', 0D, 'lo', double('-Infinity'), 'hi', double('Infinity')), (a, r) -> named_struct(
+    'd', a.d + r.d, 'lo', least(r.hi, greatest(r.lo, a.lo + r.d)), 'hi', least(r.hi, greatest(r.lo, a.hi + r.d))))"""
+
+
 def apply_feedback(feedback: DataFrame, up: float = 0.02, down: float = 0.01, start: float = 0.5) -> DataFrame:
-    """(id, score): from ``start`` up or down with each step in order, kept between 0 and 1 after each.
+    """(id, score): from ``start`` up or down with each step in order of seq, kept between 0 and 1 after each.
 
-    A run of steps is x -> min(hi, max(lo, x + d)), and such runs compose, so each task folds its own stretch of an id's
-    history and the few folded runs are folded again: no id's whole history comes together.
+    A run of steps is x -> min(hi, max(lo, x + d)), and such runs compose. Rows are sorted by id and seq over all tasks and
+    numbered; each STEPS neighbours of an id become one run, and so on with the runs until every id has few. So no id's
+    history comes together, whether its steps are close in seq or far apart.
     """
-    chunk = 1024
-    parts = feedback.withColumn("delta", F.when(F.col("positive"), F.lit(up)).otherwise(F.lit(-down))).withColumn("part", F.floor(F.col("seq") / chunk))
-    one = parts.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
-    fold = """aggregate(steps, named_struct('d', cast(0 as double), 'lo', cast('-Infinity' as double), 'hi', cast('Infinity' as double)),
-        (a, s) -> named_struct('d', a.d + s.delta, 'lo', least(1D, greatest(0D, a.lo + s.delta)), 'hi', least(1D, greatest(0D, a.hi + s.delta))))"""
-    runs = one.select("id", "part", F.expr(fold).alias("run"))
-    whole = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "run"))).alias("runs"))
-    score = F.expr(f"aggregate(runs, {start}D, (x, r) -> least(r.run.hi, greatest(r.run.lo, x + r.run.d)))")
-    return whole.select("id", score.alias("score"))
+    d = F.when(F.col("positive"), F.lit(up)).otherwise(F.lit(-down))
+    runs = feedback.select("id", F.col("seq").alias("at"), d.alias("d"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    whole = F.expr(_COMPOSED)
+    while True:
+        numbered = runs.repartitionByRange("id", "at").sortWithinPartitions("id", "at").withColumn("part", F.floor(F.monotonically_increasing_id() / STEPS))
+        parts = numbered.groupBy("id", "part").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "d", "lo", "hi"))).alias("runs"))
+        runs = staged(parts.select("id", "at", whole.alias("run")).select("id", "at", "run.*"), "runs")
+        if (runs.groupBy("id").count().agg(F.max("count")).first()[0] or 0) <= STEPS:
+            break
+    last = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "d", "lo", "hi"))).alias("runs")).select("id", whole.alias("run"))
+    return last.select("id", F.least("run.hi", F.greatest("run.lo", F.lit(start) + F.col("run.d"))).alias("score"))
 
 
 def rebuild_scores(people: DataFrame) -> DataFrame:

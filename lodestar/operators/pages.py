@@ -7,6 +7,7 @@ a task holds one batch of pages. Rules of language (words, classes) are argument
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -397,6 +398,63 @@ def discover_list_pages(links: DataFrame, words: str = "师资|教师|导师|fac
     return hop1.union(hop2).union(siblings).groupBy("url").agg(F.min("hop").alias("hop"), F.min("page_id").alias("page_id")).withColumn("score", url_score(F.col("url"))).orderBy(F.desc("score"), "hop", "url")
 
 
+# Paths below a site's address where lists of labs and of notices are looked for, in this order, and words that such a page says.
+LAB_PATHS = """/kycg/sysdjs.htm /kycg/index.htm /yjjg/index.htm /yjjg/list.htm /labs/ /research/ /research/groups/ /research-groups/ /kxyj/index.htm /keyanjigou/
+/yjzx/index.htm /lab/ /labs.html /kybm/ /kyjg/ /yjjgml/ /info/1060/list.htm /info/1061/list.htm /info/1062/list.htm /info/1070/list.htm /info/1071/list.htm
+/info/1072/list.htm /jxky/kyjg.htm /jxky/yjjg.htm /syslists/ /platbase/ /platform/ /dept/labs.htm /xkyjy/yjjg.htm /yjjg/yjjgjs.htm /yjjg/yjzx.htm
+/yjjg/gjhzjg.htm /szrygk/yjjg.htm /kxyj/yjjg.htm /kxyj/yjzx.htm""".split()
+NOTICE_PATHS = """/bszn/ /yjszs/ /zsxx/ /tzgg/ /tzgg/index.htm /ggtz/ /graduate/ /yjszs/index.htm /info/3/list.htm /info/4/list.htm /info/5/list.htm /zsb/ /yjsb/ /baoyan/
+/tuimian/ /tzgg/yjs.htm /tzgg/zsxx.htm /yjss/tzgg.htm /zsb/tzgg.htm /yjszs/tzgg.htm /yjszs/zsxx.htm /ggxx/ /tztg/ /xyzx/ /xytz/ /notice/ /news/grad/ /grad/news/
+/portal/siteapp78/index.html /content/channel/2/ /content/channel/3/""".split()
+LAB_WORDS = ["课题组", "研究组", "实验室", "研究中心", "联合实验室", "Laboratory", "Lab", "Research Group", "Research Lab"]
+NOTICE_WORDS = """预推免 夏令营 推免通知 保研通知 招生通知 招生简章 接收推荐免试 研究生招生公告 学术夏令营 报名须知 招生公告 导师招生计划 接收调剂 拟接收 推免报名
+意向导师 招收名额 拟招收 开放课题 接受简历 招生计划表 招生计划汇总 招生 保研 推免""".split()
+
+
+def _says(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of some words; after an English one of at most three letters a word must end."""
+    forms = [w.replace(" ", r"\s+") + (r"\b" if w.isascii() and len(w) <= 3 else "") for w in words]
+    return F.coalesce(text.rlike("|".join(forms)), F.lit(False))
+
+
+@dataclass(frozen=True)
+class PathRule:
+    """Where pages of a kind are looked for, what their title or first characters must say, how many pages are enough, and how many addresses are given."""
+
+    paths: list[str]
+    words: list[str]
+    head: int
+    enough: int
+    most: int
+    follow: bool = False
+
+
+PATH_RULES = {"lab": PathRule(LAB_PATHS, LAB_WORDS, 300, 20, 30, True), "notice": PathRule(NOTICE_PATHS, NOTICE_WORDS, 400, 5, 5)}
+
+
+def discover_by_paths(pages: DataFrame, bases: DataFrame, kind: str, links: DataFrame | None = None, rules: dict[str, PathRule] = PATH_RULES) -> DataFrame:
+    """(base, n, url): list pages of labs or notices of each base address, in order.
+
+    ``pages`` is (page_id, url, title, text) as fetched, one row an address. Those at a base's known paths count if their title or
+    first characters have a word of the kind; labs also give the links on these pages, from ``links``, that have such a word and lead to the
+    same site. After the page that makes them enough no further path is looked at. Few paths per base: they are spread and meet pages by address.
+    """
+    rule = rules[kind]
+    probed = bases.select("base").distinct().select("base", F.posexplode(F.array(*map(F.lit, rule.paths))).alias("path", "way"))
+    probed = probed.select("base", "path", F.concat("base", "way").alias("url"))
+    said = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.left(F.coalesce("text", F.lit("")), F.lit(rule.head)))
+    hits = pages.join(probed, "url").where(_says(said, rule.words)).select("base", "path", F.lit(-1).alias("at"), "url", "page_id")
+    found = hits.drop("page_id")
+    if rule.follow and links is not None:
+        on = links.where(~P.skip_href(F.col("url"))).select("page_id", "at", F.col("url").alias("to"), "text").join(hits.select("page_id", "base", "path"), "page_id")
+        near = on.where(_says(F.concat_ws(" ", "text", "to"), rule.words) & P.same_site(F.col("to"), F.col("base")))
+        found = found.union(near.select("base", "path", "at", F.col("to").alias("url")))
+    first = found.groupBy("base", "url").agg(F.min(F.struct("path", "at")).alias("x")).select("base", "url", "x.path", "x.at")
+    per = Window.partitionBy("base")
+    counted = first.withColumn("before", F.count("*").over(per.orderBy("path").rangeBetween(Window.unboundedPreceding, -1))).where(F.col("before") < rule.enough)
+    return counted.withColumn("n", F.row_number().over(per.orderBy("path", "at", "url"))).where(F.col("n") <= rule.most).select("base", "n", "url")
+
+
 def resolve_url(base: Column, href: Column) -> Column:
     """An address by RFC 3986 for absolute, //, /, ?, # and plain relative references; those with dot segments are left to :func:`parse`."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)

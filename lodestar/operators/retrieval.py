@@ -6,22 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import area_tags, match_reason, tier_boost, tokenize_windows, tokenize_words
-from ..sources.shared import staged
+from ..sources.shared import few, staged
 from .aggregates import idf
 from .joins import contained_terms, like_recall, recall_join, restrict_to_tiers
 from .stored_index import StoredIndex, pruned_recall, store_index
 from .windows import session_term_counts, top_k_per_group
 
 
-#: The most rows of a narrow table that are broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """To broadcast if it is counted to have at most so many rows; else a join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def build_index(docs: DataFrame, columns: list[str], id_col: str = "id") -> dict[str, DataFrame]:
     """postings (doc_id, term, tf), doc_len (doc_id, dl) over the words of some columns, and vocab (term, df)."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.flatten(F.array(*[tokenize_words(F.col(c)) for c in columns])).alias("words"))

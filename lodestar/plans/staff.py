@@ -115,3 +115,30 @@ def college_links(spark, sf_dir):
 @query(f"""WITH {_SQL} SELECT host || '/szdw/js.htm' AS url, 1 AS hop FROM s UNION ALL SELECT host || '/szdw/fjs.htm', 3 FROM s""")
 def list_pages(spark, sf_dir):
     return E.discover_list_pages(E.extract_links(_facts(spark, sf_dir, _HOME, "/"))).select("url", "hop")
+
+
+# Pages at the known paths of 40 sites, one a part: whether title or text say what they are, and where, goes by p_partkey.
+_SITED = """SELECT p_partkey AS id, concat('http://s', CAST(p_partkey % 40 AS VARCHAR(9)), '.x.edu') AS base, CAST(p_partkey / 40 AS BIGINT) % 70 AS path,
+    CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, ' 实验室 通知公告 招生') ELSE p_brand END AS title,
+    concat(CASE p_partkey % 3 WHEN 1 THEN rpad('.', 350, '.') ELSE rpad('.', 450, '.') END, ' 联合实验室 推免报名') AS text FROM {part} WHERE p_size < 26"""
+_DIV = _SITED.replace("CAST(p_partkey / 40 AS BIGINT)", "(p_partkey - p_partkey % 40) / 40")
+
+
+def _by_path(kind: str) -> str:
+    rule = E.PATH_RULES[kind]
+    way = ", ".join(f"('{w}', {i})" for i, w in enumerate(rule.paths))
+    says = "id % 3 = 0" + (" OR id % 3 = 1" if rule.head >= 400 else "")
+    return f"""SELECT '{kind}' AS kind, base, row_number() OVER (PARTITION BY base ORDER BY path) AS n, base || way AS url FROM (SELECT DISTINCT base, CAST(path AS INTEGER) AS path FROM p WHERE {says}) JOIN (VALUES {way}) w(way, i) ON i = path
+QUALIFY n <= {rule.enough}"""
+
+
+@query(f"""WITH p AS ({_DIV.format(part="part")}) {_by_path("lab")} UNION ALL {_by_path("notice")}""")
+def pages_by_paths(spark, sf_dir):
+    sited = spark.sql(_DIV, part=table(spark, sf_dir, "part")).withColumn("path", F.col("path").cast("int"))
+    out = None
+    for kind, rule in E.PATH_RULES.items():
+        ways = F.array(*map(F.lit, rule.paths))
+        pages = sited.where(F.col("path") < len(rule.paths)).select(F.col("id").alias("page_id"), F.concat("base", F.element_at(ways, F.col("path") + 1)).alias("url"), "title", "text")
+        found = E.discover_by_paths(pages, sited.select("base"), kind).select(F.lit(kind).alias("kind"), "base", F.col("n").cast("long").alias("n"), "url")
+        out = found if out is None else out.union(found)
+    return out

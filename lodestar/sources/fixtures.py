@@ -24,7 +24,7 @@ VIEWS = {
         d.text AS research_areas, coalesce(l.quality, 0) = 1 AS recruiting FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
     "session_events": """SELECT user_id AS session_id, event_id, ts, event_id % (SELECT count(*) FROM {documents}) AS doc_id
         FROM {events} WHERE event_type IN ('click', 'view')""",
-    "crawl_events": """SELECT event_id, ts, n_name AS university, value,
+    "crawl_events": """SELECT event_id, ts, n_name AS university, value, concat('why ', props) AS message,
         CASE event_type WHEN 'view' THEN 'scrape-start' WHEN 'click' THEN 'scrape-progress' WHEN 'purchase' THEN 'scrape-done'
         WHEN 'error' THEN 'scrape-error' ELSE 'heartbeat' END AS type FROM {events} JOIN {nation} ON n_nationkey = user_id % 25""",
     "url_checks": """SELECT event_id AS id, user_id % 25 AS univ_id, event_type <> 'error' AS ok,

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The most rows of a narrow table, and the most bytes of its texts, that are ever broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +41,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = session_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fits(df: DataFrame, *texts: str) -> bool:
+    """Whether a table has few enough rows, and few enough bytes in the columns named, to be broadcast."""
+    found = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), *[F.sum(F.octet_length(c)) for c in texts]).first()
+    return found[0] <= BROADCAST_ROWS and sum(x or 0 for x in found[1:]) <= BROADCAST_BYTES
+
+
+def few(df: DataFrame, *texts: str) -> DataFrame:
+    """To broadcast if the table is counted to fit; else a join shuffles. Texts of unbounded length are to be named."""
+    return F.broadcast(df) if fits(df, *texts) else df

@@ -84,10 +84,17 @@ def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, delay:
 
 
 def crawl_progress(events: DataFrame) -> DataFrame:
-    """Per university: largest count so far, last event, whether it is active, seconds since the start. Batch, or streaming in update mode."""
-    last = F.max_by("type", F.struct("ts", "event_id"))
-    per = events.where("type <> 'heartbeat'").groupBy("university").agg(F.max("value").alias("most"), last.alias("last_type"), F.min(F.when(F.col("type") == "scrape-start", F.col("ts"))).alias("started"), F.max("ts").alias("latest"))
-    return per.select("university", "most", "last_type", F.col("last_type").isin("scrape-start", "scrape-progress").alias("active"), (F.unix_timestamp("latest") - F.unix_timestamp("started")).alias("elapsed"))
+    """Per university: largest count so far, last event, whether the crawl is active or done, its seconds so far or, once it has ended, in all,
+    and why it failed if the last event is an error. ``events`` is (university, ts, event_id, type, value, message). Batch, or streaming in update mode."""
+    order = F.struct("ts", "event_id")
+    last = F.max_by("type", order)
+    started = F.min(F.when(F.col("type") == "scrape-start", F.col("ts")))
+    per = events.where("type <> 'heartbeat'").groupBy("university").agg(F.max("value").alias("most"), last.alias("last_type"), started.alias("started"), F.max("ts").alias("latest"), F.max_by("message", order).alias("message"))
+    elapsed, active = F.unix_timestamp("latest") - F.unix_timestamp("started"), F.col("last_type").isin("scrape-start", "scrape-progress")
+    return per.select(
+        "university", "most", "last_type", active.alias("active"), (F.col("last_type") == "scrape-done").alias("done"), elapsed.alias("elapsed"),
+        F.when(~active, elapsed.cast("double")).alias("duration"), F.when(F.col("last_type") == "scrape-error", F.col("message")).alias("reason"),
+    )
 
 
 def dedupe_jobs(stream: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000) -> DataFrame:

@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_words
-from ..operators.retrieval import few
 from ..operators.windows import keep_first
-from ..sources.shared import staged
+from ..sources.shared import few, staged
 from ..sources.snapshots import Part, Snapshots
 
 TABLES = ("docs", "postings", "vocab")

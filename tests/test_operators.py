@@ -46,6 +46,25 @@ def test_containment_equals_all_pairs(spark):
     assert {tuple(r) for r in J.contained_terms(q, v, both_ways=False).collect() if len(r[0]) > 1} == {(a, b) for a in qs for b in vs if a in b and len(a) > 1}
 
 
+def test_containment_in_hot_blocks_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 5)
+    monkeypatch.setattr(J, "fits", lambda *a: False)
+    rng = random.Random(4)
+    qs, vs = ({"".join(rng.choices("ab", k=rng.randint(2, 9))) for _ in range(80)} for _ in range(2))
+    q, v = spark.createDataFrame([(x,) for x in qs], "q string"), spark.createDataFrame([(x,) for x in vs], "term string")
+    assert {tuple(r) for r in J.contained_terms(q, v).collect()} == {(a, b) for a in qs for b in vs if a in b or b in a}
+
+
+def test_a_term_meets_few_longer_ones(spark):
+    """All hold a frequent gram; each term looks among those of its rarest one."""
+    outer = spark.createDataFrame([(f"common{i:04d}",) for i in range(2000)], "outer string")
+    inner = spark.createDataFrame([(f"mon{i:04d}",) for i in range(0, 2000, 7)] + [("zzz",), ("onz",)], "inner string")
+    got = J._inside(inner, outer)
+    assert got.count() == inner.count() - 2
+    joined = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joined and all("Contains" in x or "contains" in x.lower() for x in joined)
+
+
 def test_link_lookup_and_backfill(spark):
     d = spark.createDataFrame([(1, "北京大学", "t1"), (2, "北京大学医学部", "t2")], "position int, name string, tier string")
     got = {r["name"]: (r["linked"], r["tier"]) for r in J.link_name(spark.createDataFrame([("北京大学医学部",), ("北京",), ("x",), (None,)], "name string"), d).collect()}
@@ -178,3 +197,43 @@ def test_universities_by_name_note_or_department(spark):
     u = spark.createDataFrame([("甲大学", ""), ("乙大学", "医"), ("丙大学", None)], "name string, note string")
     d = spark.createDataFrame([("丙大学", "医学院"), ("丙大学", "医院"), ("甲大学", None)], "univ_name string, dept_name string")
     assert sorted(r["name"] for r in W.search_universities(u, d, "医").collect()) == ["丙大学", "乙大学"]
+
+
+def row_by_row(rows):
+    people, urls = set(), {}
+    for name, university, url, title, lab, _ in rows:
+        if (name, university) in people and name is not None:
+            continue
+        if url is not None and url in urls:
+            urls[url]["title"], urls[url]["lab"] = title, lab if lab is not None else urls[url]["lab"]
+            continue
+        people.add((name, university))
+        urls[url if url is not None else object()] = {"name": name, "university": university, "title": title, "lab": lab}
+    return sorted((v["name"] or "", v["university"], v["title"], v["lab"] or "") for v in urls.values())
+
+
+@pytest.mark.parametrize("left_over", [0, 3, 50_000])
+def test_exact_upsert_equals_row_by_row(spark, monkeypatch, left_over):
+    monkeypatch.setattr(M, "LEFT_OVER", left_over)
+    rng = random.Random(left_over)
+    schema = "name string, university string, profile_url string, title string, lab_name string, seq long"
+    rows = [(rng.choice([*"abcdefghij", None]), rng.choice("UV"), rng.choice([*map(str, range(12)), None, "0", "0"]), f"t{i}", rng.choice([None, f"l{i}"]), i) for i in range(150)]
+    old = [("a", "U", "0", "t", None), ("z", "V", "99", "t", "l")]
+    reappears = [("y", "U", "0", "n1", None, 200), ("y", "U", "77", "n2", "k", 201), ("y", "U", "78", "n3", None, 202)]  # absorbed first, then stored, then known
+    chain = [(f"c{i // 2}", "U", f"u{(i + 1) // 2}", "t", None, 300 + i) for i in range(14)]  # each row waits for the one before it
+    new = rows + reappears + chain
+    got = M.upsert_people(spark.createDataFrame(old, schema.rsplit(",", 1)[0]), spark.createDataFrame(new, schema).repartition(3), last=("title",), exact=True)
+    assert sorted((r["name"] or "", r["university"], r["title"], r["lab_name"] or "") for r in got.collect()) == row_by_row([(*o, -1) for o in old] + new)
+
+
+def test_feedback_of_ids_with_far_apart_steps(spark, monkeypatch):
+    monkeypatch.setattr(M, "STEPS", 4)
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i * 1024, rng.random() < 0.4) for i in range(900)]
+    want = {}
+    for i, _, up in rows:
+        want[i] = min(1.0, max(0.0, want.get(i, 0.5) + (0.02 if up else -0.01)))
+    df = spark.createDataFrame(rows, "id int, seq long, positive boolean").repartition(5)
+    got = {r["id"]: r["score"] for r in M.apply_feedback(df).collect()}
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert M.apply_feedback(df.limit(0)).collect() == []

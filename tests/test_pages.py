@@ -112,3 +112,25 @@ def test_addresses(spark):
         assert got.split("#")[0] == urljoin(base, href).split("#")[0], href
     got = spark.createDataFrame([("http://x/l.htm",), ("http://x/l?page=1&k=2",), ("http://x/l",), ("http://x/l_3.html",)], "u string").select(E.page_variants(F.col("u"), 3).alias("v")).collect()
     assert [r["v"] for r in got] == [["http://x/l_2.htm", "http://x/l_3.htm"], ["http://x/l?page=2&k=2", "http://x/l?page=3&k=2"], ["http://x/l?pageNo=2", "http://x/l?pageNo=3"], ["http://x/l_2.html", "http://x/l_3.html"]]
+
+
+def test_pages_by_paths(spark):
+    base = "http://cs.x.edu.cn"
+    rows = [
+        (1, base + "/labs/", "Our page", "x" * 200 + " Research  Group list"),
+        (2, base + "/lab/", "", "x" * 301 + "实验室"),
+        (3, base + "/research/", "Labour law", "none"),
+        (4, base + "/other/", "实验室", ""),
+        (5, base + "/kyjg/", None, "AI Lab"),
+        *((10 + i, base + p, "招生简章", None) for i, p in enumerate(E.NOTICE_PATHS[:9])),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, title string, text string")
+    links = spark.createDataFrame(
+        [(1, 0, base + "/g1.htm", "视觉课题组"), (1, 1, base + "/news.htm", "新闻"), (1, 2, "http://other.org/lab.htm", "实验室"), (1, 3, base + "/kyjg/", "实验室"), (4, 0, base + "/g2.htm", "课题组"), (5, 0, base + "/g3.htm", "研究组")],
+        "page_id long, at int, url string, text string",
+    )
+    bases = spark.createDataFrame([(base,), (base,), ("http://none.edu",)], "base string")
+    got = [(r["n"], r["url"].removeprefix(base)) for r in E.discover_by_paths(pages, bases, "lab", links).orderBy("n").collect()]
+    assert got == [(1, "/labs/"), (2, "/g1.htm"), (3, "/kyjg/"), (4, "/g3.htm")]
+    got = [(r["n"], r["url"].removeprefix(base)) for r in E.discover_by_paths(pages, bases, "notice").orderBy("n").collect()]
+    assert got == [(i + 1, p) for i, p in enumerate(E.NOTICE_PATHS[:5])]
