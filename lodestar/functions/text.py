@@ -17,14 +17,23 @@ def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
+def session_terms(c: Column, separators: str = SESSION_SEPARATORS) -> Column:
+    """What stands between separators, lower-cased, of two characters or more; repeats stay."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"([^{separators[1:-2]}]{{2,}})"))
+
+
 def tokenize_windows(c: Column) -> Column:
     """Distinct tokens: the whole trimmed text, its parts of 2 to 30 characters, and windows of 4 characters over each
     part, which shrink to 3 and 2 at the part's end. All lower-cased; a null or blank text has none."""
     text = F.coalesce(c, F.lit(""))
-    cut = F.array_distinct(F.filter(F.transform(F.split(text, TOKEN_SEPARATORS), lambda p: F.lower(F.trim(p))), lambda p: F.char_length(p) >= 2))
-    windows = lambda parts: F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - 1), lambda i: F.substring(p, i, F.lit(4)))))
     whole = F.lower(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")))
-    made = lambda parts: F.array_distinct(F.concat(F.array(whole), F.filter(parts, lambda p: F.char_length(p) <= 30), windows(parts)))
+    cut = F.array_distinct(session_terms(text, TOKEN_SEPARATORS))
+
+    def made(parts: Column) -> Column:
+        # All windows in one pass over the parts, which a control character keeps apart.
+        windows = F.regexp_extract_all(F.array_join(parts, "\x01"), F.lit("(?s)(?=([^\x01]{2,4}))"), F.lit(1))
+        return F.array_distinct(F.concat(F.array(whole), F.filter(parts, lambda p: F.char_length(p) <= 30), windows))
+
     # As the only element of an array, the parts are cut once and named.
     return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(cut), made), 1))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SESSION_SEPARATORS
+from ..functions.text import session_terms
 from ..sources.shared import staged
 
 
@@ -33,8 +33,7 @@ def score_floor_topk(df: DataFrame, floor: float, k: int, score: str = "score",
 
 def session_term_counts(docs: DataFrame, text_col: str = "areas", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, term, n): how often each document has each session term, of two characters or more. Dealt by document, so its terms stay in one task."""
-    terms = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), SESSION_SEPARATORS), lambda t: F.lower(F.trim(t))), lambda t: F.char_length(t) >= 2)
-    return docs.select(F.col(id_col).alias("doc_id"), text_col).repartition("doc_id").select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_col).repartition("doc_id").select("doc_id", F.explode(session_terms(F.col(text_col))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def decayed_terms(events: DataFrame, decay: float = 0.8, key: str = "session_id", order=("ts", "event_id"), counts: DataFrame | None = None) -> DataFrame:
@@ -47,8 +46,7 @@ def decayed_terms(events: DataFrame, decay: float = 0.8, key: str = "session_id"
     if counts is not None:
         shares = aged.groupBy(key, "doc_id").agg(F.sum(F.pow(F.lit(decay), "age")).alias("share"))
         return shares.join(counts, "doc_id").groupBy(key, "term").agg(F.sum(F.col("share") * F.col("n")).alias("weight"))
-    terms = F.filter(F.transform(F.split(F.coalesce("areas", F.lit("")), SESSION_SEPARATORS), lambda t: F.lower(F.trim(t))), lambda t: F.char_length(t) >= 2)
-    spread = aged.select(key, "age", F.explode(terms).alias("term"))
+    spread = aged.select(key, "age", F.explode(session_terms(F.col("areas"))).alias("term"))
     return spread.groupBy(key, "term").agg(F.sum(F.pow(F.lit(decay), "age")).alias("weight"))
 
 
