@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import queries as Q
 from lodestar.llm.packing import best_fit, pack
-from lodestar.llm.tokens import PrefixCounter, pieces_within, prefix_tables, token_counts, tokenizer_path, tokens_at, tokens_total
+from lodestar.llm.tokens import chars_within, prefix_tables, token_counts, tokenizer_path, tokens_at, tokens_total, truncated
 from lodestar.llm.toxicity import Bag, bag, fit, score_documents, training_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -114,17 +114,40 @@ def test_token_counts_are_the_library_s(spark):
     assert token_counts(df.limit(0)).collect() == []
 
 
-def test_prefix_table_answers_every_prefix():
-    counter = PrefixCounter(tokenizer_path())
-    for text in ("don't we're 'rest it's 2024!", "unbelievable internationalisation", "a''re 'r x"):
-        for n in range(len(text) + 1):
-            assert counter.count_prefix(text, n) == len(counter.tokenizer.encode(text[:n], add_special_tokens=False).ids), (text, n)
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(tokenizer_path())
+    return lambda text: len(found.encode(text, add_special_tokens=False).ids)
+
+
+def test_every_prefix_is_answered_from_the_stored_table(spark, sf, library, tmp_path):
+    odd = ["don't we're 'rest it's 2024!", "a''re 'r x", "<|startoftext|>abc", "ab<|endoftext|>!!<|endoftext|><|start", "..<|startoftext|>'ll x", "日本語 é ñ ß ﬁ", "x   y\n\nz", "'llama 'd've", "", None]
+    texts = odd + [r["text"][:250] for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 0").limit(200).collect()]
+    prefix_tables(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).write.parquet(f"{tmp_path}/t")
+    tables, n = spark.read.parquet(f"{tmp_path}/t"), 0
+    asked = tables.select("normal", "prefix_tokens", tokens_total().alias("total"), tokens_at(7).alias("at"), chars_within(9).alias("within"), truncated(9).alias("cut")).collect()
+    for r in asked:
+        want = [library(r["normal"][:i]) for i in range(len(r["normal"]) + 1)]
+        n += len(want)
+        longest = max(i for i, x in enumerate(want) if x <= 9)
+        assert r["prefix_tokens"] == want, r["normal"]
+        assert (r["total"], r["at"], r["within"], r["cut"]) == (want[-1], want[min(7, len(want) - 1)], longest, r["normal"][:longest])
+    assert len(asked) == len(texts) and n > 20_000
+
+
+def test_other_tokenizers_are_refused(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"):
+        with pytest.raises(ValueError, match="tokenizer"):
+            token_counts(df, path=tokenizer_path(name))
 
 
 def test_prefix_columns(spark):
-    df = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in prefix_tables(df).select("doc_id", tokens_total(), tokens_at(2), tokens_at(99), pieces_within(3)).collect()}
-    assert got == {1: (4, 2, 4, 3), 2: (0, 0, 0, 0)}
+    df = spark.createDataFrame([(1, "One two three  four"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in prefix_tables(df).select("doc_id", "normal", tokens_total(), tokens_at(8), tokens_at(99), tokens_at(-1), chars_within(3), truncated(2)).collect()}
+    assert got == {1: ("one two three four", 4, 2, 4, 0, 14, "one two "), 2: ("", 0, 0, 0, 0, 0, "")}
 
 
 def test_rows_without_an_id_are_counted(spark):
