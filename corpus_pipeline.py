@@ -51,7 +51,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for: none, once or up to three times.
 
-    A null source is a source of its own; a null id hashes as the text "null"; null texts have no words and follow their hash.
+    A null source is a source of its own; rows without an id are told apart by their texts; null texts have no words and follow their hash.
     """
     return mix(docs).select(*COLUMNS)
 

@@ -8,6 +8,8 @@ nested and nothing is sorted. DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,9 @@ def share(sources: DataFrame, most: float = 3.0) -> DataFrame:
     return rows.withColumn("target", F.least(most * F.col("source_size"), F.col("level") * F.col("weight")).cast("double")).select(*sources.columns, "target")
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 10)
+def _hash(doc_id: Column, text: Column) -> Column:
+    """Of id and text, so that rows that lack an id or share one are told apart by their texts."""
+    return F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(" "), F.md5(F.coalesce(text, F.lit(""))))), 1, 10)
 
 
 def _bucket(level: int, of: str | Column = "hash") -> Column:
@@ -63,7 +66,7 @@ def _bucket(level: int, of: str | Column = "hash") -> Column:
 def _budgets(docs: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
     """The sized rows (doc_id, source, size, hash), and one row a source: __source, source_size, target, passes and the cut of each level."""
     stage = Stage(docs.sparkSession, "mixing")
-    sized = stage(docs.select("doc_id", "source", word_count().alias("size"), _hash(F.col("doc_id")).alias("hash")))
+    sized = stage(docs.select("doc_id", "source", word_count().alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("hash")))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = stage(share(weigh(totals), most))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -73,12 +76,13 @@ def _budgets(docs: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
     return sized, left.select(F.col("source").alias("__source"), "source_size", "target", "passes", *[f"cut{i}" for i in range(len(LEVELS))])
 
 
-def _copies(of: str | Column = "hash", passes: str = "passes", cut: str = "cut") -> Column:
+def _copies(most: float, of: str | Column = "hash", passes: str = "passes", cut: str = "cut") -> Column:
     below = F.lit(False)
     for level in reversed(range(len(LEVELS))):
         b, c = _bucket(level, of), F.col(f"{cut}{level}")
         below = (b < c) | ((b == c) & below)
-    return F.col(passes) + below.cast("long")
+    # A source at its limit has no rest, but rows without words fit into that.
+    return F.least(F.col(passes) + below.cast("long"), F.lit(math.ceil(most)).cast("long"))
 
 
 def take(docs: DataFrame, most: float = 3.0) -> DataFrame:
@@ -86,13 +90,13 @@ def take(docs: DataFrame, most: float = 3.0) -> DataFrame:
 
     Sizes are words. Every document is taken floor(target / source_size) times, and once more if its hash is below its
     source's threshold. A source's words differ from its target by at most half of what shares its last histogram
-    cell, usually one document. Rows that repeat a doc_id share a hash and so a decision; a null doc_id hashes as the
-    text "null"; a null source is a source of its own; null or blank texts have size 0 and follow their hash. Other
+    cell, usually one document. Rows that repeat both doc_id and text share a hash and so a decision, a null doc_id being one
+    like others; a null source is a source of its own; null or blank texts have size 0 and follow their hash. Other
     columns are ignored, whatever their names. An empty table gives no rows.
     """
     sized, cuts = _budgets(docs, most)
     met = sized.join(small(cuts), F.col("source").eqNullSafe(F.col("__source")))
-    return met.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
+    return met.select("doc_id", "source", "size", "source_size", "target", _copies(most).alias("copies"))
 
 
 def _refine(sized: DataFrame, left: DataFrame, level: int) -> DataFrame:
@@ -117,11 +121,11 @@ def _refine(sized: DataFrame, left: DataFrame, level: int) -> DataFrame:
 def mix(docs: DataFrame, most: float = 3.0) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as :func:`take` says, columns unchanged, whatever their names.
 
-    The decision depends on (doc_id, source) alone, so rows that repeat both are all taken alike. Each row is decided
+    The decision depends on (doc_id, text, source) alone, so rows that repeat these are all taken alike. Each row is decided
     by its own hash and its source's thresholds, so no text is shuffled. Nulls and empty tables as in :func:`take`.
     """
     _, cuts = _budgets(docs, most)
     cuts = cuts.select("__source", F.col("passes").alias("__passes"), *[F.col(f"cut{i}").alias(f"__cut{i}") for i in range(len(LEVELS))])
     met = docs.join(small(cuts), docs["source"].eqNullSafe(F.col("__source")))
-    copies = _copies(_hash(docs["doc_id"]), "__passes", "__cut")
+    copies = _copies(most, _hash(docs["doc_id"], docs["text"]), "__passes", "__cut")
     return met.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")

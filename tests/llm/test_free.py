@@ -61,6 +61,18 @@ def test_best_fit_with_many_sources_and_clusters():
     assert best_fit(sizes, sources, clusters, 100, 2) == plain_best_fit(sizes, sources, clusters, 100, 2)[0]
 
 
+def test_many_sources_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 2048) for _ in range(30_000)]
+    tracemalloc.start()
+    bins = best_fit(sizes, list(range(30_000)), list(range(30_000)), 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and max(bins) + 1 <= 1.05 * sum(sizes) / 2048
+
+
 def test_bins_do_not_depend_on_partitions(spark):
     rng = random.Random(4)
     rows = [(i if rng.random() < 0.9 else None, "w " * rng.choice([0, 3, 3, 40, 700, 5000]), "en", rng.choice(["hot", "hot", "a", None]), 0) for i in range(400)]

@@ -75,6 +75,17 @@ def test_mix_with_clashing_columns(spark):
     assert got.columns == more.columns and Counter((r["doc_id"], r["source"]) for r in got.collect()) == want
 
 
+def test_mix_reaches_targets_where_ids_are_missing_or_repeat(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 2 else rng.choice([7, 8]), " ".join(f"w{i}" for _ in range(rng.randint(1, 40))), "ab"[i % 3 == 0]) for i in range(3000)]
+    got = take(docs(spark, rows)).collect()
+    taken, target = defaultdict(int), {r["source"]: r["target"] for r in got}
+    for r in got:
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 40 for s in target)
+    assert sum(r["copies"] for r in got) == mix(docs(spark, rows)).count()
+
+
 def test_mix_of_nothing(spark):
     assert mix(docs(spark, [])).collect() == []
     assert take(docs(spark, [])).collect() == []
