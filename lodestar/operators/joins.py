@@ -155,18 +155,46 @@ def not_yet_stored(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
     return df.join(existing.select(*keys), keys, "left_anti")
 
 
+#: Dictionaries of at most so many rows are folded into expressions, so that a text is read once; larger ones are joined.
+FOLDED = 2000
+
+
+def folded(df: DataFrame) -> list | None:
+    """The rows of a small dictionary, in order; None if it has more than FOLDED."""
+    rows = df.limit(FOLDED + 1).collect()
+    return sorted(rows) if len(rows) <= FOLDED else None
+
+
+def mentions(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, word): which of the distinct words each text of (id, text) holds, as they are written."""
+    words = words.select("word").where("word is not null and word <> ''").distinct()
+    small = folded(words)
+    if small is not None:
+        held = F.filter(F.array(*[F.lit(r["word"]) for r in small]).cast("array<string>"), lambda w: F.contains(F.coalesce("text", F.lit("")), w))
+        return texts.select("id", F.explode(held).alias("word"))
+    one = texts.select("id", F.explode(F.array_distinct(F.split("text", ""))).alias("word")).join(words.where("char_length(word) = 1"), "word").select("id", "word")
+    longer = _inside(words.select(F.col("word").alias("inner")), texts.select(F.col("text").alias("outer")).where("text is not null").distinct())
+    return one.union(texts.join(longer.toDF("word", "text"), "text").select("id", "word")).distinct()
+
+
 def direction_cross(people: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "areas") -> DataFrame:
     """Distinct (id, direction) where a term of the direction occurs in the text by the keyword rule.
 
-    ``terms`` is a dictionary of (direction, term): its rows become one folded predicate for each direction, so a text is
-    read once and nothing is crossed.
+    ``terms`` is a dictionary of (direction, term). A small one becomes one folded predicate for each direction, so a text is
+    read once and nothing is crossed; of a large one the terms that a text holds are found first and the rule is tried on these.
     """
-    from ..functions.predicates import any_of, keyword_match
+    from ..functions.predicates import any_of, keyword_match, keyword_match_term
 
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = folded(terms.select("direction", "term"))
+    if rows is None:
+        low = people.select(F.col(id_col).alias("id"), F.lower(text).alias("text"))
+        held = mentions(low, terms.select(F.lower("term").alias("word"))).join(terms.select(F.lower("term").alias("word"), "term", "direction"), "word")
+        met = people.select(F.col(id_col).alias("id"), text.alias("text")).join(held, "id").where(keyword_match_term("text", "term"))
+        return met.select(F.col("id").alias(id_col), "direction").distinct()
     by: dict[str, list[str]] = {}
-    for r in terms.orderBy("direction", "term").collect():
+    for r in rows:
         by.setdefault(r["direction"], []).append(r["term"])
-    text = F.coalesce(F.col(text_col), F.lit(""))
     hits = F.array_compact(F.array(*[F.when(any_of(*[keyword_match(text, t) for t in ts]), F.lit(d)) for d, ts in by.items()])) if by else F.array().cast("array<string>")
     return people.select(id_col, F.explode(hits).alias("direction")).distinct()
 

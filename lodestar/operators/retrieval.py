@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import area_tags, match_reason, tier_boost, tokenize_windows, tokenize_words
-from ..sources.shared import few, staged
+from ..sources.shared import few, fits, staged
 from .aggregates import idf
-from .joins import contained_terms, like_recall, recall_join, restrict_to_tiers
+from .joins import contained_terms, folded, like_recall, mentions, recall_join, restrict_to_tiers
 from .stored_index import StoredIndex, pruned_recall, store_index
 from .windows import session_term_counts, top_k_per_group
 
@@ -194,7 +194,7 @@ def coverage_hint(requests: DataFrame, results: DataFrame, uncrawled: DataFrame)
     """Per request the count of results, what to crawl next and why: all uncrawled universities if there are none, else a partial list."""
     counts = results.groupBy("query_id").agg(F.count("*").alias("n_results"))
     names = uncrawled.agg(F.array_sort(F.collect_list("name")).alias("uncrawled"))
-    out = requests.select("query_id").join(counts, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0))).crossJoin(F.broadcast(names))
+    out = requests.select("query_id").join(counts, "query_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0))).crossJoin(F.broadcast(names) if fits(uncrawled.select("name"), "name") else names)
     return out.withColumn("hint", F.when(F.col("n_results") == 0, "none").otherwise("partial"))
 
 
@@ -206,18 +206,30 @@ def expand_query(requests: DataFrame, dictionary: DataFrame, tech: DataFrame) ->
     own = asked.join(listed, "direction", "left").select("query_id", F.explode(F.array_union(F.coalesce("terms", F.array().cast("array<string>")), F.array("direction"))).alias("term"))
     free = requests.select("query_id", F.explode(F.array("target", "background")).alias("text")).where("trim(coalesce(text, '')) <> ''")
     words = dictionary.select("direction", "term").union(dictionary.select("direction", F.col("direction").alias("term"))).distinct()
-    said = free.join(F.broadcast(words), F.contains(F.col("text"), F.col("term"))).select("query_id", "direction").distinct().join(listed, "direction").select("query_id", F.explode("terms").alias("term"))
-    known = free.join(F.broadcast(tech), F.contains(F.col("text"), F.col("word"))).select("query_id", "direction").distinct().join(listed, "direction", "left")
+    asked_texts = staged(free.select(F.col("query_id").alias("id"), "text"), "free")
+    holding = lambda d, word: mentions(asked_texts, d.select(F.col(word).alias("word"))).join(d.withColumnRenamed(word, "word"), "word").select(F.col("id").alias("query_id"), "direction").distinct()
+    said = holding(words, "term").join(listed, "direction").select("query_id", F.explode("terms").alias("term"))
+    known = holding(tech.select("word", "direction"), "word").join(listed, "direction", "left")
     by_tech = known.select("query_id", F.explode(F.array_union(F.coalesce("terms", F.array().cast("array<string>")), F.array("direction"))).alias("term"))
     return own.union(free.select("query_id", F.trim("text").alias("term"))).union(said).union(by_tech).distinct()
 
 
 def identify_directions(texts: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, top, score): per top 2 for each contained keyword entry of 4 characters or more, else 1; a keyword under two mids counts twice; scores sum to 1."""
-    entries = [(r["top"], r["term"]) for r in tree.orderBy("top", "mid", "term").collect()]
-    tops = dict.fromkeys(t for t, _ in entries)
+    """(id, top, score): per top 2 for each contained keyword entry of 4 characters or more, else 1; a keyword under two mids counts twice; scores sum to 1.
+
+    A small tree is folded into one expression for each top; of a large one the keywords that a text holds are joined to it.
+    """
     text = F.lower(F.coalesce("text", F.lit("")))
-    points = [F.struct(F.lit(top).alias("top"), sum((F.when(F.contains(text, F.lit(w.lower())), 2 if len(w) >= 4 else 1).otherwise(0) for t, w in entries if t == top), F.lit(0)).alias("points")) for top in tops]
+    entries = folded(tree.select("top", "term", "mid"))
+    if entries is None:
+        worth = tree.select("top", F.lower("term").alias("word"), F.when(F.char_length("term") >= 4, 2).otherwise(1).alias("points"))
+        held = mentions(texts.select("id", text.alias("text")), worth.select("word")).join(worth, "word").groupBy("id", "top").agg(F.sum("points").alias("points"))
+        whole = held.groupBy("id").agg(F.sum("points").alias("total"))
+        return held.join(whole, "id").select("id", "top", (F.col("points") / F.col("total")).alias("score"))
+    tops: dict[str, list[str]] = {}
+    for r in entries:
+        tops.setdefault(r["top"], []).append(r["term"])
+    points = [F.struct(F.lit(top).alias("top"), sum((F.when(F.contains(text, F.lit(w.lower())), 2 if len(w) >= 4 else 1).otherwise(0) for w in terms), F.lit(0)).alias("points")) for top, terms in tops.items()]
     found = texts.select("id", F.filter(F.array(*points), lambda p: p["points"] > 0).alias("p")).withColumn("total", F.aggregate("p", F.lit(0), lambda a, x: a + x["points"]))
     return found.select("id", "total", F.explode("p").alias("x")).select("id", F.col("x.top").alias("top"), (F.col("x.points") / F.col("total")).alias("score"))
 
@@ -226,13 +238,10 @@ def direction_match(wanted: DataFrame, texts: DataFrame, tree: DataFrame) -> Dat
     """(query_id, id, direction): per wanted direction 0.3 if its name is in the text and 0.7 * the score of each top whose tree holds it; the mean, at most 1."""
     scores = identify_directions(texts, tree)
     holds = tree.select("top", F.lower("top").alias("word")).union(tree.select("top", F.lower("mid"))).union(tree.select("top", F.lower("term"))).distinct()
-    asked = wanted.select("query_id", F.explode("dirs").alias("dir")).distinct()
-    by_top = asked.withColumn("word", F.lower("dir")).join(holds, "word").join(scores, "top").groupBy("query_id", "id", "dir").agg((0.7 * F.sum("score")).alias("part"))
-    # Wanted names come from the direction dictionary, so they are few: they fold into one predicate each over a text.
-    names = [r["dir"] for r in asked.select("dir").distinct().orderBy("dir").collect()]
-    text = F.lower(F.coalesce("text", F.lit("")))
-    said = texts.select("id", F.explode(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(n.lower())), F.lit(n)) for n in names]))).alias("dir")) if names else texts.select("id", F.lit(None).cast("string").alias("dir")).limit(0)
-    named = asked.join(said, "dir").select("query_id", "id", "dir", F.lit(0.3).alias("part"))
+    asked = wanted.select("query_id", F.explode("dirs").alias("dir")).distinct().withColumn("word", F.lower("dir"))
+    by_top = asked.join(holds, "word").join(scores, "top").groupBy("query_id", "id", "dir").agg((0.7 * F.sum("score")).alias("part"))
+    said = mentions(texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text")), asked.select("word"))
+    named = asked.join(said, "word").select("query_id", "id", "dir", F.lit(0.3).alias("part"))
     n = wanted.select("query_id", F.size(F.array_distinct("dirs")).alias("n"))
     total = by_top.unionByName(named).groupBy("query_id", "id").agg(F.sum("part").alias("sum")).join(n, "query_id")
     return total.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("sum") / F.col("n")), 6).alias("direction"))

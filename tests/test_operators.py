@@ -237,3 +237,22 @@ def test_feedback_of_ids_with_far_apart_steps(spark, monkeypatch):
     got = {r["id"]: r["score"] for r in M.apply_feedback(df).collect()}
     assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
     assert M.apply_feedback(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 2000])
+def test_large_dictionaries_give_what_small_ones_do(spark, monkeypatch, most):
+    monkeypatch.setattr(J, "FOLDED", most)
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abC", k=rng.randint(1, 4))) for _ in range(40)})
+    rows = [(i, "".join(rng.choices("abC ", k=rng.randint(0, 9))) or None) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    got = {tuple(r) for r in J.mentions(texts, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {(i, w) for i, t in rows for w in words if w in (t or "")}
+    terms = [(f"D{i % 5}", w) for i, w in enumerate(words)] + [("D9", "aaaaa")]
+    cross = J.direction_cross(texts.withColumnRenamed("text", "areas"), spark.createDataFrame(terms, "direction string, term string"))
+    tree = spark.createDataFrame([(f"T{i % 3}", f"m{i % 4}", w) for i, w in enumerate(words)], "top string, mid string, term string")
+    wanted = spark.createDataFrame([(1, ["ab", "T1"]), (2, [words[0].upper()])], "query_id int, dirs array<string>")
+    made = [sorted(map(tuple, df.collect())) for df in (cross, R.identify_directions(texts, tree).selectExpr("id", "top", "round(score, 6)"), R.direction_match(wanted, texts, tree))]
+    assert all(made)
+    kept = test_large_dictionaries_give_what_small_ones_do.__dict__.setdefault("made", made)
+    assert made == kept
