@@ -6,12 +6,16 @@ keys what it writes by batch, so a batch that is replayed changes nothing.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.text import SESSION_SEPARATORS
 from ..operators.aggregates import message_counts
 from ..operators.mutations import upsert_notices, upsert_people
 from ..operators.windows import event_history, retain_newest
@@ -43,44 +47,79 @@ def replay(spark: SparkSession, path: str, n: int = 100, order: tuple[str, ...]
 
 
 
-def _keep(state, times: pd.Series, keep_ms: int) -> None:
-    """Lets a state go when the watermark is ``keep_ms`` past its newest event."""
-    newest = int(times.max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
+def _with_rocksdb(stream: DataFrame) -> None:
+    """Typed state with timers lives in RocksDB, on the executors' disks; a session that names no provider of its own gets that one."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (conf.get(key, "") or ""):
+        conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, delay: str = "1 hour", keep_ms: int = 86_400_000) -> DataFrame:
-    """(session_id, terms, n_events) after each batch: decayed weights of the terms of a session's last n events, as JSON.
+class _Forgetting(StatefulProcessor):
+    """A processor whose keys go when the watermark is ``keep_ms`` past their newest event, by one timer each."""
 
-    ``stream`` is (session_id, ts, event_id, areas). State holds the n newest events of a session and goes after a day without any;
-    events that come later than ``delay`` are dropped.
-    """
-    import json
-    import re
-
-    from ..functions.text import SESSION_SEPARATORS
-
-    def update(key, frames: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        (kept,) = state.get if state.exists else ("[]",)
-        events = json.loads(kept)
-        for f in frames:
-            events += [[t.isoformat(), int(e), a or ""] for t, e, a in zip(f["ts"], f["event_id"], f["areas"], strict=True)]
-        events = sorted(events, key=lambda x: (pd.Timestamp(x[0]), x[1]), reverse=True)[:n]
-        state.update((json.dumps(events),))
-        _keep(state, pd.Series([pd.Timestamp(events[0][0])]), keep_ms)
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.goes = handle.getValueState("goes", "at long")
+
+    def wait(self, newest: pd.Timestamp, timerValues) -> None:
+        """Puts the timer off to after the newest event."""
+        at = max(int(newest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.keep_ms
+        if self.goes.exists():
+            before = self.goes.get()[0]
+            if before >= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.goes.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.goes.clear()
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Interest(_Forgetting):
+    def __init__(self, n: int, decay: float, keep_ms: int):
+        super().__init__(keep_ms)
+        self.n, self.decay = n, decay
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.events = handle.getListState("events", "ts timestamp, event_id long, areas string")
+
+    def forget(self) -> None:
+        self.events.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = [tuple(e) for e in self.events.get()] if self.events.exists() else []
+        for f in rows:
+            events += [(t.to_pydatetime(), int(e), a or "") for t, e, a in zip(f["ts"], f["event_id"], f["areas"], strict=True)]
+        events = sorted(events, key=lambda e: (pd.Timestamp(e[0]), e[1]), reverse=True)[: self.n]
+        self.events.put(events)
+        self.wait(pd.Timestamp(events[0][0]), timerValues)
         weights: dict[str, float] = {}
         for age, (_, _, areas) in enumerate(events):
-            for term in re.split(SESSION_SEPARATORS, areas):
-                term = term.strip().lower()
+            for term in re.split(SESSION_SEPARATORS, areas.lower()):
                 if len(term) >= 2:
-                    weights[term] = weights.get(term, 0.0) + decay**age
+                    weights[term] = weights.get(term, 0.0) + self.decay**age
         yield pd.DataFrame({"session_id": [key[0]], "terms": [json.dumps(weights, sort_keys=True, ensure_ascii=False)], "n_events": [len(events)]})
 
+
+def session_interest(stream: DataFrame, n: int = 20, decay: float = 0.8, delay: str = "1 hour", keep_ms: int = 86_400_000) -> DataFrame:
+    """(session_id, terms, n_events) after each batch: decayed weights of the terms of a session's last n events, as JSON.
+
+    ``stream`` is (session_id, ts, event_id, areas). List state holds the n newest events of a session and goes by a timer after a
+    day without any; events that come later than ``delay`` are dropped. Update mode.
+    """
+    _with_rocksdb(stream)
     grouped = timed(stream.select("session_id", "ts", "event_id", "areas"), "ts", delay).groupBy("session_id")
-    return grouped.applyInPandasWithState(update, "session_id long, terms string, n_events long", "events string", "update", "EventTimeTimeout")
+    return grouped.transformWithStateInPandas(_Interest(n, decay, keep_ms), "session_id long, terms string, n_events long", "Update", "eventTime")
 
 
 def crawl_progress(events: DataFrame) -> DataFrame:
@@ -97,28 +136,38 @@ def crawl_progress(events: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_jobs(stream: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000) -> DataFrame:
-    """Triggers (job, ts, event_id, type) that start a job while it isn't active; done or error frees it, as does an hour without events."""
-
-    def update(key, frames: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        active = state.get[0] if state.exists else False
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+class _Jobs(_Forgetting):
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.active = handle.getValueState("active", "active boolean")
+
+    def forget(self) -> None:
+        self.active.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        active = self.active.get()[0] if self.active.exists() else False
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         started = []
-        for event, kind in zip(rows["event_id"], rows["type"], strict=True):
+        for event, kind in zip(events["event_id"], events["type"], strict=True):
             if kind in ("scrape-done", "scrape-error"):
                 active = False
             elif kind == "scrape-start" and not active:
                 active = True
                 started.append(event)
-        state.update((active,))
-        _keep(state, rows["ts"], keep_ms)
-        yield pd.DataFrame({"job": [key[0]] * len(started), "event_id": started}).astype({"event_id": "int64"})
+        self.active.update((active,))
+        self.wait(events["ts"].max(), timerValues)
+        if started:
+            yield pd.DataFrame({"job": [key[0]] * len(started), "event_id": started}).astype({"event_id": "int64"})
+
 
+def dedupe_jobs(stream: DataFrame, delay: str = "1 hour", keep_ms: int = 3_600_000) -> DataFrame:
+    """Triggers (job, ts, event_id, type) that start a job while it isn't active; done or error frees it, as does an hour without events.
+
+    Value state holds whether a job is active; a timer frees it. Append mode.
+    """
+    _with_rocksdb(stream)
     grouped = timed(stream.select("job", "ts", "event_id", "type"), "ts", delay).groupBy("job")
-    return grouped.applyInPandasWithState(update, "job string, event_id long", "active boolean", "append", "EventTimeTimeout")
+    return grouped.transformWithStateInPandas(_Jobs(keep_ms), "job string, event_id long", "Append", "eventTime")
 
 
 def upsert_stream(path: str, kind: str = "people") -> Callable[[DataFrame, int], None]:

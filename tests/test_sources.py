@@ -155,3 +155,28 @@ def test_feed_is_stored_by_many_tasks_and_replayed_in_order(spark, tmp_path):
     assert stored.count() == 4005 and stored.where("batch = 0").select(F.input_file_name()).distinct().count() > 1
     want = [i for _, i in (sorted(rows) + sorted(r for r in rows if r[1] < 5))[-50:]]
     assert [r["event_id"] for r in L.replay(spark, path, 50).orderBy("seq").collect()] == want
+
+
+def test_state_is_kept_by_time_and_late_events_are_dropped(spark, tmp_path):
+    """Each run reads one more file; the watermark is an hour behind the newest event of the runs before."""
+    hour = 3600
+    schema = "session_id long, ts timestamp, event_id long, areas string"
+    runs = [
+        [(1, 0, 1, "a1, b1"), (1, 60, 2, "b1"), (2, 0, 3, "c1")],
+        [(2, 10 * hour, 4, "d1")],  # the watermark passes 9 hours, and session 1 is 2 hours old
+        [(1, 60, 5, "late"), (1, 12 * hour, 6, "e1"), (2, 11 * hour, 7, "d1")],
+    ]
+    def made(rows):
+        return spark.createDataFrame(rows, "session_id long, at long, event_id long, areas string").selectExpr("session_id", "timestamp_seconds(1000000 + at) as ts", "event_id", "areas")
+
+    out, states = [], []
+    for n, rows in enumerate(runs):
+        made(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = L.session_interest(stream, n=2, decay=0.5, keep_ms=2 * hour * 1000)
+        started = query.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state")
+        started = started.foreachBatch(lambda b, i: out.extend((n, r["session_id"], json.loads(r["terms"]), r["n_events"]) for r in b.collect())).start()
+        started.awaitTermination()
+        states.append(started.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert sorted(out, key=str) == sorted([(0, 1, {"a1": 0.5, "b1": 1.5}, 2), (0, 2, {"c1": 1.0}, 1), (1, 2, {"c1": 0.5, "d1": 1.0}, 2), (2, 1, {"e1": 1.0}, 1), (2, 2, {"d1": 1.5}, 2)], key=str)
+    assert len(states) == 3 and states[0] > 0
