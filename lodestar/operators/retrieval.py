@@ -248,7 +248,10 @@ def direction_match(wanted: DataFrame, texts: DataFrame, tree: DataFrame) -> Dat
 
 
 def top_keywords(docs: DataFrame, terms: str, bonus: DataFrame, stop: list[str], n: int) -> DataFrame:
-    """(id, term, score): term frequency times the bonus of (term, bonus), for terms of two characters or more that aren't stop words; the n best."""
+    """(id, term, score): term frequency times the bonus of (term, bonus), for terms of two characters or more that aren't stop words; the n best.
+
+    Documents that are dealt by id before they are cut into terms need no other shuffle.
+    """
     spread = docs.select("id", F.explode(terms).alias("term")).where("char_length(term) >= 2")
     if stop:
         spread = spread.where(~F.col("term").isin(*stop))

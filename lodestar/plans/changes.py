@@ -17,7 +17,7 @@ from .sqltext import session_terms, words
 
 
 def _halves(df, by):
-    """The rows before and after the middle of an order, as what is stored and what comes in."""
+    """The rows of even and of odd numbers, as what is stored and what comes in; both halves are used."""
     return df.where(f"{by} % 2 = 0"), df.where(f"{by} % 2 = 1")
 
 

@@ -48,9 +48,9 @@ _DOMAINS = [("media", ["digital media", "communication"]), ("law", ["legal infor
 
 @query(f"""WITH {cte("universities")}, top AS (SELECT * FROM universities WHERE tier IN ('ASIA', 'EUROPE', 'AMERICA') ORDER BY rank, name LIMIT 50)
 SELECT name, rank, tier, CASE WHEN contains(note, 'media') THEN 'digital media|communication' WHEN contains(note, 'law') THEN 'legal informatics' ELSE '' END AS domains FROM top
-WHERE name NOT IN (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 11 = 0) ORDER BY rank, name LIMIT 8""")
+WHERE name NOT IN (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 9000) ORDER BY rank, name LIMIT 8""")
 def uncrawled_antijoin(spark, sf_dir):
-    crawled = table(spark, sf_dir, "supplier").where("s_suppkey % 11 = 0").join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey")).select(F.col("n_name").alias("university"))
+    crawled = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey")).select(F.col("n_name").alias("university"))
     found = J.uncrawled_universities(view(spark, sf_dir, "universities"), crawled, ["ASIA", "EUROPE", "AMERICA"], 8)
     return found.select("name", "rank", "tier", F.array_join(cross_domain(F.col("note"), _DOMAINS), "|").alias("domains"))
 

@@ -41,7 +41,7 @@ _BONUS = [("the", 1.2), ("der", 1.5), ("les", 1.5)]
 c AS (SELECT id, term, count(*) AS tf FROM t WHERE length(term) >= 2 AND term NOT IN ('of', 'la') GROUP BY id, term)
 SELECT id, c.term, round(tf * coalesce(CAST(bonus AS DOUBLE), 1.0), 6) AS score FROM c LEFT JOIN b ON b.term = c.term QUALIFY row_number() OVER (PARTITION BY id ORDER BY tf * coalesce(CAST(bonus AS DOUBLE), 1.0) DESC, c.term) <= 5""")
 def top_keywords(spark, sf_dir):
-    docs = view(spark, sf_dir, "docs").select("id", X.tokenize_mixed(F.col("research_areas")).alias("terms"))
+    docs = view(spark, sf_dir, "docs").select("id", "research_areas").repartition("id").select("id", X.tokenize_mixed(F.col("research_areas")).alias("terms"))
     made = best_keywords(docs, "terms", spark.createDataFrame(_BONUS, "term string, bonus double"), ["of", "la"], 5)
     return made.select("id", "term", F.round("score", 6).alias("score"))
 
