@@ -213,7 +213,7 @@ def test_without_labels_or_rows(spark):
 
 
 def test_every_operator_has_a_query(spark):
-    assert sorted({int(n[2:].split("_")[0]) for n in Q.queries()}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in Q.queries()}) == list(range(1, 14))
 
 
 def test_training_takes_one_text_of_a_repeated_id(spark):
