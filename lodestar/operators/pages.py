@@ -208,9 +208,9 @@ def repeated_records(facts: DataFrame, least: int = 3, most: int = 200) -> DataF
     return nodes.join(best, ["page_id", "fp"]).withColumn("name", name).withColumn("title", X.extract_title(F.col("text")))
 
 
-def person_objects(text: Column, least: int = 20, most: int = 800) -> Column:
-    """JSON objects of a text that name a person."""
-    return F.filter(F.regexp_extract_all(text, F.lit(rf"(\{{[^{{}}]{{{least},{most}}}\}})")), lambda o: o.rlike(r'"(?:name|xm|jzmc|jsxm|teacherName)"\s*:\s*"[一-鿿]{2,5}"'))
+def person_objects(text: Column, least: int = 20, most: int = 800, longest: int | None = 5) -> Column:
+    """JSON objects of a text that name a person: Han characters, two or more and at most ``longest`` (None: any number)."""
+    return F.filter(F.regexp_extract_all(text, F.lit(rf"(\{{[^{{}}]{{{least},{most}}}\}})")), lambda o: o.rlike(rf'"(?:name|xm|jzmc|jsxm|teacherName)"\s*:\s*"[一-鿿]{{2,{longest or ""}}}"'))
 
 
 def _field(o: Column, names: str) -> Column:

@@ -62,11 +62,11 @@ def read_s2_authors(dump: DataFrame, university: str, column: str = "json") -> D
     return one.select(F.col("authorId").alias("author_id"), "name", F.lit(university).alias("university"), X.title_from_h_index(F.coalesce("hIndex", F.lit(0))).alias("title"), F.col("citationCount").alias("cited_count"))
 
 
-def read_person_list_json(df: DataFrame, column: str = "json") -> DataFrame:
-    """People in list payloads: each object of 20 to 600 characters with a person's name, an address and a title."""
+def read_person_list_json(df: DataFrame, column: str = "json", longest: int | None = 5) -> DataFrame:
+    """People in list payloads: each object of 20 to 600 characters with a person's name of at most ``longest`` characters (None: any number), an address and a title."""
     from ..operators.pages import _field, person_objects
 
-    o = df.select(F.explode(person_objects(F.col(column), 20, 600)).alias("o"))
+    o = df.select(F.explode(person_objects(F.col(column), 20, 600, longest)).alias("o"))
     return o.select(_field(F.col("o"), "name|xm|jzmc|jsxm|teacherName").alias("name"), _field(F.col("o"), "url|link|href").alias("url"), _field(F.col("o"), "title|zc|zwmc").alias("title"))
 
 

@@ -38,6 +38,12 @@ def test_search_payloads(spark):
     assert [tuple(r) for r in S.read_person_list_json(rest).collect()] == [("张三", "/a", "教授")]
 
 
+def test_list_payloads_with_long_names(spark):
+    long = js(spark, '{"list":[{"xm":"王李张张张张","link":"/p/100000"},{"xm":"张","link":"/p/0000000000"}]}')
+    assert [tuple(r) for r in S.read_person_list_json(long, longest=None).collect()] == [("王李张张张张", "/p/100000", None)]
+    assert S.read_person_list_json(long).count() == 0
+
+
 def test_question_bank(spark):
     files = [("a.csv", "category,question,hint\nalgo,what is x,say y\n# note,z\nos,why,\n"), ("b.txt", "# nets\nwhat is tcp\n[db] what is sql\nand then\n\n"), ("c.json", '[{"category":"","question":"q?","hint":"h"},{"question":" "}]')]
     got = {(r["file"], r["category"], r["question"], r["hint"]) for r in S.read_question_bank(spark.createDataFrame(files, "file string, content string")).collect()}
