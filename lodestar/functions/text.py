@@ -106,6 +106,15 @@ def snippet(c: Column, n: int) -> Column:
     return F.when(F.char_length(flat) > n, F.concat(F.left(flat, F.lit(n)), F.lit("…"))).otherwise(flat)
 
 
+def written_title(html: Column) -> Column:
+    """What stands in the first title element as it is written, but for &amp;, with white space collapsed; "" without one, null for null html.
+
+    Other references stay; :func:`~lodestar.operators.pages.parse` reads a title as a browser does.
+    """
+    inner = F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)
+    return F.trim(F.regexp_replace(F.replace(inner, F.lit("&amp;"), F.lit("&")), r"[ \t\n\f\r]+", " "))
+
+
 def conversation_title(c: Column) -> Column:
     return snippet(c, 30)
 

@@ -134,3 +134,11 @@ def test_pages_by_paths(spark):
     assert got == [(1, "/labs/"), (2, "/g1.htm"), (3, "/kyjg/"), (4, "/g3.htm")]
     got = [(r["n"], r["url"].removeprefix(base)) for r in E.discover_by_paths(pages, bases, "notice").orderBy("n").collect()]
     assert got == [(i + 1, p) for i, p in enumerate(E.NOTICE_PATHS[:5])]
+
+
+def test_titles_as_written(spark):
+    from lodestar.functions.text import written_title
+
+    rows = [("<title> a &amp; b\n c</title><title>d</title>",), ("<title>and&amp</title>",), ("<title>&quot;q</title>",), ("<title></title><title>z</title>",), ("<title>open",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "html string").select(written_title(F.col("html"))).collect()]
+    assert got == ["a & b c", "and&amp", "&quot;q", "", "", None]
