@@ -1,19 +1,21 @@
 """Extraction from crawled pages: one parsing pass over html, then Column expressions, joins and aggregates.
 
 ``parse`` turns each page into a row of facts with its links, nodes, label pairs and scripts as arrays; html is read once and
-a task holds one batch of pages. Rules of language (words, classes) are arguments with the usual defaults.
+a task holds the facts of few pages at a time. Rules of language (words, classes) are arguments with the usual defaults.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions import predicates as P
 from ..functions import text as X
@@ -140,25 +142,48 @@ def _join(base: str, href: str) -> str:
         return ""
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: How much html is parsed before its facts are handed on; a page is never cut.
+SLICE_CHARS = 1_000_000
+
+
+def _parser(fields: list[tuple[str, pa.DataType]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that parses page by page and holds the facts of about SLICE_CHARS of html at a time, however large a batch is."""
     names = [x.split(" ")[0] for x in "page_id url title text meta_description meta_keywords heads alts links nodes labels cells scripts".split()]
     as_dicts = {"links": ("href", "url", "text", "parent", "box"), "nodes": ("fp", "text", "href"), "labels": ("label", "value", "kind"), "cells": ("row_no", "cells")}
-    for frame in frames:
-        rows = []
-        for page_id, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
-            page = _Page(url or "")
-            page.feed(html or "")
-            page.close()
-            rows.append(page.facts(page_id))
-        out = pd.DataFrame(rows, columns=names)
-        for c, keys in as_dicts.items():
-            out[c] = [[dict(zip(keys, x, strict=True)) for x in v] for v in out[c]]
-        yield out
-
-
-def parse(pages: DataFrame) -> DataFrame:
-    """One row of facts per page; null html counts as an empty page."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(_parse, FACTS)
+    places = [(names.index(n), n, kind) for n, kind in fields]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = []
+        for at, n, kind in places:
+            keys = as_dicts.get(n)
+            values = [[dict(zip(keys, x, strict=True)) for x in r[at]] for r in rows] if keys else [r[at] for r in rows]
+            columns.append(pa.array(values, kind))
+        return pa.RecordBatch.from_arrays(columns, [n for _, n, _ in places])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for page_id, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html")), strict=True):
+                page, text = _Page(url.as_py() or ""), html.as_py() or ""
+                page.feed(text)
+                page.close()
+                rows.append(page.facts(page_id.as_py()))
+                size += len(text) + 100
+                if size >= SLICE_CHARS:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    return parsed
+
+
+def parse(pages: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """One row of facts per page, or only some of their columns; null html counts as an empty page."""
+    kinds = StructType.fromDDL(FACTS)
+    schema = StructType([kinds[c] for c in only]) if only else kinds
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in schema]
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_parser(fields), schema)
 
 
 def extract_links(facts: DataFrame) -> DataFrame:

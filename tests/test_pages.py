@@ -136,6 +136,21 @@ def test_pages_by_paths(spark):
     assert got == [(i + 1, p) for i, p in enumerate(E.NOTICE_PATHS[:5])]
 
 
+def test_parser_hands_facts_on_before_a_batch_ends():
+    import pyarrow as pa
+
+    html = "<p>x</p>" * (E.SLICE_CHARS // 16)
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2, 3, 4, 5], "url": ["u"] * 5, "html": [html, html, None, html, html]})
+    out = list(E._parser([("page_id", pa.int64()), ("text", pa.string())])(iter([batch])))
+    assert [b.column("page_id").to_pylist() for b in out] == [[1, 2], [3, 4, 5]] and out[1].column("text")[0].as_py() == ""
+
+
+def test_parse_gives_only_columns_asked(spark):
+    pages = spark.createDataFrame([(1, BASE, "<title>t</title><p>x<a href='a.htm'>n</a></p>")], "page_id long, url string, html string")
+    r = E.parse(pages, ["page_id", "links"]).first()
+    assert r.asDict().keys() == {"page_id", "links"} and r["links"][0]["url"] == "http://cs.x.edu.cn/szdw/a.htm"
+
+
 def test_titles_as_written(spark):
     from lodestar.functions.text import written_title
 
