@@ -256,3 +256,16 @@ def test_large_dictionaries_give_what_small_ones_do(spark, monkeypatch, most):
     assert all(made)
     kept = test_large_dictionaries_give_what_small_ones_do.__dict__.setdefault("made", made)
     assert made == kept
+
+
+def test_terms_are_counted_within_their_text(spark, capsys):
+    from lodestar.functions.text import term_counts
+
+    df = spark.createDataFrame([(1, "b a b a a"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    counted = df.select(term_counts(F.split("text", " ")).alias("x")).collect()
+    assert [[tuple(e) for e in r["x"] or []] for r in counted] == [[("a", 3), ("b", 2)], [("", 1)], [], [("x", 1)]]
+    assert df.select(term_counts(F.array().cast("array<string>")).alias("x")).first()["x"] == []
+    made = R.build_index(df, ["text"])
+    assert {tuple(r) for r in made["entries"].collect()} == {(1, "a", 3, 5), (1, "b", 2, 5), (4, "x", 1, 1)}
+    made["postings"].explain()
+    assert "Exchange" not in capsys.readouterr().out
