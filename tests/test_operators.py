@@ -269,3 +269,15 @@ def test_terms_are_counted_within_their_text(spark, capsys):
     assert {tuple(r) for r in made["entries"].collect()} == {(1, "a", 3, 5), (1, "b", 2, 5), (4, "x", 1, 1)}
     made["postings"].explain()
     assert "Exchange" not in capsys.readouterr().out
+
+
+def test_session_terms_travel_in_lines(spark):
+    docs = spark.createDataFrame([(1, "Aa bb aa, c"), (2, " "), (3, None), (4, "bb")], "doc_id long, areas string")
+    events = spark.createDataFrame([(7, 1, 1, 1), (7, 2, 2, 2), (7, 3, 3, 1), (8, 4, 1, 4), (8, 5, 2, 3)], "session_id long, event_id long, ts long, doc_id long")
+    made = decayed_terms(events, lines=W.session_lines(docs))
+    got = {(r["session_id"], r["term"]): round(r["weight"], 6) for r in made.collect()}
+    assert got == {(7, "aa"): 3.28, (7, "bb"): 1.64, (8, "bb"): 0.8}
+    results = spark.createDataFrame([(7, 1, 0.5), (8, 1, 0.5), (8, 4, 0.5), (8, 2, 0.5), (9, 4, 0.5)], "session_id long, doc_id long, score double")
+    texts = docs.withColumnRenamed("areas", "research_areas")
+    plain, lined = ({(r["session_id"], r["doc_id"]): round(r["hybrid"], 9) for r in R.session_rerank(results, made, texts, lines=x).collect()} for x in (None, W.session_lines(docs)))
+    assert plain == lined and len(lined) == 5
