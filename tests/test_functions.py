@@ -181,3 +181,13 @@ def test_scores(spark):
     assert one(spark, X.activity_score(F.col("b"), F.col("p"), F.lit(20)), b="NSFC", p="2022 2024") == 100 and one(spark, X.activity_score(F.col("b"), F.col("p"), F.lit(1)), b=None, p="2023") == 61
     assert one(spark, X.interests(F.col("a"), F.col("b")), a=["s1", "s1", "s2"], b=["t1", "s2", "t2", "t3", "t4"]) == "s1；s2；t1；t2；t3"
     assert one(spark, X.match_reason(F.col("t")), t=["软件工程", "工程", "图像处理"]) == "匹配方向：图像处理、软件工程"
+
+
+def test_jaccard_meets_its_sets_once(spark, capsys):
+    from lodestar.functions import text
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("abab", "abc"), ("", None), ("a", "ab"), ("ab", "ab")], "a string, b string").select(text.jaccard(F.col("a"), F.col("b")).alias("j"))
+    assert [round(r["j"], 6) for r in df.collect()] == [0.333333, 1.0, 0.0, 1.0]
+    df.explain()
+    assert "array_union" not in capsys.readouterr().out
