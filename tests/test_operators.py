@@ -46,6 +46,17 @@ def test_containment_equals_all_pairs(spark):
     assert {tuple(r) for r in J.contained_terms(q, v, both_ways=False).collect() if len(r[0]) > 1} == {(a, b) for a in qs for b in vs if a in b and len(a) > 1}
 
 
+def test_few_queries_are_looked_for_where_terms_lie(spark):
+    texts = ["the whole of a long text", "of", "o", "xo", "", "the whole of", None]
+    q, v = spark.createDataFrame([("of",), ("the whole of",), ("o",), ("",), (None,), ("of",)], "q string"), spark.createDataFrame([(t,) for t in texts], "term string")
+    want = {("of", texts[0]), ("of", "of"), ("of", "o"), ("of", texts[5]), (texts[5], texts[0]), (texts[5], texts[5]), (texts[5], "of"), (texts[5], "o"), ("o", "o")}
+    got = J.contained_terms(q, v)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1  # terms are made distinct, pairs aren't
+    assert {tuple(r) for r in J.contained_terms(q, v, both_ways=False).collect()} == {p for p in want if p[0] in p[1]}
+
+
 def test_containment_in_hot_blocks_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT", 5)
     monkeypatch.setattr(J, "fits", lambda *a: False)
@@ -55,6 +66,14 @@ def test_containment_in_hot_blocks_without_broadcasts(spark, monkeypatch):
     assert {tuple(r) for r in J.contained_terms(q, v).collect()} == {(a, b) for a in qs for b in vs if a in b or b in a}
 
 
+def test_many_queries_give_no_pair_twice(spark):
+    rng = random.Random(5)
+    qs, vs = ({"".join(rng.choices("abc", k=rng.randint(1, 6))) for _ in range(90)} for _ in range(2))
+    assert len(qs) > J.SCANNED
+    got = [tuple(r) for r in J.contained_terms(spark.createDataFrame([(x,) for x in qs], "q string"), spark.createDataFrame([(x,) for x in vs], "term string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in qs for b in vs if a == b or len(a) > 1 and (a in b or b in a)}
+
+
 def test_a_term_meets_few_longer_ones(spark):
     """All hold a frequent gram; each term looks among those of its rarest one."""
     outer = spark.createDataFrame([(f"common{i:04d}",) for i in range(2000)], "outer string")
