@@ -101,11 +101,38 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.element_at(F.transform(F.array(F.array(x, y)), share), 1)
 
 
-def drop_substrings(terms: Column, least: int = 3) -> Column:
-    """Distinct terms of at least so many characters that no longer term holds, longest first, ties by text."""
+#: Terms of more characters are searched for each shorter one, so that a very long one isn't cut at every place.
+_CUT = 64
+
+
+def maximal_terms(terms: Column, least: int = 3) -> Column:
+    """Distinct terms of at least so many characters that no longer term holds, in order of appearance.
+
+    A term is cut into its pieces of just those lengths that shorter terms have, and what is among these pieces goes; so the work
+    follows the characters, not the pairs of terms.
+    """
+
+    def held(kept: Column, lengths: Column, t: Column) -> Column:
+        n = F.char_length(t)
+        pieces = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(t, i, k))
+        cut = F.flatten(F.transform(F.filter(lengths, lambda k: k < n), pieces))
+        return F.when(n <= _CUT, cut).otherwise(F.filter(kept, lambda u: (F.char_length(u) < n) & F.contains(t, u)))
+
+    def top(x: Column) -> Column:
+        return F.array_except(x["kept"], F.flatten(F.transform(x["kept"], lambda t: held(x["kept"], x["lengths"], t))))
+
+    def measured(kept: Column) -> Column:
+        return F.struct(kept.alias("kept"), F.array_distinct(F.transform(kept, lambda t: F.char_length(t))).alias("lengths"))
+
     kept = F.filter(F.array_distinct(terms), lambda t: F.char_length(t) >= least)
-    top = F.filter(kept, lambda t: ~F.exists(kept, lambda u: (F.char_length(u) > F.char_length(t)) & F.contains(u, t)))
-    return F.transform(F.array_sort(F.transform(top, lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
+    # As the only element of an array, the terms and their lengths are made once and named.
+    return F.element_at(F.transform(F.transform(F.array(kept), measured), top), 1)
+
+
+def drop_substrings(terms: Column, least: int = 3) -> Column:
+    """:func:`maximal_terms`, longest first, ties by text."""
+    keyed = F.transform(maximal_terms(terms, least), lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))
+    return F.transform(F.sort_array(keyed), lambda s: s["t"])
 
 
 def term_union(*arrays: Column) -> Column:

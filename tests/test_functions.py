@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import predicates as P
 from lodestar.functions import text as X
+from lodestar.plans import registry
 
 
 def one(spark, column, **values):
@@ -63,6 +64,18 @@ def test_antichain_ignores_order(spark, terms, seed):
     assert one(spark, X.drop_substrings(F.col("t")), t=terms or ["a"]) == one(spark, X.drop_substrings(F.col("t")), t=other or ["a"])
 
 
+@settings(max_examples=20, deadline=None)
+@given(terms=st.lists(st.text("ab", min_size=1, max_size=9) | st.integers(60, 70).map(lambda n: "ab" * (n // 2) + "a" * (n % 2)), max_size=8))
+def test_maximal_terms_equal_all_pairs(spark, terms):
+    terms = terms or ["a"]
+    assert one(spark, X.maximal_terms(F.col("t")), t=terms) == [t for t in dict.fromkeys(terms) if len(t) >= 3 and not any(len(u) > len(t) and t in u for u in terms)]
+
+
+def test_maximal_terms_of_a_text_are_found_in_its_row(spark, sf):
+    plan = registry.queries()["term_antichain"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1 and "Aggregate" not in plan  # the view joins labels
+
+
 def test_jaccard_ends(spark):
     j = X.jaccard(F.col("a"), F.col("b"))
     assert (one(spark, j, a="", b=None), one(spark, j, a="ab", b=""), one(spark, j, a="abc", b="abc"), one(spark, j, a="abc", b="bcd")) == (1.0, 0.0, 1.0, 1 / 3)
