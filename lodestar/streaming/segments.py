@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize_words
+from ..functions.text import term_counts, tokenize_words
 from ..operators.windows import keep_first
 from ..sources.shared import few, staged
 from ..sources.snapshots import Part, Snapshots
@@ -23,14 +23,17 @@ TABLES = ("docs", "postings", "vocab")
 
 
 def _segment(changes: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
-    """Documents, postings and vocab of a batch of (id, op, columns..., seq): the last change of each id counts."""
+    """Documents, postings and vocab of a batch of (id, op, columns..., seq): the last change of each id counts.
+
+    Words are counted within their text, so no posting is shuffled.
+    """
     last = keep_first(changes, ["id"], [F.desc("seq")])
     words = F.when(F.col("op") != "delete", F.flatten(F.array(*[tokenize_words(F.col(c)) for c in columns])))
-    cut = staged(last.select(F.col("id").alias("doc_id"), words.alias("words")), "segment")
-    postings = cut.select("doc_id", F.explode("words").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    docs = cut.select("doc_id", F.size("words").cast("long").alias("dl"), F.col("words").isNull().alias("deleted"))
-    vocab = cut.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return {"docs": docs, "postings": postings.sortWithinPartitions("doc_id"), "vocab": vocab}
+    counted = last.select(F.col("id").alias("doc_id"), words.alias("words")).select("doc_id", F.size("words").cast("long").alias("dl"), F.col("words").isNull().alias("deleted"), term_counts(F.col("words")).alias("terms"))
+    cut = staged(counted, "segment")
+    postings = cut.sortWithinPartitions("doc_id").select("doc_id", F.explode("terms").alias("x")).select("doc_id", "x.term", F.col("x.n").alias("tf"))
+    vocab = cut.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return {"docs": cut.select("doc_id", "dl", "deleted"), "postings": postings, "vocab": vocab}
 
 
 def _newest(table: Snapshots, parts: tuple[Part, ...]) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +58,7 @@ def _merge(table: Snapshots, parts: tuple[Part, ...], oldest: bool) -> None:
     now, old = _newest(table, parts)
     kept, vocab = _live(table, parts, old)
     docs = now.drop("batch")
-    table.merge(parts, {"docs": docs.where("not deleted") if oldest else docs, "postings": kept.repartition("doc_id").sortWithinPartitions("doc_id"), "vocab": vocab})
+    table.merge(parts, {"docs": docs.where("not deleted") if oldest else docs, "postings": kept.sortWithinPartitions("doc_id"), "vocab": vocab})
 
 
 def maintain_index(path: str, columns: list[str], writer: str = "stream", fanout: int = 8) -> Callable[[DataFrame, int], None]:

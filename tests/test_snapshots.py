@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.operators.retrieval import build_index
 from lodestar.sources.snapshots import Conflict, Manifest, Snapshots
 from lodestar.streaming import feeds as L
-from lodestar.streaming.segments import current_index, maintain_index
+from lodestar.streaming.segments import _segment, current_index, maintain_index
 
 NOTICES = "url string, title string, extra_json string, seq long"
 
@@ -161,6 +161,15 @@ def test_segments_equal_a_new_index_and_stay_few(spark, tmp_path):
     assert oldest.where("deleted").count() == 0 and oldest.count() == oldest.select(F.countDistinct("doc_id")).first()[0]
 
 
+def test_postings_of_a_segment_are_counted_in_their_text(spark):
+    rows = [(1, "insert", "a b a", 1), (2, "insert", None, 2), (1, "update", "b c b B", 3), (3, "delete", "x", 4)]
+    made = _segment(spark.createDataFrame(rows, "id long, op string, text string, seq long"), ["text"])
+    assert "Exchange hashpartitioning" not in made["postings"]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made["postings"].collect())) == [(1, "b", 3), (1, "c", 1)]
+    assert sorted(map(tuple, made["vocab"].collect())) == [("b", 1), ("c", 1)]
+    assert sorted(map(tuple, made["docs"].select("doc_id", "deleted").collect())) == [(1, False), (2, False), (3, True)]
+
+
 def test_number_of_segments_after_many_batches(spark, tmp_path, monkeypatch):
     from lodestar.streaming import segments
 
