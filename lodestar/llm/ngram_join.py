@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, components, small
+from .common import BROADCAST_ROWS, Stage, components, small
 from .shingles import Cuts, WordHashes, batches, digests, shingle_sets
 
 #: Fragments in which overlaps are counted apart, a range of the global order each.
@@ -38,6 +38,19 @@ ROUNDS = 5
 HOT = 64
 
 KEY = ["doc_id", "which"]
+#: A signature with its class, of which there are fewer than 64, in its lowest bits.
+CLASSED = "(signature & -64L) | class"
+
+
+def _sized(n: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for frame in batches(frames, "text"):
+            s, start = shingle_sets(frame["text"], n, hashes)
+            a, b = digests(s, start)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_shingles": np.diff(start), "d1": a, "d2": b})
+
+    return run
 
 
 def _sketch(n: int, threshold: float):
@@ -47,8 +60,9 @@ def _sketch(n: int, threshold: float):
             s, start = shingle_sets(frame["text"], n, hashes)
             a, b = digests(s, start)
             ids, size = frame["doc_id"].to_numpy(), np.diff(start)
-            none = [(i, -1, 0, None) for i in np.flatnonzero(size == 0)]
-            rows = cuts.signatures(s, start) + none
+            rows = cuts.signatures(s, start)
+            if not rows:
+                continue
             at = np.array([r[0] for r in rows], int)
             yield pd.DataFrame({"doc_id": ids[at], "n_shingles": size[at], "d1": a[at], "d2": b[at], "class": [r[1] for r in rows], "least": [r[2] for r in rows], "signatures": [r[3] for r in rows]})
 
@@ -84,15 +98,23 @@ DIFFERENT = """coalesce(aggregate(zip_with(case when size(bits_a) > size(bits_b)
     (x, y) -> bit_count(x ^ y)), 0L, (t, x) -> t + cast(x as bigint)), 0L)"""
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, which_a, b, which_b), the (a, b) whose overlaps, counted in each fragment and summed, reach the threshold."""
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float, stage: Stage) -> DataFrame:
+    """Of the pairs (a, which_a, b, which_b), the (a, b) whose overlaps, counted in each fragment and summed, reach the threshold.
+
+    Only members of sets whose pairs pass by their bitmaps travel, as long as these are few enough to be sent to where the sets lie.
+    """
     side = lambda x, *more: sets.select(F.col("doc_id").alias(x), F.col("which").alias(f"which_{x}"), F.col("n").alias(f"n_{x}"), *more)
     met = pairs.join(side("a", F.col("bits").alias("bits_a"), F.col("half").alias("half_a")), ["a", "which_a"]).join(side("b", F.col("bits").alias("bits_b"), F.col("half").alias("half_b")), ["b", "which_b"])
     met = met.withColumn("shared", F.expr(f"(n_a + n_b - {DIFFERENT}) div 2")).where(_similar(threshold)).select("a", "which_a", "b", "which_b", "n_a", "n_b")
-    members = sets.select("doc_id", "which", F.posexplode("parts").alias("fragment", "members")).where("size(members) > 0")
-    x = members.select(F.col("doc_id").alias("a"), F.col("which").alias("which_a"), "fragment", F.col("members").alias("x"))
-    y = members.select(F.col("doc_id").alias("b"), F.col("which").alias("which_b"), "fragment", F.col("members").alias("y"))
-    both = met.join(x, ["a", "which_a"]).join(y, ["b", "which_b", "fragment"])
+    met = stage(met)
+    part = F.posexplode("parts").alias("fragment", "members")
+    x, y = (sets.select(F.col("doc_id").alias(i), F.col("which").alias(f"which_{i}"), "parts") for i in "ab")
+    x = x.join(small(met), ["a", "which_a"]).select(*met.columns, part).where("size(members) > 0").withColumnRenamed("members", "x")
+    later = met.select("b", "which_b").distinct()
+    if later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else nearly all sets travel anyway
+        y = y.join(F.broadcast(later), ["b", "which_b"], "left_semi")
+    y = y.select("b", "which_b", part).where("size(members) > 0").withColumnRenamed("members", "y")
+    both = x.join(y, ["b", "which_b", "fragment"])
     partial = both.select("a", "which_a", "b", "which_b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).cast("long").alias("partial"))
     counted = partial.groupBy("a", "which_a", "b", "which_b", "n_a", "n_b").agg(F.sum("partial").alias("shared"))
     return counted.where(_similar(threshold)).select("a", "b").distinct()
@@ -138,60 +160,65 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_co
     spark = docs.sparkSession
     stage = Stage(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketch = stage(docs.mapInPandas(_sketch(n, threshold), "doc_id long, n_shingles long, d1 long, d2 long, class int, least int, signatures array<long>"))
-    sized = stage(sketch.groupBy("doc_id", "d1", "d2").agg(F.max("n_shingles").alias("n_shingles")))
+    sized = stage(docs.mapInPandas(_sized(n), "doc_id long, n_shingles long, d1 long, d2 long").distinct())
     first = stage(sized.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = stage(sized.join(small(first), ["d1", "d2"]).where("doc_id <> first").select("doc_id", "d1", "d2", "first"))
     several = stage(sized.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id", F.lit(True).alias("several")))
 
-    rare = _rarest(sketch, copies, several, stage)
-    stage.drop(sketch)
+    rare = _rarest(docs, n, threshold, copies, several, stage)
     wanted = rare.groupBy("doc_id").agg(F.max(F.col("which") != 0).alias("several"))
     sets = stage(docs.join(small(stage(wanted)), "doc_id").mapInPandas(_sets(n), f"{', '.join(f'{k} long' for k in KEY)}, n long, bits array<long>, half array<long>, parts array<array<long>>").dropDuplicates(KEY))
 
-    found = components(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold), stage)
+    found = components(_links(stage(_with_pivot(rare, 0, threshold)), sets, threshold, stage), stage)
     rest = stage(_unresolved(rare, found))
     left = rest.where(f"met > {FEW}").count()
     for step in range(1, ROUNDS):
         if not left:
             break
-        some = _links(stage(_with_pivot(rest.where(f"met > {FEW}"), step, threshold)), sets, threshold)
+        some = _links(stage(_with_pivot(rest.where(f"met > {FEW}"), step, threshold)), sets, threshold, stage)
         found = components(found.union(some).toDF("a", "b"), stage)
         rest = stage(_unresolved(rest, found))
         before, left = left, rest.where(f"met > {FEW}").count()
         if 2 * left > before:
             break
     more = _few(rest, threshold).union(_many(rest, sets, threshold)).distinct()
-    edges = found.union(_links(stage(more), sets, threshold)).union(copies.select("doc_id", "first"))
+    edges = found.union(_links(stage(more), sets, threshold, stage)).union(copies.select("doc_id", "first"))
     found = components(edges.toDF("a", "b"), stage).withColumnRenamed("node", "doc_id")
     stage.drop(sets, rare, rest)
     out = sized.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(found, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _rarest(sketch: DataFrame, copies: DataFrame, several: DataFrame, stage: Stage) -> DataFrame:
+def _rarest(docs: DataFrame, n: int, threshold: float, copies: DataFrame, several: DataFrame, stage: Stage) -> DataFrame:
     """(signature, doc_id, which, n): signatures that several sets have, for each set as many of the rarest as it needs.
 
     which tells the texts of an id with several apart, by their digest; of other ids it is 0, which keeps the rows short.
     Rare means few sets have it. Any order will do that is the same for all sets: one window counts how many have a
     signature, but of those that show often in a sixteenth of the sets, sixteen times that is taken, and their rows are dealt
-    over many groups, so no task gathers them.
+    over many groups, so no task gathers them. Signatures take as much room as texts nearly, so they are never written: a
+    sixteenth is made for the count, then all of them are made in the tasks that deal them out.
     """
-    rows = sketch.where("n_shingles > 0").join(small(copies.select("doc_id", "d1", "d2")), ["doc_id", "d1", "d2"], "left_anti")
-    rows = rows.join(small(several), "doc_id", "left").withColumn("which", F.when(F.col("several"), F.col("d1")).otherwise(F.lit(0)))
-    sixteenth = rows.where("pmod(xxhash64(doc_id), 16) = 0").select(F.explode("signatures").alias("signature"))
+
+    def made(texts: DataFrame) -> DataFrame:
+        rows = texts.mapInPandas(_sketch(n, threshold), "doc_id long, n_shingles long, d1 long, d2 long, class int, least int, signatures array<long>")
+        return rows.join(small(copies.select("doc_id", "d1", "d2")), ["doc_id", "d1", "d2"], "left_anti")
+
+    sixteenth = made(docs.where("pmod(xxhash64(doc_id), 16) = 0")).select("class", F.explode("signatures").alias("signature")).select(F.expr(CLASSED).alias("signature"))
     # Of a signature that many have: how many about, and in the lowest bits room for the group a row is dealt to.
     hot = stage(sixteenth.groupBy("signature").agg(F.count("*").alias("count")).where(f"count >= {HOT}").select("signature", F.expr("shiftleft(16 * count, 12)").alias("many")))
-    # One number for the set's size (up to 2^27 shingles), its least share and its class keeps the rows of the large shuffle short.
-    packed = F.expr("shiftleft(n_shingles, 36) + shiftleft(cast(least as bigint), 8) + class")
-    rows = rows.select("doc_id", "which", packed.alias("set"), F.explode("signatures").alias("signature")).join(small(hot), "signature", "left")
-    rows = rows.withColumn("many", F.expr("many + (xxhash64(doc_id, signature) & 4095)"))
+    rows = made(docs).join(small(several), "doc_id", "left").withColumn("which", F.when(F.col("several"), F.col("d1")).otherwise(F.lit(0)))
+    # A row of the large shuffle is little more than a signature and an id: the class goes into the lowest bits of the signature,
+    # and size (up to 2^27 shingles) and least share go with the first signature of a set and class only, which is kept though it be lone.
+    packed = F.expr("case when pos = 0 then shiftleft(n_shingles, 36) + least end")
+    rows = rows.select("doc_id", "which", "n_shingles", "least", "class", F.posexplode("signatures").alias("pos", "signature")).withColumn("signature", F.expr(CLASSED))
+    rows = rows.select("which", packed.alias("set"), "signature", "doc_id").join(small(hot), "signature", "left")
+    rows = rows.select("which", "set", F.expr("many + (xxhash64(doc_id, signature) & 4095)").alias("many"), "signature", "doc_id")
     counted = F.count("*").over(Window.partitionBy("signature", "many"))
-    met = stage(rows.withColumn("spread", F.coalesce(F.shiftright("many", 12), counted)).drop("many").where("spread > 1"))
-    some = met.select(*KEY, "signature", "spread", F.expr("shiftright(set, 36)").alias("n"), F.expr("shiftright(set, 8) & 268435455").alias("least"), F.expr("set & 255").alias("class"))
+    met = stage(rows.withColumn("spread", F.coalesce(F.shiftright("many", 12), counted)).drop("many").where("spread > 1 or set is not null"))
     own = Window.partitionBy("doc_id", "which", "class")
-    ranked = some.withColumn("all", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
-    kept = stage(ranked.where("rank <= `all` - least + 1").select("signature", *KEY, "n"))
+    ranked = met.withColumn("class", F.expr("signature & 63")).withColumn("all", F.count(F.expr("nullif(spread, 1)")).over(own)).withColumn("set", F.max("set").over(own))
+    ranked = ranked.where("spread > 1").withColumn("rank", F.row_number().over(own.orderBy("spread", "signature")))
+    kept = stage(ranked.where("rank <= `all` - (set & 68719476735) + 1").select("signature", *KEY, F.expr("shiftright(set, 36)").alias("n")))
     stage.drop(met)
     # Of signatures with the same documents one is enough.
     h = F.xxhash64(*KEY)

@@ -143,3 +143,32 @@ def test_shingles_of_a_batch_are_those_of_each_text():
     for i, t in enumerate(texts):
         assert s[start[i] : start[i + 1]].tolist() == shingle_set(t, 4, h).tolist()
     assert s[start[0] : start[1]].tolist() == s[start[4] : start[5]].tolist()
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_signatures_are_not_written_and_only_members_of_pairs_travel(spark, monkeypatch):
+    import lodestar.llm.ngram_join as m
+    from lodestar.llm.common import Stage
+
+    written, rng = [], random.Random(4)
+    monkeypatch.setattr(Stage, "__call__", lambda self, df, f=Stage.__call__: (written.append(out := f(self, df)), out)[1])
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(400)] for _ in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, texts[0][:-1] + ["x"], texts[1][:-1] + ["y"]])]
+    found = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: c for i, c in found.items() if i != c} == {300: 0, 301: 1}
+    assert written and not any("signatures" in t.columns for t in written)
+
+    sets = spark.createDataFrame(rows, SCHEMA).withColumn("several", m.F.lit(False)).mapInPandas(m._sets(5), "doc_id long, which long, n long, bits array<long>, half array<long>, parts array<array<long>>")
+    stage = Stage(spark, "test")
+    sets = stage(sets)
+    before = shuffled(spark)
+    pairs = spark.createDataFrame([(0, 0, 300, 0)], "a long, which_a long, b long, which_b long")
+    assert m._links(pairs, sets, 0.8, stage).collect() == [(0, 300)]
+    # Bitmaps of all sets, 160 bytes a set, may travel; 300 sets of 396 members are 950 kB.
+    assert shuffled(spark) - before < 200_000
