@@ -177,6 +177,44 @@ def test_cascade_thresholds(spark):
     assert ("below", "s3", "z") not in got and ("at", "s3", "z") in got
 
 
+def test_packed_session_terms_equal_lines(spark):
+    docs = spark.createDataFrame([(1, "Aa bb aa,\x0bc /É\u3000é"), (2, " "), (3, None), (4, "bb"), (5, "x、y"), (6, "\t")], "doc_id long, areas string")
+    events = spark.createDataFrame([(7, 1, 1, 1), (7, 2, 2, 2), (7, 3, 3, 1), (8, 4, 1, 4), (8, 5, 2, 3), (9, 6, 1, 2), (9, 7, 1, 5), (9, 8, 1, 4)], "session_id long, event_id long, ts long, doc_id long")
+    packed = W.packed_terms(docs)
+    lined, made = ({(r["session_id"], r["term"]): round(r["weight"], 9) for r in x.collect()} for x in (decayed_terms(events, lines=W.session_lines(docs)), decayed_terms(events, packed=packed)))
+    assert made == lined and len(made) == 6
+    shares = W.event_shares(events)
+    assert {r["session_id"]: r["terms"] for r in W.liked_terms(shares, packed, 1).collect()} == {7: ["aa"], 8: ["bb"], 9: ["bb"]}
+    results = spark.createDataFrame([(s, d, 0.5) for s in (7, 8, 9, 10) for d in (1, 2, 3, 4, 5, 6)], "session_id long, doc_id long, score double")
+    plain = R.session_rerank(results, decayed_terms(events, packed=packed), docs.withColumnRenamed("areas", "research_areas"), lines=W.session_lines(docs))
+    want, got = ({(r["session_id"], r["doc_id"]): round(r["hybrid"], 9) for r in x.collect()} for x in (plain, R.packed_rerank(results, shares, packed)))
+    assert got == want and len(got) == 24
+
+
+def test_sessions_that_ask_the_same_words_are_asked_once(spark, sf, monkeypatch):
+    from lodestar.plans import matching
+
+    asked, recalled, stored = [], matching.pruned_recall, matching.store_index
+    monkeypatch.setattr(matching, "pruned_recall", lambda terms, index, k: asked.append((terms.collect(), index.vocab.collect())) or recalled(terms, index, k))
+    rows = matching.session_reranked(spark, sf).collect()
+    (terms, vocab), = asked
+    sets = {}
+    for r in terms:
+        sets.setdefault(r["query_id"], set()).add(r["term"])
+    assert len({frozenset(x) for x in sets.values()}) == len(sets) <= len({r["session_id"] for r in rows})
+    assert {r["term"] for r in vocab} == {r["term"] for r in terms}  # postings of other words are not kept
+
+
+def test_session_interest_writes_no_table(spark, sf, monkeypatch):
+    from lodestar.plans import matching
+
+    def refuse(df, name):
+        raise AssertionError(f"{name} is written to the shared folder")
+
+    monkeypatch.setattr(matching, "staged", refuse)
+    assert matching.session_interest(spark, sf).where("weight is null").count() == 0
+
+
 def test_session_rerank_corners(spark):
     results = spark.createDataFrame([("s", 1, 0.5), ("s", 2, 0.9), ("none", 1, 0.4), ("s", 3, 0.2)], "session_id string, doc_id int, score double")
     docs = spark.createDataFrame([(1, "ml, cv"), (2, " "), (3, "x、y"), (4, "not shown")], "doc_id int, research_areas string")
