@@ -55,7 +55,7 @@ def decayed_terms(events: DataFrame, decay: float = 0.8, key: str = "session_id"
     single term is shuffled; packed ones are summed session by session in tasks, so a task holds the terms of one session.
     """
     if packed is not None:
-        rows = session_rows(event_shares(events, decay, key, order).join(packed.where("packed is not null"), "doc_id").select(key, "share", "packed"), key)
+        rows = session_rows(event_shares(events, decay, key, order).join(packed.hint("merge"), "doc_id").select(key, "share", "packed"), key)
         schema = StructType([events.schema[key], StructField("term", StringType()), StructField("weight", DoubleType())])
         return rows.mapInArrow(handed(schema, _weight_rows), schema)
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
@@ -72,7 +72,10 @@ def decayed_terms(events: DataFrame, decay: float = 0.8, key: str = "session_id"
 
 
 def packed_terms(docs: DataFrame, text_col: str = "areas", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, packed, blank): the session terms of each document, packed, null without any, and whether the text is null or all spaces."""
+    """(doc_id, packed, blank): the session terms of each document, packed, null without any, and whether the text is null or all spaces.
+
+    Size estimates don't fit packed terms, so joins with them are hinted not to broadcast; no filter is put on them, as it would pack twice.
+    """
     blank = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
     return docs.select(F.col(id_col).alias("doc_id"), pack_terms(F.col(text_col)).alias("packed"), blank.alias("blank"))
 
@@ -117,7 +120,7 @@ def liked_terms(shares: DataFrame, packed: DataFrame, n: int, key: str = "sessio
     ``shares`` is as :func:`event_shares` makes it. Sessions are summed in tasks, so the weights of all terms are never rows.
     """
     schema = StructType([shares.schema[key], StructField("terms", ArrayType(StringType()))])
-    rows = session_rows(shares.join(packed.where("packed is not null"), "doc_id").select(key, "share", "packed"), key)
+    rows = session_rows(shares.join(packed.hint("merge"), "doc_id").select(key, "share", "packed"), key)
     return rows.mapInArrow(handed(schema, lambda x: _best_terms(x, n)), schema)
 
 
@@ -152,6 +155,8 @@ def _weight_rows(rows: list[tuple]) -> Iterable[tuple]:
 
 def _best_terms(rows: list[tuple], n: int) -> Iterable[tuple]:
     weights = term_weights(r[1:] for r in rows)
+    if not weights:
+        return []
     least = min(nlargest(n, weights.values())) - 1e-6
     best = sorted((-round(weight, 6), term) for term, weight in weights.items() if weight >= least)
     return [(rows[0][0], [term for _, term in best[:n]])]
