@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import window_counts
+from ..sources.shared import few, staged
 from .joins import direction_cross, people_left_university, people_with_university
 
 
@@ -81,6 +83,25 @@ def idf(docs: DataFrame, terms: str = "terms", top: int = 5000) -> DataFrame:
     return chosen.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def window_idf(docs: DataFrame, text_col: str, id_col: str = "id", top: int = 5000) -> DataFrame:
+    """:func:`idf` of the terms that ``tokenize_windows`` gives for a text; ids are unique.
+
+    Terms are counted in tasks, many texts at once, and only counts are shuffled. Long whole texts, which are terms too, are counted by digest; those
+    frequent enough to be among the chosen are read again.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    lowered = rows.select("id", F.lower("text").alias("text"), F.lower(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("whole"))
+    found = lowered.mapInArrow(window_counts, f"term string, digest binary, id {lowered.schema['id'].dataType.simpleString()}, df long")
+    counts = staged(found.groupBy("term", "digest").agg(F.sum("df").alias("df"), F.min("id").alias("id")), "windows")
+    best = staged(counts.where("term is not null").select("term", "df").orderBy(F.desc("df"), "term").limit(top), "best")
+    n, least = best.agg(F.count("*"), F.min("df")).first()
+    long = counts.where("term is null").where(F.col("df") >= (least if n == top else 1)).select("id", "df")
+    wholes = lowered.select("id", "whole").join(few(staged(long, "long")), "id").select(F.col("whole").alias("term"), "df")
+    chosen = best.union(wholes).orderBy(F.desc("df"), "term").limit(top)
+    total = docs.agg(F.count("*").alias("total"))
+    return chosen.crossJoin(F.broadcast(total)).select("term", "df", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
 def selection_signal(selections: DataFrame, bucket: str) -> DataFrame:
     return selections.where(F.col("gpa_bucket") == bucket).groupBy("advisor_id").agg(F.count("*").alias("cnt"))
 

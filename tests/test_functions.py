@@ -3,6 +3,7 @@
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -218,3 +219,30 @@ def test_jaccard_meets_its_sets_once(spark, capsys):
     assert [round(r["j"], 6) for r in df.collect()] == [0.333333, 1.0, 0.0, 1.0]
     df.explain()
     assert "array_union" not in capsys.readouterr().out
+
+
+def test_counted_windows_equal_cut_ones(spark, monkeypatch):
+    """Small bounds, so that texts are counted in many parts; characters of two code units, control characters, whole texts of any length."""
+    from lodestar.operators.aggregates import idf, window_idf
+
+    texts = ["abc abcdef, abcdef", "abc", " A ", ",,,", "", None, " \t", "İx ß", "😀😀ab 😀😀ab", "a\0b\0c", "abcdefg" * 5, "one two three four five six seven eight", "ONE two three four five six seven eight ", "x.y", "机器学习，数据", "0\x0b1"]
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "id long, t string").repartition(2)
+    cut = idf(df.select(X.tokenize_windows(F.col("t")).alias("terms")), top=10_000)
+    want = {(r["term"], r["df"], round(r["idf"], 9)) for r in cut.collect()}
+    assert len(want) > 60 and ("one two three four five six seven eight", 6) in {x[:2] for x in want}
+    assert {(r["term"], r["df"], round(r["idf"], 9)) for r in window_idf(df, "t", top=10_000).collect()} == want
+    best = sorted(want, key=lambda x: (-x[1], x[0].encode()))[:40]
+    assert {(r["term"], r["df"]) for r in window_idf(df, "t", top=40).collect()} == {x[:2] for x in best}
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": [(t or "").lower() for t in texts], "whole": [(t or "").strip().lower() for t in texts]})
+
+    def counts():
+        out = {}
+        for made in X.window_counts([batch] * 70):
+            for term, digest, n in zip(*(made.column(c).to_pylist() for c in ("term", "digest", "df")), strict=True):
+                out[term or digest] = out.get(term or digest, 0) + n
+        return out
+
+    whole = counts()
+    for name in ("_TOGETHER", "_HELD"):
+        monkeypatch.setattr(X, name, 20)
+    assert counts() == whole and max(whole.values()) >= 140

@@ -238,6 +238,21 @@ def test_expansion_and_directions(spark):
     assert [round(r["direction"], 6) for r in R.direction_match(wanted, texts, tree).collect()] == [round((0.3 + 0.7 * 0.8) / 2, 6)]
 
 
+def test_recall_without_an_index_keeps_only_asked_words(spark, monkeypatch):
+    rows = [(1, "Élan vital", "the x_1 thé"), (2, "other", None), (3, None, "  "), (4, "bathe, THE ²", "the"), (5, "und the und", "und"), (6, None, None)]
+    docs = spark.createDataFrame(rows, "id long, name string, text string")
+    queries = spark.createDataFrame([(1, "the elan"), (2, "the"), (3, "he th"), (4, "zzz"), (5, None), (6, "ath und_")], "query_id int, text string")
+    want = R.recall_or_fallback(queries, R.build_index(docs, ["name", "text"]), 3).select("query_id", "doc_id", "bm25", "route")
+    stored, plain = [], R.store_index
+    monkeypatch.setattr(R, "store_index", lambda *a, **k: stored.append(plain(*a, **k)) or stored[0])
+    made = R.asked_recall(queries, docs, ["name", "text"], 3).select("query_id", "doc_id", "bm25", "route").collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, want.collect())) and {r["route"] for r in made} == {"words", "contains"}
+    assert stored[0].n_docs == 6 and {r["term"] for r in stored[0].vocab.collect()} == {"the", "elan", "und"}
+    monkeypatch.setattr(R, "folded", lambda df: None)  # too many words to be looked for in each text
+    made = R.asked_recall(queries, docs, ["name", "text"], 3).select("query_id", "doc_id", "bm25", "route").collect()
+    assert sorted(map(tuple, made)) == sorted(map(tuple, want.collect()))
+
+
 def test_match_on_nothing(spark):
     docs = spark.createDataFrame([], "id long, name string, research_areas string, university string, recruiting boolean")
     assert R.match(spark.createDataFrame([(1, "x y")], "query_id int, text string"), docs, 5).count() == 0
