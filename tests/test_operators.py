@@ -253,6 +253,17 @@ def test_recall_without_an_index_keeps_only_asked_words(spark, monkeypatch):
     assert sorted(map(tuple, made)) == sorted(map(tuple, want.collect()))
 
 
+def test_like_fallback_and_match_store_no_index_of_all_words(spark, sf, monkeypatch):
+    from lodestar.operators import stored_index
+    from lodestar.plans import matching
+
+    def whole(*a, **k):
+        raise AssertionError("texts are cut into an array of words each")
+
+    monkeypatch.setattr(stored_index, "tokenize_words", whole)
+    assert matching.like_fallback(spark, sf).count() == 10 and matching.match_topk(spark, sf).count() == 15
+
+
 def test_match_on_nothing(spark):
     docs = spark.createDataFrame([], "id long, name string, research_areas string, university string, recruiting boolean")
     assert R.match(spark.createDataFrame([(1, "x y")], "query_id int, text string"), docs, 5).count() == 0
